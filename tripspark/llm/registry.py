@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tripspark.llm import exact_dedup, line_dedup, quality_rules
+from tripspark.llm import bpe, exact_dedup, license_scan, line_dedup, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_bpe": bpe.op5_bpe,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 

@@ -50,10 +50,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(bare, BLANKS, -1), lambda w: w != "")
 
 
-def shingles(words: str, width: int) -> Column:
-    """64-bit hashes of the runs of ``width`` words of an array column, in order."""
-    rest = "".join(f", get({words}, i + {k})" for k in range(1, width))
-    return F.expr(f"CASE WHEN size({words}) < {width} THEN cast(array() AS array<bigint>) ELSE transform(slice({words}, 1, size({words}) - {width - 1}), (w, i) -> xxhash64(w{rest})) END")
+def shingles(words: Column, width: int) -> Column:
+    """64-bit hashes of the runs of ``width`` words of an array, in order."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.slice(w, 1, F.size(w) - (width - 1)), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, width))))
+        return F.when(F.size(w) < width, F.array().cast("array<bigint>")).otherwise(runs)
+
+    # the words are bound to a variable: a filter pushed below the projection would else split the text once a word
+    return F.transform(F.array(words), of)[0]
 
 
 def min_hashes(window: str, bands: int) -> Column:
@@ -68,7 +73,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], c
     rows = rows.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     pick = F.lit(None).cast("array<bigint>")
     for width in range(1, WIDTH + 1):
-        pick = F.when(F.col("width") == width, F.array_distinct(shingles("words", width))).otherwise(pick)
+        pick = F.when(F.col("width") == width, F.array_distinct(shingles(F.col("words"), width))).otherwise(pick)
     found = rows.select("template_id", "license", "width", pick.alias("t")).collect()  # bounded by MAX_TEMPLATE_WORDS
     out, classes = [], {}
     for r in found:
@@ -99,7 +104,7 @@ def license_scan(
         return spark.createDataFrame([], schema)
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     widths = sorted({w for w, *_ in plan})
-    rows = rows.select("doc_id", *(shingles("words", w).alias(f"s{w}") for w in widths))
+    rows = rows.select("doc_id", *(shingles(F.col("words"), w).alias(f"s{w}") for w in widths))
 
     def literal(values: list[int]) -> Column:
         return F.array(*map(F.lit, values)).cast("array<bigint>")

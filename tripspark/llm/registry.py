@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tripspark.llm import bpe, exact_dedup, license_scan, line_dedup, quality_rules, token_counts
+from tripspark.llm import bpe, exact_dedup, license_scan, line_dedup, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op7_license_scan": license_scan.op7_license_scan,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripspark.llm import bpe, exact_dedup, license_scan, line_dedup, quality_rules, suffix_dedup, token_counts
+from tripspark.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_mix_sources": mixing.op4_mix_sources,
         "op5_bpe": bpe.op5_bpe,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_language_id": language_id.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one of our own only where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def link_cells(rows: DataFrame, degrees: float, most_rounds: int = 50) -> DataFrame:
     """Adds ``region``: the least cell reachable over neighbouring occupied cells.
 
     Labels spread to neighbours and jump to their label's label in each round; cells
     are few beside rows. The loop ends when nothing changes.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(rows.sparkSession)
     at = lambda c: F.floor(F.col(c) / degrees).cast("bigint")
     tagged = rows.withColumns({"_r": at("lat"), "_c": at("lng")})
     cells = tagged.select("_r", "_c").distinct().withColumn("region", F.concat_ws(":", F.lpad((F.col("_r") + 1_000_000).cast("string"), 8, "0"), F.lpad((F.col("_c") + 1_000_000).cast("string"), 8, "0")))

@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import documents
+from tripspark.llm.common import documents, small_batches
 from tripspark.llm.merge_automaton import MergeAutomaton
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in a task's table of encoded words before it is begun anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -102,21 +102,8 @@ class WordBpe:
         for s, i in self.special.items():
             self.known["\0" + s] = (np.uint32(i).astype("<u4").tobytes(), s)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """The ids (little-endian, four bytes each) and the decoded text of each text."""
-        for text in texts:
-            words = self.words(text)
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            try:
-                found = [self.known[w] for w in words]
-            except KeyError:
-                self.learn(set(words))
-                found = [self.known[w] for w in words]
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
-
     def encode_many(self, texts: list[str], most: int = 1 << 21) -> Iterator[tuple[bytes, str]]:
-        """encode(), with the unseen words of about ``most`` characters of texts encoded together."""
+        """The ids (little-endian, four bytes each) and the decoded text of each text; unseen words of about ``most`` characters of texts are encoded together."""
         part: list[str] = []
         size = 0
         for text in texts:
@@ -180,6 +167,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
+    small_batches(docs)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows go to the shared checkpoint folder and are read from there."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Arrow batches of documents hold thousands of characters a row: fewer rows a batch than Spark's 10 000, unless the user chose."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))

@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import cut, documents
+from tripspark.llm.common import cut, documents, small_batches
 
 LONGEST = 4
 MAX_LANGUAGES = 64
 #: Unseen words kept in a task's table before it is begun anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -136,6 +136,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     get ``und`` with score 0. Texts count whole at any length. Null and repeated
     ids stay as they are. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score); all columns stay as they are."""
     model = train(docs, id_col, text_col, lang_col)
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -67,82 +67,79 @@ class MergeAutomaton:
     def __init__(self, units: int, merges: list[tuple[int, int, int]], pairs: dict[tuple[int, int], int] | None = None):
         self.units = units
         n = max([units, *(m[2] + 1 for m in merges)])
-        self.left, self.right, self.rank = [-1] * n, [-1] * n, [-1] * n
-        self.spelling: list[tuple[int, ...]] = [(t,) if t < units else () for t in range(n)]
-        self.pairs = {} if pairs is None else pairs
+        self.left, self.right, self.rank = (np.full(n, -1, np.int32) for _ in range(3))
+        spelling: list[tuple[int, ...]] = [(t,) if t < units else () for t in range(n)]
+        self.pairs = {} if pairs is None else {u << 20 | v: r for (u, v), r in pairs.items()}
         for r, (u, v, made) in enumerate(merges):
             if pairs is None:
-                self.pairs.setdefault((u, v), r)
-            if self.left[made] == -1 and made >= units and self.spelling[u] and self.spelling[v]:
+                self.pairs.setdefault(u << 20 | v, r)
+            if self.left[made] == -1 and made >= units and spelling[u] and spelling[v]:
                 self.left[made], self.right[made], self.rank[made] = u, v, r
-                self.spelling[made] = self.spelling[u] + self.spelling[v]
-        self.right_edge, self.left_edge = [self._edge(t, self.right) for t in range(n)], [self._edge(t, self.left) for t in range(n)]
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self._trie()
+                spelling[made] = spelling[u] + spelling[v]
+        self.arcs: dict[int, bool] = {}
+        self._trie(spelling)
         self._tables()
 
-    def _edge(self, t: int, side: list[int]) -> list[tuple[int, int, int]]:
+    def _edge(self, t: int, side: np.ndarray) -> list[tuple[int, int, int]]:
         """(part, rank at which it came to be, rank at which it is used up) from the whole token inward."""
         out, end = [], NEVER
         while t != -1:
-            out.append((t, self.rank[t], end))
-            end, t = self.rank[t], side[t]
+            out.append((t, int(self.rank[t]), end))
+            end, t = int(self.rank[t]), int(side[t])
         return out
 
     def arc(self, a: int, b: int) -> bool:
         """May token b follow token a?"""
-        known = self.arcs.get((a, b))
+        known = self.arcs.get(a << 20 | b)
         if known is None:
-            known = True
-            for u, born_u, end_u in self.right_edge[a]:
-                for v, born_v, end_v in self.left_edge[b]:
-                    r = self.pairs.get((u, v))
-                    # of equal ranks the left one merges first
-                    if r is not None and (at := max(r, born_u, born_v)) < end_u and at <= end_v:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.arcs) > 1_000_000:
+            left_edge = self._edge(b, self.left)
+            # of equal ranks the left one merges first
+            known = not any(
+                (r := self.pairs.get(u << 20 | v)) is not None and (at := max(r, born_u, born_v)) < end_u and at <= end_v
+                for u, born_u, end_u in self._edge(a, self.right) for v, born_v, end_v in left_edge
+            )
+            if len(self.arcs) > 100_000:
                 self.arcs.clear()
-            self.arcs[a, b] = known
+            self.arcs[a << 20 | b] = known
         return known
 
-    def _trie(self) -> None:
+    def _trie(self, spelling: list[tuple[int, ...]]) -> None:
         """Tokens that spell themselves; others never come out of the merges."""
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        self.depth = [0] * len(self.spelling)
-        for t, s in enumerate(self.spelling):
-            if not s:
-                continue
+        self.step: dict[int, int] = {}
+        token_at = [-1]
+        for t, s in enumerate(spelling):
             node = 0
             for x in s:
-                if x not in self.children[node]:
-                    self.children[node][x] = len(self.children)
-                    self.children.append({})
-                    self.token_at.append(-1)
-                node = self.children[node][x]
-            self.depth[t] = len(s)
-            self.token_at[node] = t
+                key = node << 20 | x
+                node = self.step.get(key, -1)
+                if node == -1:
+                    node = self.step[key] = len(token_at)
+                    token_at.append(-1)
+            if s:
+                token_at[node] = t
+        self.np_token_at, self.np_depth = np.array(token_at, np.int32), np.array([len(s) for s in spelling], np.int32)
+
+    def depth_of(self, t: int) -> int:
+        return int(self.np_depth[t])
 
     def _tables(self) -> None:
-        n = len(self.spelling)
-
-        def edges(edge: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, ...]:
-            width = max(map(len, edge))
-            part, born, end = (np.full((n, width), x, np.int32) for x in (-1, -1, -1))
-            for t, e in enumerate(edge):
-                for k, x in enumerate(e):
-                    part[t, k], born[t, k], end[t, k] = x
-            return part, born, end, np.array([len(e) for e in edge], np.int32)
-
-        self.re, self.le = edges(self.right_edge), edges(self.left_edge)
-        keys = np.array([(u << 20) | v for u, v in self.pairs] or [0], np.uint64)
+        n = len(self.rank)
+
+        def edges(side: np.ndarray) -> tuple[np.ndarray, ...]:
+            part, born, end = [np.arange(n, dtype=np.int32)], [self.rank], [np.full(n, NEVER, np.int32)]
+            while (part[-1] >= 0).any():
+                t = part[-1]
+                inner = np.where(t >= 0, side[t], -1)
+                part.append(inner)
+                end.append(np.where(t >= 0, self.rank[t], -1))
+                born.append(np.where(inner >= 0, self.rank[inner], -1))
+            part, born, end = (np.ascontiguousarray(np.stack(x[:-1], axis=1)) for x in (part, born, end))
+            return part, born, end, (part >= 0).sum(axis=1).astype(np.int32)
+
+        self.re, self.le = edges(self.right), edges(self.left)
+        keys = np.array([*self.pairs] or [0], np.uint64)
         self.pair_table = HashTable(keys, np.array([*self.pairs.values()] or [NEVER], np.int32))
-        steps = [((node << 20) | x, to) for node, c in enumerate(self.children) for x, to in c.items()]
-        self.steps = HashTable(np.array([s[0] for s in steps], np.uint64), np.array([s[1] for s in steps], np.int32))
-        self.np_token_at, self.np_depth = np.array(self.token_at, np.int32), np.array(self.depth, np.int32)
+        self.steps = HashTable(np.array([*self.step], np.uint64), np.array([*self.step.values()], np.int32))
 
     def arcs_exist(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """arc() for arrays; a may be -1 at the start, which every token may follow."""
@@ -170,15 +167,15 @@ class MergeAutomaton:
         """The last token of every prefix (at 0: -1), and the number of its tokens. Units below 0 stand alone and never merge."""
         n = len(word)
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        children, token_at = self.children, self.token_at
+        step, token_at = self.step, self.np_token_at
         for j in range(n):
             if word[j] < 0:
                 last[j + 1], count[j + 1] = -1, count[j] - int(word[j])
                 continue
             node, before, i = 0, last[j], j
-            while i < n and (node := children[node].get(int(word[i]), -1)) != -1:
+            while i < n and word[i] >= 0 and (node := step.get(node << 20 | int(word[i]), -1)) != -1:
                 i += 1
-                t = token_at[node]
+                t = int(token_at[node])
                 if t != -1 and (before == -1 or self.arc(before, t)):
                     last[i], count[i] = t, count[j] + 1
         return last, count
@@ -196,7 +193,7 @@ class MergeAutomaton:
                     i -= 1
                 else:
                     out.append(last[i])
-                    i -= self.depth[last[i]]
+                    i -= self.depth_of(last[i])
             tokens[k], counts[k] = np.array(out[::-1], np.int32), count[-1]
         short = np.flatnonzero((sizes <= self.LONG) & (sizes > 0))
         short = short[np.argsort(-sizes[short], kind="stable")]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.arrays import Rolling, joined, mix, pieces, powers, word_spans
-from tripspark.llm.common import cut, documents
+from tripspark.llm.common import cut, documents, small_batches
 from tripspark.llm.components import connected_components
 
 #: Representatives of a tile's side.
@@ -223,6 +223,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     texts, too) are linked to nothing. A null id counts as the smallest and comes
     out as null. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs)
     bands, per_band = banding(threshold, recall)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     sig = cut(signatures(rows, n, bands, per_band))

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tripspark.llm.common import documents
+from tripspark.llm.common import documents, small_batches
 from tripspark.llm.merge_automaton import MergeAutomaton
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept in a task's table of counted words before it is begun anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
 
 
 class Pieces:
@@ -161,7 +161,7 @@ class Pieces:
         """Of every prefix: is its first token the mark alone?"""
         out = [False] * (len(word) + 1)
         for i in range(1, len(word) + 1):
-            size = self.automaton.depth[last[i]] if last[i] != -1 else 1
+            size = self.automaton.depth_of(last[i]) if last[i] != -1 else 1
             out[i] = (i == 1 and last[1] == self.mark) if i - size == 0 else out[i - size]
         return out
 
@@ -182,6 +182,7 @@ def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, schema:
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays(*row_of(model, part.column(0), [t or "" for t in part.column(1).to_pylist()]))
 
+    small_batches(docs)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

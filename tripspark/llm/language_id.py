@@ -62,8 +62,9 @@ class Model:
         table = np.zeros((len(items), len(at)))
         for lang, w, n in counts:
             table[row[w], at[lang]] = n
-        total = table.sum(axis=0)
-        return row, np.log((table + 0.5) / (total + 0.5 * max(1, len(items))))
+        total = np.maximum(table.sum(axis=0), 1.0)
+        # one floor for all languages: else what is unseen would count for the language with the least data
+        return row, np.log(table / total + 0.5 / total.max(initial=1.0))
 
 
 class Scorer:
@@ -151,7 +152,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score); all columns stay as they are."""
     model = train(docs, id_col, text_col, lang_col)
     small_batches(docs)

@@ -57,8 +57,8 @@ def clips_from_routes(routes: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def _vehicle() -> Column:
-    """The name of the file's folder."""
-    return F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    """The name of the file's folder, also of one named ``vehicle_id=name``."""
+    return F.regexp_extract(F.input_file_name(), r"([^/=]+)/[^/]+$", 1)
 
 
 def read_drive_data(spark: SparkSession, path: str, tz: str = "UTC") -> dict[str, DataFrame]:

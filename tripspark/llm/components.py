@@ -15,11 +15,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the exchange and joins are plain, so adaptive execution splits a node with
     very many neighbours. The rounds grow with the logarithm of the longest chain.
     The edges of each round are cut off in the shared folder. Edges from a node to
-    itself give a component of that node alone unless others reach it.
+    itself are left out.
     """
-    both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    loops = both.where("u = v").select("u").distinct()
-    now = cut(both.where("u > v").distinct())
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     before = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -35,6 +33,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    alone = loops.join(found, loops["u"] == found["node"], "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return found.unionByName(alone)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -231,6 +231,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     reps = worded.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # of rows that repeat an id the fingerprint says which is meant
     of_rep = worded.withColumnRenamed("id", "rep").join(reps, ["rep", "fp1", "fp2"]).select("rep", "fp1", "copies", "grams", "bands")
+    of_rep = cut(of_rep)  # read for the buckets, the links and the members
     banded = of_rep.select("rep", F.explode("bands").alias("key"))
     bucket = banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
     stars = banded.join(bucket, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()

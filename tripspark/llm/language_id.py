@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score); all columns stay as they are."""
+    """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score: a third is hardly more than a guess); all columns stay as they are."""
     model = train(docs, id_col, text_col, lang_col)
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -303,3 +303,33 @@ def test_evidence_of_driving(spark):
     df = spark.createDataFrame(rows, "g array<struct<gear:bigint,frames:double>>, s array<int>, p double, f double, v array<double>")
     out = df.select(clips.clip_has_driving(*map(F.col, "gspfv")).alias("d")).collect()
     assert [r.d for r in out] == [False, True, True, True, False] and not math.isnan(1.0)
+
+
+def test_learned_places_replace_their_like_and_are_capped(spark):
+    schema = "vehicle_id string, place_id string, label string, source string, lat double, lng double, radius_m double, updated_at bigint"
+    places = spark.createDataFrame([("v", "m", "Home", "manual", 37.0, -122.0, 50.0, 1), ("v", "t", "Gym", "tesla", 37.1, -122.0, 50.0, 2)], schema)
+    learned = spark.createDataFrame([("v", "gym", 37.1002, -122.0, 30.0, 5), ("v", "Far", 38.0, -122.0, 30.0, 6), ("v", "Old", 39.0, -122.0, 30.0, 1)], "vehicle_id string, label string, lat double, lng double, radius_m double, updated_at bigint")
+    out = {r.label: r for r in spatial.learn_places(places, learned, most=3).collect()}
+    assert set(out) == {"Home", "gym", "Far"} and out["gym"].place_id == "t" and out["gym"].radius_m == 30.0
+    zones = places.where("source = 'manual'").withColumn("source", F.lit("zone"))
+    assert spatial.replace_zones(places, zones).count() == 3
+
+
+def test_provider_keys_differ_in_case(spark):
+    from tripspark.functions import provider
+
+    df = spark.createDataFrame([('{"Start_Date": 1700000000, "duration": 60, "MILES": "3.5 mi"}',), ('{"started_at": "2024-01-01T00:00:00Z", "ended_at": 1704067260000}',), ("no json",)], "json string")
+    a, b, c = provider.provider_drives_normalized(df).collect()
+    assert (a.start_ms, a.end_ms, a.distance_mi) == (1.7e12, 1.70000006e12, 3.5) and (b.start_ms, b.end_ms) == (1704067200000.0, 1704067260000.0) and c.start_ms is None
+
+
+def test_bridges_and_gaps(spark):
+    from tripspark.operators import repair
+
+    cols = "vehicle_id string, seq bigint, t_ms bigint, date string, first_lat double, first_lng double, last_lat double, last_lng double, first_gear bigint, last_gear bigint"
+    row = lambda s, t, g=1, d="d", la=37.0: ("v", s, t, d, la, -122.0, la, -122.0, g, g)
+    df = spark.createDataFrame([row(1, 0), row(2, 180_000, la=37.01), row(3, 300_000), row(4, 660_001), row(5, 840_001, 0), row(6, 1_020_001, 1, "e")], cols)
+    gaps = repair.find_recording_gaps(df).collect()
+    assert [(g.seq, g.gap_ms) for g in gaps] == [(1, 120_000)]
+    b = repair.bridge_gaps(repair.find_recording_gaps(df)).first()
+    assert len(b.points) == 119 and b.file == "d/d_00-01-00-front-bridge.mp4" and abs(b.points[59][0] - 37.005) < 1e-9

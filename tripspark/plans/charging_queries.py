@@ -184,7 +184,16 @@ def elements(spark, sf):
     return e.withColumns({"center": F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon")), "tags": tags})
 
 
-@query("normalize_stations")
+#: The greedy merge as a recursion over the features in order.
+STATION_SQL = f"""WITH RECURSIVE so AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM ({ELEMENTS.format(supplier='supplier')}) WHERE pos % 5 <> 0),
+ gr AS (SELECT k, 1 AS c, [{{'la': lat, 'ln': lon, 'n': 1e0}}] AS cs FROM so WHERE k = 1
+   UNION ALL SELECT k, c, CASE WHEN c > len(cs) THEN list_append(cs, {{'la': lat, 'ln': lon, 'n': 1e0}}) ELSE list_concat(list_concat(cs[1:c - 1], [{{'la': (cs[c].la * cs[c].n + lat) / (cs[c].n + 1), 'ln': (cs[c].ln * cs[c].n + lon) / (cs[c].n + 1), 'n': cs[c].n + 1}}]), cs[c + 1:]) END
+   FROM (SELECT so.*, gr.cs, CAST(coalesce(list_position([{hav('so.lat', 'so.lon', 'x.la', 'x.ln')} <= 100 FOR x IN gr.cs], true), len(gr.cs) + 1) AS INTEGER) AS c FROM gr JOIN so ON so.k = gr.k + 1))
+ SELECT concat('node/', min(so.pos)) AS station_id, coalesce(arg_min(concat('S', so.pos), so.pos) FILTER (WHERE so.pos % 3 = 0), 'Tesla Supercharger') AS name, {r2('avg(lat) * 1e4')} AS lat, {r2('avg(lon) * 1e4')} AS lng,
+  max(CAST(50 + so.pos % 4 * 50 AS DOUBLE)) AS power_kw, string_agg(concat('node/', so.pos), '|' ORDER BY so.pos) AS features FROM so JOIN gr USING (k) GROUP BY c"""
+
+
+@query("normalize_stations", STATION_SQL)
 def normalize_stations(spark, sf):
     out = S.normalize_stations(elements(spark, sf))
     return out.select("station_id", "name", round2(F.col("lat") * 1e4).alias("lat"), round2(F.col("lng") * 1e4).alias("lng"), "power_kw", F.array_join("osm_features", "|").alias("features"))

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripspark.functions.scalars import charging_state_key
+from tripspark.functions.scalars import charging_state_key, round2
 from tripspark.operators import stats
 from tripspark.operators.regions import shared_folder
+from tripspark.plans.charging_queries import SESSIONS
 from tripspark.plans.core import DRIVES, trip_points
 from tripspark.plans.registry import query
 from tripspark.plans.sqltext import r2
@@ -57,10 +58,16 @@ def stream_minute_clips(spark, sf):
     return run(jobs.stream_minute_clips(events_stream(spark, sf, CLIPS)), "complete").withColumn("max_speed", F.floor(F.col("max_speed") * 100 + 0.5) / 100)
 
 
-@query("stream_charging")
+#: The batch sessions with samples in order of time; those still open at the end of the feed wait for their timer.
+BY_TIME = cte("samples").replace("WITH samples AS (", "WITH samples AS (SELECT * REPLACE (row_number() OVER (ORDER BY vehicle_id, ts, pos) AS pos) FROM (", 1) + "), " + SESSIONS
+FIGURES = ("start_s", "end_s", "energy_kwh", "peak_kw")
+
+
+@query("stream_charging", BY_TIME + f" SELECT vehicle_id, session_no, {', '.join(f'{r2(c)} AS {c}' for c in FIGURES)}, start_battery, end_battery, end_reason FROM sess WHERE end_reason <> 'end-of-file'")
 def stream_charging(spark, sf):
     s = events_stream(spark, sf, SAMPLES).withColumns({"s": F.col("ts"), "state": charging_state_key(F.col("charging_state"))})
-    return run(jobs.stream_charging(s.select("vehicle_id", "t", "s", "pos", "state", "energy_kwh", "power_kw", "battery_pct")), "append")
+    out = run(jobs.stream_charging(s.select("vehicle_id", "t", "s", "pos", "state", "energy_kwh", "power_kw", "battery_pct")), "append")
+    return out.withColumns({c: round2(F.col(c)) for c in FIGURES})
 
 
 @query("stream_totals", WITH + " SELECT vehicle_id, count(*) AS drives, CAST(sum(d) AS BIGINT) AS duration_ms FROM (SELECT vehicle_id, drive_id, max(end_t_ms) - min(t_ms) AS d FROM pts GROUP BY ALL) GROUP BY ALL")

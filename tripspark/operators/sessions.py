@@ -39,11 +39,12 @@ def park_segments(clips: DataFrame, park_s: float = 2.0, clip_ms: int = 60_000)
 
     A Park run of at least ``park_s`` is a gap; all other runs in a row are one
     part. Points are sliced by the rounded share of frames; a part without points
-    vanishes. Expects vehicle_id, seq, t_ms, n_points, gear_runs array<struct<gear,frames>>.
+    vanishes. Expects vehicle_id, seq, t_ms, n_points, gear_runs array<struct<gear,frames>>; drive_id is passed on if there.
     """
     total = F.aggregate("gear_runs", F.lit(0.0), lambda a, r: a + r["frames"])
     runs = clips.withColumn("total_frames", total).where("total_frames > 0")
-    runs = runs.select("vehicle_id", "seq", "t_ms", "n_points", "total_frames", F.posexplode("gear_runs").alias("k", "run"))
+    also = [c for c in ("drive_id",) if c in clips.columns]
+    runs = runs.select("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", F.posexplode("gear_runs").alias("k", "run"))
     clip = Window.partitionBy("vehicle_id", "seq").orderBy("k")
     runs = runs.withColumns({
         "end_frame": F.sum("run.frames").over(clip),
@@ -51,7 +52,7 @@ def park_segments(clips: DataFrame, park_s: float = 2.0, clip_ms: int = 60_000)
     }).withColumn("start_frame", F.col("end_frame") - F.col("run.frames"))
     cut = F.col("parked") | F.coalesce(F.lag("parked").over(clip), F.lit(True))
     runs = runs.withColumn("seg_no", F.sum(cut.cast("bigint")).over(clip))
-    segs = runs.groupBy("vehicle_id", "seq", "t_ms", "n_points", "total_frames", "seg_no").agg(
+    segs = runs.groupBy("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", "seg_no").agg(
         F.max("parked").alias("parked"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
     n = F.col("n_points").cast("double")
     whole = (F.col("start_frame") == 0) & (F.col("end_frame") == F.col("total_frames"))
@@ -69,10 +70,9 @@ def park_splits(clips: DataFrame, park_s: float = 2.0) -> DataFrame:
     Clips without gear runs pass whole. Expects the columns of park_segments and drive_id.
     """
     plain = clips.where("gear_runs IS NULL OR size(gear_runs) = 0").select(
-        "vehicle_id", "seq", "t_ms", "n_points", F.lit(1).cast("bigint").alias("seg_no"), F.lit(False).alias("parked"),
+        "vehicle_id", "seq", "drive_id", "t_ms", "n_points", F.lit(1).cast("bigint").alias("seg_no"), F.lit(False).alias("parked"),
         F.lit(0).cast("bigint").alias("start_idx"), F.col("n_points").cast("bigint").alias("end_idx"), F.col("t_ms").alias("seg_t_ms"))
     segs = park_segments(clips, park_s).select(*plain.columns).unionByName(plain)
-    segs = segs.join(clips.select("vehicle_id", "seq", "drive_id"), ["vehicle_id", "seq"])
     order = Window.partitionBy("vehicle_id", "drive_id").orderBy("t_ms", "seq", "seg_no")
     segs = segs.withColumn("gaps", F.sum(F.col("parked").cast("bigint")).over(order)).where("NOT parked")
     cut = F.dense_rank().over(Window.partitionBy("vehicle_id", "drive_id").orderBy("gaps"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import geodesic_m, heading, js_round
@@ -130,24 +130,37 @@ def dedup_consecutive_points(points: DataFrame, key: tuple[str, ...] = ("vehicle
     return points.withColumn("_s", F.coalesce(same, F.lit(False))).where("NOT _s").drop("_s")
 
 
+def frame_flags(left: Column, right: Column, brake: Column, accel: Column) -> Column:
+    """Bit mask of a frame: 1 and 2 the blinkers, 4 the brake, 8 the accelerator."""
+    bit = lambda on, k: F.when(on, k).otherwise(0)
+    return (bit(left, 1) + bit(right, 2) + bit(brake, 4) + bit(accel > 0, 8)).cast("bigint")
+
+
 def frames_to_clips(frames: DataFrame) -> DataFrame:
-    """One row per clip from raw frames: raw counts, points, state arrays, gear runs.
+    """One row per clip from raw frames: counts, points, state arrays, runs of gear, mode and flags.
 
-    Coordinates to 1e-6 degrees, speed to 0.1, pedal to 0.01; frames without a fix
-    give no point; equal points in a row are one. Expects vehicle_id, seq, i, lat,
-    lng, gear, ap, speed, accel.
+    Frames without a valid fix are dropped before anything is counted. Coordinates to
+    1e-6 degrees, speed to 0.1, pedal to 0.01; runs and counts are of all frames left,
+    points of those that differ from the one before. Expects vehicle_id, seq, i, lat,
+    lng, gear, ap, speed, accel, flags (see frame_flags).
     """
+    valid = "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND NOT (lat = 0 AND lng = 0) AND abs(lat) <= 90 AND abs(lng) <= 180"
     r = lambda c, k: js_round(F.col(c) * k) / k
-    rows = frames.withColumns({"lat": r("lat", 1e6), "lng": r("lng", 1e6), "speed": r("speed", 10.0), "accel": r("accel", 100.0)})
-    counts = rows.groupBy("vehicle_id", "seq").agg(F.count(F.lit(1)).alias("frame_count"), F.count_if(F.col("gear") == 0).alias("park_count"))
-    fixes = rows.where("lat IS NOT NULL AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0)")
-    points = dedup_consecutive_points(fixes).groupBy("vehicle_id", "seq").agg(F.sort_array(F.collect_list(F.struct("i", "lat", "lng", "gear", "ap", "speed", "accel"))).alias("p"))
-    runs = encode_runs(rows, "gear").groupBy("vehicle_id", "seq").agg(F.sort_array(F.collect_list(F.struct("run_no", "gear", "frames"))).alias("r"))
-    out = counts.join(points, ["vehicle_id", "seq"], "left").join(runs, ["vehicle_id", "seq"])
+    key = ["vehicle_id", "seq"]
+    rows = frames.where(valid).withColumns({"lat": r("lat", 1e6), "lng": r("lng", 1e6), "speed": r("speed", 10.0), "accel": r("accel", 100.0)})
+    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("frame_count"), F.count_if(F.col("gear") == 0).alias("park_count"))
+    points = dedup_consecutive_points(rows).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "lat", "lng", "gear", "ap", "speed", "accel"))).alias("p"))
+    out = out.join(points, key)
+    top = {"max_mps": js_round(F.max(F.abs("speed")) * 10.0) / 10.0}
+    for value, name, extra in (("gear", "gear_runs", {}), ("ap", "ap_runs", {}), ("flags", "flag_runs", top)):
+        runs = encode_runs(rows, value, extra=extra)
+        fields = [value, F.col("frames").cast("double").alias("frames"), *extra]
+        listed = F.sort_array(F.collect_list(F.struct("run_no", F.struct(*fields).alias("r"))))
+        out = out.join(runs.groupBy(*key).agg(F.transform(listed, lambda x: x["r"]).alias(name)), key)
     pick = lambda c: F.transform("p", lambda x: x[c])
     return out.select(
-        "vehicle_id", "seq", "frame_count", "park_count", F.transform("p", lambda x: F.array(x["lat"], x["lng"])).alias("points"), pick("gear").alias("gear_states"),
-        pick("ap").alias("ap_states"), pick("speed").alias("speeds"), pick("accel").alias("accel_positions"), F.transform("r", lambda x: F.struct(x["gear"], x["frames"])).alias("gear_runs"))
+        *key, "frame_count", "park_count", F.transform("p", lambda x: F.array(x["lat"], x["lng"])).alias("points"), pick("gear").alias("gear_states"), pick("ap").alias("ap_states"),
+        pick("speed").alias("speeds"), pick("accel").alias("accel_positions"), "gear_runs", "ap_runs", "flag_runs")
 
 
 def mode_segments(points: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.functions.scalars import round2
+from tripspark.functions.scalars import round1, round2
 from tripspark.operators import assist, clips as C, holes, points as P, sessions, stats
 from tripspark.plans.registry import query
 from tripspark.plans.sqltext import DRIVES, gaps, geo, jr, pct, r1, r2
@@ -401,8 +401,6 @@ def frames(spark, sf):
 
 @query("encode_runs", cte("clips") + f", {FRAMES}, a AS (SELECT *, CASE WHEN gear = lag(gear) OVER w THEN 0 ELSE 1 END AS c FROM fr WINDOW w AS (PARTITION BY vehicle_id, seq ORDER BY i)), b AS (SELECT *, CAST(sum(c) OVER (PARTITION BY vehicle_id, seq ORDER BY i) AS BIGINT) AS run_no FROM a) SELECT vehicle_id, seq, run_no, gear, count(*) AS frames, {r1('max(abs(speed))')} AS max_mps FROM b GROUP BY ALL")
 def encode_runs(spark, sf):
-    from tripspark.functions.scalars import round1
-
     return P.encode_runs(frames(spark, sf), "gear", extra={"max_mps": round1(F.max(F.abs("speed")))})
 
 
@@ -411,9 +409,20 @@ def dedup_consecutive_points(spark, sf):
     return P.dedup_consecutive_points(frames(spark, sf)).select("vehicle_id", "seq", "i")
 
 
-@query("frames_to_clips", cte("clips") + f", {FRAMES}, k AS (SELECT vehicle_id, seq, i, gear, ap FROM fr WINDOW w AS (PARTITION BY vehicle_id, seq ORDER BY i) QUALIFY coalesce(NOT (lat = lag(lat) OVER w AND lng = lag(lng) OVER w), true)), n AS (SELECT vehicle_id, seq, count(*) AS n_points, sum(gear)::BIGINT AS gears, sum(ap)::BIGINT AS aps FROM k GROUP BY ALL), "
-       "a AS (SELECT *, CASE WHEN gear = lag(gear) OVER w THEN 0 ELSE 1 END AS c FROM fr WINDOW w AS (PARTITION BY vehicle_id, seq ORDER BY i)), f AS (SELECT vehicle_id, seq, count(*) AS frame_count, count(*) FILTER (WHERE gear = 0) AS park_count, sum(c)::BIGINT AS n_runs FROM a GROUP BY ALL) SELECT * FROM f JOIN n USING (vehicle_id, seq)")
+CLIP_FRAMES = f"""{FRAMES}, ok AS (SELECT *, (CASE WHEN (seq + i // 9) % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN i // 20 = 1 THEN 4 ELSE 0 END) + (CASE WHEN accel > 0 THEN 8 ELSE 0 END) AS flags FROM fr WHERE (seq + i) % 17 <> 0),
+ d AS (SELECT *, CASE WHEN gear = lag(gear) OVER w THEN 0 ELSE 1 END AS cg, CASE WHEN ap = lag(ap) OVER w THEN 0 ELSE 1 END AS ca, CASE WHEN flags = lag(flags) OVER w THEN 0 ELSE 1 END AS cf,
+  CASE WHEN {jr('lat * 1e6')} = lag({jr('lat * 1e6')}) OVER w AND {jr('lng * 1e6')} = lag({jr('lng * 1e6')}) OVER w THEN 0 ELSE 1 END AS cp FROM ok WINDOW w AS (PARTITION BY vehicle_id, seq ORDER BY i)),
+ rn AS (SELECT *, sum(cf) OVER (PARTITION BY vehicle_id, seq ORDER BY i) AS r FROM d), tm AS (SELECT vehicle_id, seq, sum(m) AS top_mps FROM (SELECT vehicle_id, seq, r, {r1('max(abs(speed))')} AS m FROM rn GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("frames_to_clips", cte("clips") + f""", {CLIP_FRAMES} SELECT vehicle_id, seq, count(*) AS frame_count, count(*) FILTER (WHERE gear = 0) AS park_count, sum(cp)::BIGINT AS n_points, sum(cg)::BIGINT AS n_gear, sum(ca)::BIGINT AS n_ap, sum(cf)::BIGINT AS n_flag,
+ sum(CASE WHEN cp = 1 THEN gear END)::BIGINT AS gears, sum(CASE WHEN cp = 1 THEN ap END)::BIGINT AS aps, {r1('any_value(top_mps)')} AS top_mps FROM d JOIN tm USING (vehicle_id, seq) GROUP BY vehicle_id, seq""")
 def frames_to_clips(spark, sf):
-    out = P.frames_to_clips(frames(spark, sf))
+    flags = P.frame_flags(F.expr("(seq + i div 9) % 2 = 0"), F.lit(False), F.expr("i div 20 = 1"), F.col("accel"))
+    rows = frames(spark, sf).withColumn("flags", flags).withColumn("lat", F.when((F.col("seq") + F.col("i")) % 17 != 0, F.col("lat")))
+    out = P.frames_to_clips(rows)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select("vehicle_id", "seq", "frame_count", "park_count", F.size("gear_runs").cast("bigint").alias("n_runs"), F.size("points").cast("bigint").alias("n_points"), total("gear_states").alias("gears"), total("ap_states").alias("aps"))
+    size = lambda c, n: F.size(c).cast("bigint").alias(n)
+    top = F.aggregate("flag_runs", F.lit(0.0), lambda a, x: a + x["max_mps"])
+    return out.select("vehicle_id", "seq", "frame_count", "park_count", size("points", "n_points"), size("gear_runs", "n_gear"), size("ap_runs", "n_ap"), size("flag_runs", "n_flag"),
+                      total("gear_states").alias("gears"), total("ap_states").alias("aps"), round1(top).alias("top_mps"))

@@ -46,7 +46,7 @@ def bands_for(jaccard: float, recall: float) -> int:
 
 
 def words_of(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", "")
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
     return F.filter(F.split(bare, BLANKS, -1), lambda w: w != "")
 
 
@@ -137,3 +137,23 @@ def license_scan(
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+NORM = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+#: Every window against every template, without hashing.
+ORACLE = f"""
+WITH t0 AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in TEMPLATES)}) v(template_id, license, text)),
+t1 AS (SELECT template_id, license, {NORM} AS ws FROM t0), t2 AS (SELECT *, least(len(ws), {WIDTH}) AS k FROM t1),
+ts AS (SELECT DISTINCT template_id, license, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM t2, LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+tn AS (SELECT template_id, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS c FROM ts GROUP BY template_id),
+dw AS (SELECT doc_id, {NORM} AS ws FROM documents),
+dg AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(ws[i:i + k - 1], ' ') AS g FROM dw, (SELECT DISTINCT k FROM t2), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+hit AS (SELECT doc_id, template_id, license, pos - pos % c AS s, n, c, g FROM dg JOIN ts USING (k, g) JOIN tn USING (template_id)),
+win AS (SELECT doc_id, template_id, license, s, n, g FROM hit UNION ALL SELECT doc_id, template_id, license, greatest(s - c, 0), n, g FROM hit),
+sh AS (SELECT doc_id, template_id, license, s, count(DISTINCT g) / n AS share FROM win GROUP BY doc_id, template_id, license, s, n)
+SELECT doc_id, template_id, license, round(max(share), 6) AS containment, min(s) AS window_word FROM sh WHERE share >= 0.8 GROUP BY doc_id, template_id, license
+"""

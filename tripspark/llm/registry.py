@@ -24,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op3_line_dedup": line_dedup.ORACLE,
+        "op7_license_scan": license_scan.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
     }

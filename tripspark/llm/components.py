@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = seen
         # large star: every larger neighbour of a node moves to the node's least neighbour
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # so that both sides of the join are shuffled, and can be split
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node, move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))

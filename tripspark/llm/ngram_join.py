@@ -253,10 +253,28 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of ngram_join; all columns stay as they are."""
-    gone = ngram_join(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one document of each class of ngram_join; all columns stay as they are.
+
+    Of rows that repeat an id, all stay if any does; rows with a null id stay.
+    """
+    found = ngram_join(docs, id_col=id_col, text_col=text_col)
+    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("NOT _any").drop("_any")
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
+
+
+#: All pairs that share an n-gram, without hashing.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) AS i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y, k = nx.n AND k = ny.n AS equal FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE k >= 0.8 * (nx.n + ny.n - k) - 1e-9),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
+SELECT w.doc_id, r.class_id, coalesce(l.copy_id, w.doc_id) AS copy_id, coalesce(l.n, 0) AS n_links, w.doc_id = r.class_id AS kept
+FROM w JOIN (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x) r USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n, least(x, min(y) FILTER (WHERE equal)) AS copy_id FROM e GROUP BY x) l USING (doc_id)
+"""

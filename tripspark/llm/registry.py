@@ -23,7 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_suffix_dedup": suffix_dedup.ORACLE,
         "op3_line_dedup": line_dedup.ORACLE,
+        "op6_ngram_join": ngram_join.ORACLE,
         "op7_license_scan": license_scan.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
     }

@@ -320,3 +320,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir), keep_text=False)
+
+
+#: Every 50-byte string by itself, in hexadecimal digits and by its 64-bit hash.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, range(greatest(length(h) // 2 - 49, 0)) AS ps, list_transform(range(length(h) // 1000 + 1), lambda j: substr(h, 1000 * j + 1, 1100)) AS cs FROM d),
+w AS (SELECT doc_id, unnest(ps) AS p, unnest(list_transform(ps, lambda p: hash(substr(cs[p // 500 + 1], 2 * (p % 500) + 1, 100)))) AS s FROM n),
+f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first_doc < doc_id),
+i AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS n FROM g)),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k),
+pc AS (SELECT sp.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY sp.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY sp.doc_id ORDER BY a), 0))) AS piece FROM sp JOIN d USING (doc_id)),
+r AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last_b, string_agg(piece, '' ORDER BY a) AS head FROM pc GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last_b, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""

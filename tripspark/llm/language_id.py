@@ -2,9 +2,11 @@
 
 A known word adds its log frequency in each language. An unseen word is scored
 by its longest n-grams that are known: of 4 characters, else 3, 2, 1. The model
-is fitted by Spark on a sample of labelled rows of bounded size (``max_train``)
-and keeps at most ``max_words`` words and ``max_grams`` n-grams of each language,
-so that it can be broadcast at any input size. Prediction works row by row.
+is fitted by Spark on a sample of labelled rows of bounded size (``max_train``),
+dealt evenly over all languages however rare they are, and keeps at most
+``max_words`` words and ``max_grams`` n-grams of each language, so that it can be
+broadcast at any input size. It holds only what a language has, so any number of
+languages is learned. Prediction works row by row.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripspark.llm.arrays import ragged
 from tripspark.llm.common import cut, documents, small_batches
 
 LONGEST = 4
-MAX_LANGUAGES = 64
+#: Values of a row of training is picked by: a hash of the id, below this.
+PICKS = 1 << 30
+#: Cells of a worker's dense table of new words by languages.
+CELLS = 1 << 22
 #: Unseen words kept in a task's table before it is begun anew.
 KEPT_WORDS = 150_000
 
@@ -33,38 +39,58 @@ def held_out(id_col: Column) -> Column:
 def _most_frequent(counts: DataFrame, item: str, most: int) -> DataFrame:
     """Of each language the items with so high a count that at most ``most`` have it; no ordering of all items is needed."""
     spread = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("items")).collect()  # one row per language and distinct count
+    tiers: dict[str, list[tuple[int, int]]] = {}
+    for r in spread:
+        tiers.setdefault(r.lang, []).append((r.n, r["items"]))
     least: dict[str, int] = {}
-    for lang in {r.lang for r in spread}:
+    for lang, found in tiers.items():
         room = most
-        for r in sorted((r for r in spread if r.lang == lang), key=lambda r: -r.n):
-            room -= r["items"]
+        for n, size in sorted(found, reverse=True):
+            room -= size
             if room < 0:
                 break
-            least[lang] = r.n
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= n))
-    return counts.where(keep).select("lang", item, "n")
+            least[lang] = n
+    lowest = counts.sparkSession.createDataFrame(list(least.items()), "lang string, least bigint")  # one row per language
+    return counts.join(F.broadcast(lowest), "lang").where("n >= least").select("lang", item, "n")
+
+
+class Table:
+    """Rows of (language, gain), each row only with the languages that have something."""
+
+    def __init__(self, size: np.ndarray, lang: np.ndarray, gain: np.ndarray):
+        self.begin = np.append(0, np.cumsum(size)).astype(np.int64)
+        self.lang, self.gain = lang, gain
+
+    def sums(self, rows: np.ndarray, into: np.ndarray, n: int, langs: int) -> np.ndarray:
+        """The gains of the rows, added up in row ``into`` of a table of n rows and all languages."""
+        size = self.begin[rows + 1] - self.begin[rows]
+        cells = ragged(self.begin[rows], size)
+        return np.bincount(np.repeat(into, size) * langs + self.lang[cells], self.gain[cells], n * langs).reshape(n, langs)
+
+    def extended(self, dense: np.ndarray) -> Table:
+        row, lang = np.nonzero(dense)
+        size = np.append(np.diff(self.begin), np.bincount(row, minlength=len(dense)))
+        return Table(size, np.append(self.lang, lang), np.append(self.gain, dense[row, lang]))
 
 
 class Model:
-    """Log frequencies by language of words and n-grams; row 0 is for nothing known."""
+    """Of words and n-grams how far the log frequency in a language is above the floor; the floor is the same for all, so it takes no part in a comparison."""
 
     def __init__(self, langs: list[str], words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
         self.langs = langs
         at = {lang: k for k, lang in enumerate(langs)}
-        self.word_row, self.word_logs = self._table(words, at)
-        self.gram_row, self.gram_logs = self._table(grams, at)
+        self.word_row, self.words = self._table(words, at)
+        self.gram_row, self.grams = self._table(grams, at)
 
-    def _table(self, counts: list[tuple[str, str, int]], at: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    def _table(self, counts: list[tuple[str, str, int]], at: dict[str, int]) -> tuple[dict[str, int], Table]:
         items = sorted({w for _, w, _ in counts})
         row = {w: k for k, w in enumerate(items)}
-        table = np.zeros((len(items), len(at)))
-        for lang, w, n in counts:
-            table[row[w], at[lang]] = n
-        total = np.maximum(table.sum(axis=0), 1.0)
+        rows, lang, n = (np.array([f(x) for x in counts], kind) for f, kind in ((lambda x: row[x[1]], np.int64), (lambda x: at[x[0]], np.int64), (lambda x: x[2], np.float64)))
+        total = np.maximum(np.bincount(lang, n, len(at)), 1.0)
+        order = np.lexsort((lang, rows))
         # one floor for all languages: else what is unseen would count for the language with the least data
-        return row, np.log(table / total + 0.5 / total.max(initial=1.0))
+        floor = 0.5 / total.max(initial=1.0)
+        return row, Table(np.bincount(rows, minlength=len(items)), lang[order], np.log1p(n / total[lang] / floor)[order])
 
 
 class Scorer:
@@ -73,50 +99,70 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.row = dict(model.word_row)
-        self.logs = model.word_logs
+        self.words = model.words
         self.letters = regex.compile(r"\p{L}+").findall
 
-    def _unseen(self, word: str) -> np.ndarray:
-        framed = f"^{word}$"
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        grams, into, size = [], [], np.ones(len(words))
         rows = self.model.gram_row
-        for n in range(min(LONGEST, len(framed)), 0, -1):
-            known = [rows[g] for g in (framed[i : i + n] for i in range(len(framed) - n + 1)) if g in rows]
-            if known:
-                return self.model.gram_logs[known].mean(axis=0)
-        return np.zeros(len(self.model.langs))
+        for k, word in enumerate(words):
+            framed = f"^{word}$"
+            for n in range(min(LONGEST, len(framed)), 0, -1):
+                known = [rows[g] for g in (framed[i : i + n] for i in range(len(framed) - n + 1)) if g in rows]
+                if known:
+                    grams += known
+                    into += [k] * len(known)
+                    size[k] = len(known)
+                    break
+        return self.model.grams.sums(np.array(grams, np.int64), np.array(into, np.int64), len(words), len(self.model.langs)) / size[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [self.letters(t.lower()) if t else [] for t in texts]
+        if not self.model.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         if len(self.row) > len(self.model.word_row) + KEPT_WORDS:
-            self.row, self.logs = dict(self.model.word_row), self.model.word_logs
+            self.row, self.words = dict(self.model.word_row), self.model.words
         new = list({w for words in split for w in words} - self.row.keys())
-        if new:
-            self.row.update(zip(new, range(len(self.logs), len(self.logs) + len(new))))
-            self.logs = np.concatenate([self.logs, np.array([self._unseen(w) for w in new])])
-        langs, scores = [], []
-        get = self.row.__getitem__
-        for words in split:
-            if not words or not self.model.langs:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total = self.logs[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
-            best = int(total.argmax())  # of equal ones the first in alphabetical order
-            langs.append(self.model.langs[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
-        return langs, scores
+        most = max(1, CELLS // len(self.model.langs))
+        for lo in range(0, len(new), most):
+            part = new[lo : lo + most]
+            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part))))
+            self.words = self.words.extended(self._unseen(part))
+        size = [len(words) for words in split]
+        rows = np.fromiter((self.row[w] for words in split for w in words), np.int64, sum(size))
+        total = self.words.sums(rows, np.repeat(np.arange(len(split)), size), len(split), len(self.model.langs))
+        best = total.argmax(axis=1)  # of equal ones the first in alphabetical order
+        score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        langs = [self.model.langs[k] if n else "und" for k, n in zip(best.tolist(), size)]
+        return langs, [s if n else 0.0 for s, n in zip(score.tolist(), size)]
+
+
+def quota(counts: list[int], most: int) -> float:
+    """So many rows of each language that about ``most`` are taken: equal parts, and what languages with fewer rows leave goes to the others."""
+    room = most
+    for k, n in enumerate(sorted(counts)):
+        part = room / (len(counts) - k)
+        if n > part:
+            return part
+        room -= n
+    return max(counts, default=0)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 10_000, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
-    """Fit on rows with a language that are not held out: about ``max_train`` of them, picked by a hash of the id."""
-    known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    by_lang = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    """Fit on rows with a language that are not held out: about ``max_train`` of them, picked by a hash of the id.
+
+    Every language is learned, from an equal part of them, or from all its rows if it
+    has fewer. Of more languages than ``max_train`` each still gives a row.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(PICKS)).alias("pick"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    by_lang = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("least")).collect()  # one row per language
     langs = sorted(r.lang for r in by_lang)
-    total = sum(r["count"] for r in by_lang)
     if not langs:
         return Model([], [], [])
-    share = min(1.0, max_train / total)
-    sample = known.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    each = quota([r.n for r in by_lang], max_train)
+    below = [(r.lang, max(r.least + 1, int(min(1.0, each / r.n) * PICKS))) for r in by_lang]
+    rates = docs.sparkSession.createDataFrame(below, "lang string, below bigint")
+    sample = known.join(F.broadcast(rates), "lang").where("pick < below")
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+", -1)).alias("word")).where("word <> ''")
     words = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     framed = F.concat(F.lit("^"), "word", F.lit("$"))

@@ -18,7 +18,11 @@ each a grouped map over chunks of documents or buckets of groups:
 
 The documents are shuffled once, by chunk, and that exchange is used three
 times. A passage or copy that a third of all documents hold is sent once a chunk,
-not once a document. Chunks and buckets grow in number with the input.
+not once a document. Runs that reach beyond a common string into text of their
+own differ, and all lie in its group: of a group with more than ``hot_runs`` runs
+(counted in step 2) each window is sent alone, as its hash, and dealt by that hash,
+so that equal windows still meet and the group is spread over all buckets.
+Chunks and buckets grow in number with the input.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,8 @@ SEED = 20
 #: Windows of a run; longer ones are cut, so that a bit mask of a run is one 64-bit number.
 RUN = 64
 PIECE = 1 << 18
+#: Runs of a group in a chunk from which on they are counted; a group that is never counted has fewer runs than this a chunk.
+COUNTED = 8
 
 
 def _minima(data: np.ndarray, rolling: Rolling, length: int) -> np.ndarray:
@@ -53,7 +60,7 @@ def _minima(data: np.ndarray, rolling: Rolling, length: int) -> np.ndarray:
 
 
 def _runs(texts: list[bytes], length: int):
-    """(first doc, data, where docs begin, start, windows, doc, group, hash) of the runs, piece by piece."""
+    """(first doc, data, where docs begin, start, windows, doc, group, hash) of the runs and the rolling hashes, piece by piece."""
     for lo, hi in pieces(texts, PIECE):
         data, at = joined(texts[lo:hi])
         if len(data) <= length:
@@ -74,7 +81,7 @@ def _runs(texts: list[bytes], length: int):
             whole = np.repeat(count, parts)
             start, count = np.repeat(start, parts) + k * RUN, np.minimum(RUN, whole - k * RUN)
         group = mix(low[start] ^ np.uint64(0x5851F42D4C957F2D))
-        yield lo, data, at, start, count, doc[start], group, mix(rolling.spans(start, start + count + length - 1))
+        yield lo, data, at, start, count, doc[start], group, mix(rolling.spans(start, start + count + length - 1)), rolling
 
 
 def _table(cols: dict) -> pa.Table:
@@ -100,18 +107,28 @@ def _per_bucket(bucket: np.ndarray, order: np.ndarray):
 
 def send_keys(buckets: int, length: int):
     def of(table: pa.Table) -> pa.Table:
-        groups, ids = [], []
+        groups, ids, hashes = [], [], []
         own = _ids(table["doc_id"])
-        for lo, _, _, _, _, doc, group, _ in _runs(_texts(table["text"]), length):
+        for lo, _, _, _, _, doc, group, h, _ in _runs(_texts(table["text"]), length):
             groups.append(group)
             ids.append(own[doc + lo])
-        out = {"bucket": [], "chunk": [], "keys": [], "shared": []}
+            hashes.append(h)
+        out = {"bucket": [], "chunk": [], "keys": [], "shared": [], "counted": [], "counts": []}
         if groups:
-            group, ids = np.concatenate(groups), np.concatenate(ids)
+            group, ids, h = np.concatenate(groups), np.concatenate(ids), np.concatenate(hashes)
             order = np.argsort(group, kind="stable")
-            group, ids = group[order], ids[order]
+            group, ids, h = group[order], ids[order], h[order]
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             shared = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+            size = np.diff(np.append(first, len(group)))
+            # of large groups the different runs, as equal ones are sent once
+            large = np.flatnonzero(size >= COUNTED)
+            runs = np.zeros(len(first), np.int64)
+            if len(large):
+                of_group, of_run = np.repeat(large, size[large]), h[ragged(first[large], size[large])]
+                by = np.lexsort((of_run, of_group))
+                new = np.append(True, (of_run[by][1:] != of_run[by][:-1]) | (of_group[by][1:] != of_group[by][:-1]))
+                runs = np.bincount(of_group[by][new], minlength=len(first))
             group = group[first]
             bucket, key = (group % np.uint64(buckets)).astype(np.int64), (group >> np.uint64(32)).astype(np.uint32)
             for b, part in _per_bucket(bucket, np.argsort(bucket, kind="stable")):
@@ -119,34 +136,64 @@ def send_keys(buckets: int, length: int):
                 out["chunk"].append(table["chunk"][0].as_py())
                 out["keys"].append(key[part].tobytes())
                 out["shared"].append(key[part][shared[part]].tobytes())
-        return _table({"bucket": pa.array(out["bucket"], pa.int64()), "chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "shared": pa.array(out["shared"], pa.binary())})
+                many = part[runs[part] >= COUNTED]
+                out["counted"].append(key[many].tobytes() if len(many) else None)
+                out["counts"].append(runs[many].tobytes() if len(many) else None)
+        return _table({k: pa.array(v, pa.int64() if k in ("bucket", "chunk") else pa.binary()) for k, v in out.items()})
+
+    return of
+
+
+def answer_keys(hot_runs: int):
+    def of(table: pa.Table) -> pa.Table:
+        keys = [np.unique(np.frombuffer(x, np.uint32)) for x in table["keys"].to_pylist()]
+        shared = [np.frombuffer(x, np.uint32) for x in table["shared"].to_pylist()]
+        value, count = np.unique(np.concatenate(keys), return_counts=True)
+        hit = np.union1d(value[count > 1], np.concatenate(shared))
+        counted, counts = (np.concatenate([np.frombuffer(x, kind) for x in table[k].to_pylist() if x] or [np.zeros(0, kind)]) for k, kind in (("counted", np.uint32), ("counts", np.int64)))
+        many, at = np.unique(counted, return_inverse=True)
+        hot = np.intersect1d(many[np.bincount(at, counts, len(many)) > hot_runs], hit)
+        out = [np.intersect1d(k, hit, assume_unique=True) for k in keys]
+        some = [i for i, k in enumerate(out) if len(k)]
+        hot_of = [np.intersect1d(out[i], hot, assume_unique=True).tobytes() or None for i in some] if len(hot) else [None] * len(some)
+        return _table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "bucket": table["bucket"].take(pa.array(some, pa.int64())), "keys": pa.array([out[i].tobytes() for i in some], pa.binary()), "hot": pa.array(hot_of, pa.binary())})
 
     return of
 
 
-def answer_keys(table: pa.Table) -> pa.Table:
-    keys = [np.unique(np.frombuffer(x, np.uint32)) for x in table["keys"].to_pylist()]
-    shared = [np.frombuffer(x, np.uint32) for x in table["shared"].to_pylist()]
-    value, count = np.unique(np.concatenate(keys), return_counts=True)
-    hit = np.union1d(value[count > 1], np.concatenate(shared))
-    out = [np.intersect1d(k, hit, assume_unique=True) for k in keys]
-    some = [i for i, k in enumerate(out) if len(k)]
-    return _table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "bucket": table["bucket"].take(pa.array(some, pa.int64())), "keys": pa.array([out[i].tobytes() for i in some], pa.binary())})
+def _full(buckets: list[int], keys: list[bytes | None]) -> np.ndarray:
+    """Sorted numbers of bucket and key."""
+    parts = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64) for b, k in zip(buckets, keys) if k]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
 def send_runs(buckets: int, length: int):
     def of(docs: pa.Table, answer: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("bucket", "chunk", "hash", "least", "greatest", "windows", "bytes")}
+        out = {k: [] for k in ("bucket", "chunk", "hash", "least", "greatest", "windows", "bytes", "group")}
         if docs.num_rows and answer.num_rows:
-            wanted = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, np.uint32).astype(np.uint64) for b, k in zip(answer["bucket"].to_pylist(), answer["keys"].to_pylist())]
-            wanted = np.sort(np.concatenate(wanted))
+            chunk = docs["chunk"][0].as_py()
+            wanted, hot = (_full(answer["bucket"].to_pylist(), answer[k].to_pylist()) for k in ("keys", "hot"))
             own = _ids(docs["doc_id"])
-            found = []
-            for lo, data, _, start, count, doc, group, h in _runs(_texts(docs["text"]), length):
+            found, single = [], []
+            for lo, data, _, start, count, doc, group, h, rolling in _runs(_texts(docs["text"]), length):
                 bucket = group % np.uint64(buckets)
                 full = (bucket << np.uint64(32)) | (group >> np.uint64(32))
-                at = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == full)
+                is_hot = _among(full, hot)
+                # the windows of hot groups, each alone and dealt by its own hash
+                one = np.flatnonzero(is_hot)
+                if len(one):
+                    p, run = ragged(start[one], count[one]), np.repeat(one, count[one])
+                    h_of, ids = mix(rolling.spans(p, p + length)), own[doc[run] + lo]
+                    order = np.argsort(h_of, kind="stable")
+                    first = np.flatnonzero(np.append(True, h_of[order][1:] != h_of[order][:-1]))
+                    single.append((h_of[order][first], np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first), group[run[order[first]]]))
+                hit = np.flatnonzero(_among(full, wanted) & ~is_hot)
                 if not len(hit):
                     continue
                 ids = own[doc[hit] + lo]
@@ -168,7 +215,18 @@ def send_runs(buckets: int, length: int):
                 one = order[first]
                 bucket, h, count, size, begin = bucket[one], h[one], count[one], size[one], begin[one]
                 for b, part in _per_bucket(bucket, np.arange(len(bucket))):
-                    for k, v in (("bucket", b), ("chunk", docs["chunk"][0].as_py()), ("hash", h[part].tobytes()), ("least", least[part].tobytes()), ("greatest", greatest[part].tobytes()), ("windows", count[part].tobytes()), ("bytes", text[ragged(begin[part], size[part])].tobytes())):
+                    for k, v in (("bucket", b), ("chunk", chunk), ("hash", h[part].tobytes()), ("least", least[part].tobytes()), ("greatest", greatest[part].tobytes()), ("windows", count[part].tobytes()), ("bytes", text[ragged(begin[part], size[part])].tobytes()), ("group", None)):
+                        out[k].append(v)
+            if single:
+                h, least, greatest, group = (np.concatenate(x) for x in zip(*single))
+                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((h, bucket))
+                first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+                least, greatest = np.minimum.reduceat(least[order], first), np.maximum.reduceat(greatest[order], first)
+                one = order[first]
+                bucket, h, group = bucket[one], h[one], group[one]
+                for b, part in _per_bucket(bucket, np.arange(len(bucket))):
+                    for k, v in (("bucket", b), ("chunk", chunk), ("hash", h[part].tobytes()), ("least", least[part].tobytes()), ("greatest", greatest[part].tobytes()), ("windows", None), ("bytes", None), ("group", group[part].tobytes())):
                         out[k].append(v)
         return _table({k: pa.array(v, pa.int64() if k in ("bucket", "chunk") else pa.binary()) for k, v in out.items()})
 
@@ -198,7 +256,31 @@ def window_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
 
 
 def answer_runs(length: int):
+    def alone(table: pa.Table, out: dict[str, list]) -> None:
+        """Windows sent alone: equal ones have equal hashes."""
+        h, least, greatest, group = ([np.frombuffer(x, kind) for x in table[k].to_pylist()] for k, kind in (("hash", np.uint64), ("least", np.int64), ("greatest", np.int64), ("group", np.uint64)))
+        source = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        h, least, greatest, group = (np.concatenate(x) for x in (h, least, greatest, group))
+        value, back = np.unique(h, return_inverse=True)
+        smallest = np.full(len(value), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, back, least)
+        tell = np.flatnonzero(greatest > smallest[back])
+        chunks = table["chunk"].to_pylist()
+        for s, part in _per_bucket(source[tell], np.arange(len(tell))):
+            rows = tell[part]
+            for k, v in (("chunk", chunks[s]), ("hash", h[rows].tobytes()), ("least", smallest[back[rows]].tobytes()), ("mask", None), ("group", group[rows].tobytes())):
+                out[k].append(v)
+
     def of(table: pa.Table) -> pa.Table:
+        out = {"chunk": [], "hash": [], "least": [], "mask": [], "group": []}
+        whole = table["group"].is_null()
+        if (windows := table.filter(pc.invert(whole))).num_rows:
+            alone(windows, out)
+        if (runs := table.filter(whole)).num_rows:
+            together(runs, out)
+        return _table({k: pa.array(v, pa.int64() if k == "chunk" else pa.binary()) for k, v in out.items()})
+
+    def together(table: pa.Table, out: dict[str, list]) -> None:
         def column(name: str, kind) -> list[np.ndarray]:
             return [np.frombuffer(x, kind) for x in table[name].to_pylist()]
 
@@ -230,12 +312,10 @@ def answer_runs(length: int):
         # to a chunk go the runs in which something is to be removed there
         tell = np.flatnonzero((greatest > smallest[back]) | (mask[back] != 0))
         chunks = table["chunk"].to_pylist()
-        out = {"chunk": [], "hash": [], "least": [], "mask": []}
         for s, part in _per_bucket(source[tell], np.arange(len(tell))):
             rows = tell[part]
-            for k, v in (("chunk", chunks[s]), ("hash", h[rows].tobytes()), ("least", smallest[back[rows]].tobytes()), ("mask", mask[back[rows]].tobytes())):
+            for k, v in (("chunk", chunks[s]), ("hash", h[rows].tobytes()), ("least", smallest[back[rows]].tobytes()), ("mask", mask[back[rows]].tobytes()), ("group", None)):
                 out[k].append(v)
-        return _table({k: pa.array(v, pa.int64() if k == "chunk" else pa.binary()) for k, v in out.items()})
 
     return of
 
@@ -245,19 +325,34 @@ def mark(length: int, keep_text: bool):
         texts, own = _texts(docs["text"]), _ids(docs["doc_id"])
         spans: dict[int, list[tuple[int, int]]] = {}
         if answer.num_rows:
-            h, least, mask = (np.concatenate([np.frombuffer(x, kind) for x in answer[k].to_pylist()]) for k, kind in (("hash", np.uint64), ("least", np.int64), ("mask", np.uint64)))
+            alone = pc.invert(answer["group"].is_null())
+            runs, windows = answer.filter(pc.invert(alone)), answer.filter(alone)
+
+            def column(table: pa.Table, name: str, kind) -> np.ndarray:
+                return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
+
+            h, least, mask = column(runs, "hash", np.uint64), column(runs, "least", np.int64), column(runs, "mask", np.uint64)
             order = np.argsort(h)
             h, least, mask = h[order], least[order], mask[order]
-            for lo, data, begins, start, count, doc, _, own_hash in _runs(texts, length):
-                at = np.minimum(np.searchsorted(h, own_hash), len(h) - 1)
-                hit = np.flatnonzero(h[at] == own_hash)
-                if not len(hit):
-                    continue
-                at, start, count, doc = at[hit], start[hit], count[hit], doc[hit]
-                later = own[doc + lo] > least[at]
-                p, run = ragged(start, count), np.repeat(np.arange(len(hit)), count)
-                bit = (p - start[run]).astype(np.uint64)
-                gone = p[later[run] | (((mask[at][run] >> bit) & np.uint64(1)) == 1)]
+            w, w_least, groups = column(windows, "hash", np.uint64), column(windows, "least", np.int64), np.unique(column(windows, "group", np.uint64))
+            order = np.argsort(w)
+            w, w_least = w[order], w_least[order]
+            for lo, data, begins, start, count, doc, group, own_hash, rolling in _runs(texts, length):
+                parts = []
+                hit = np.flatnonzero(_among(own_hash, h))
+                if len(hit):
+                    at, n, of_doc = np.searchsorted(h, own_hash[hit]), count[hit], doc[hit]
+                    later = own[of_doc + lo] > least[at]
+                    p, run = ragged(start[hit], n), np.repeat(np.arange(len(hit)), n)
+                    bit = (p - start[hit][run]).astype(np.uint64)
+                    parts.append(p[later[run] | (((mask[at][run] >> bit) & np.uint64(1)) == 1)])
+                hit = np.flatnonzero(_among(group, groups))
+                if len(hit):
+                    p, run = ragged(start[hit], count[hit]), np.repeat(hit, count[hit])
+                    own_window = mix(rolling.spans(p, p + length))
+                    some = np.flatnonzero(_among(own_window, w))
+                    parts.append(p[some][own[doc[run[some]] + lo] > w_least[np.searchsorted(w, own_window[some])]])
+                gone = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 if not len(gone):
                     continue
                 gone = np.sort(gone)
@@ -293,7 +388,7 @@ def parts_for(n_bytes: int) -> int:
     return max(1, min(1024, math.ceil(n_bytes / (128 << 10))), math.ceil(n_bytes / (16 << 20)))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, hot_runs: int = 10_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if keep_text) kept (bytes) and spans (start, end in bytes).
 
     Texts are UTF-8 bytes (a null text has none). Every byte within a ``length``-byte
@@ -302,6 +397,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     What is kept may begin or end inside a character. A null id is smaller than all
     others; rows with equal ids are no earlier documents of each other. An empty
     table gives no rows. Other columns are not read. ``length`` is at least 21.
+    Groups of more than ``hot_runs`` runs are spread window by window, with the same result.
     """
     if length <= SEED:
         raise ValueError(f"length must be above {SEED}")
@@ -310,10 +406,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     n = parts_for(total)
     chunked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), "doc_id", "text")
     by_chunk = chunked.groupBy("chunk")
-    keys = by_chunk.applyInArrow(send_keys(n, length), "bucket bigint, chunk bigint, keys binary, shared binary")
-    shared = keys.groupBy("bucket").applyInArrow(answer_keys, "chunk bigint, bucket bigint, keys binary")
-    runs = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(send_runs(n, length), "bucket bigint, chunk bigint, hash binary, least binary, greatest binary, windows binary, bytes binary")
-    answers = runs.groupBy("bucket").applyInArrow(answer_runs(length), "chunk bigint, hash binary, least binary, mask binary")
+    keys = by_chunk.applyInArrow(send_keys(n, length), "bucket bigint, chunk bigint, keys binary, shared binary, counted binary, counts binary")
+    shared = keys.groupBy("bucket").applyInArrow(answer_keys(hot_runs), "chunk bigint, bucket bigint, keys binary, hot binary")
+    runs = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(send_runs(n, length), "bucket bigint, chunk bigint, hash binary, least binary, greatest binary, windows binary, bytes binary, group binary")
+    answers = runs.groupBy("bucket").applyInArrow(answer_runs(length), "chunk bigint, hash binary, least binary, mask binary, group binary")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, spans array<struct<start: bigint, end: bigint>>" if keep_text else "")
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(mark(length, keep_text), schema)
 

@@ -14,6 +14,7 @@ size (checked) and are broadcast.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from tripspark.llm.quality_rules import BLANKS
 WIDTH = 5
 MAX_TEMPLATE_WORDS = 100_000
 
+#: Names that SPDX lines are looked for with.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib Unlicense BSL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
 #: Public wordings of common licence notices (id, licence, text).
 TEMPLATES = [
     ("apache-line", "Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -37,9 +40,48 @@ TEMPLATES = [
     ("ccby-line", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("ccbync-line", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("reserved-line", "proprietary", "All rights reserved"),
+    ("apache11-line", "Apache-1.1", "Licensed under the Apache License, Version 1.1"),
+    ("mit-disclaimer", "MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("bsd-disclaimer", "BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("bsd3-endorse", "BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("gpl2-line", "GPL-2.0", "under the GNU General Public License, version 2"),
+    ("gpl2-name", "GPL-2.0", "GNU General Public License v2.0"),
+    ("gpl3-name", "GPL-3.0", "GNU General Public License v3.0"),
+    ("lgpl2-line", "LGPL-2.0", "GNU Library General Public License, version 2"),
+    ("lgpl21-line", "LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl3-line", "LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("lgpl-notice", "LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl3-line", "AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("agpl-notice", "AGPL", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl11-notice", "MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("mpl2-notice", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl2-line", "MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("epl1-line", "EPL-1.0", "Eclipse Public License v 1.0"),
+    ("epl2-line", "EPL-2.0", "Eclipse Public License v 2.0"),
+    ("boost-line", "BSL-1.0", "Boost Software License Version 1.0"),
+    ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("ccby3-line", "CC-BY-3.0", "Creative Commons Attribution 3.0 Unported License"),
+    ("ccby-short", "CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("ccbysa-short", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("ccbysa3-name", "CC-BY-SA-3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported"),
+    ("ccbysa-name", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("ccbync-name", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("ccbynd-name", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    ("ccbyncsa-name", "CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("ccbyncnd-name", "CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("cc0-name", "CC0-1.0", "CC0 1.0 Universal"),
+    ("cc0-waiver", "CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    *((f"spdx-{x.lower()}", x, f"SPDX-License-Identifier: {x}") for x in SPDX),
 ]
 
 
+def family(license: str) -> str | None:
+    """The licence without its version, if it has one."""
+    found = re.fullmatch(r"(.+?)-[0-9][0-9.]*(?:-only|-or-later)?", license)
+    return found and found[1]
+
+
 def bands_for(jaccard: float, recall: float) -> int:
     """Bands of one row each, so that windows of this similarity collide with this probability."""
     return math.ceil(math.log(1 - recall) / math.log(1 - jaccard))
@@ -66,25 +108,27 @@ def min_hashes(window: str, bands: int) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], containment: float, recall: float) -> tuple[DataFrame, list]:
-    """The templates with width, class (a power of two), shingles; and (width, class, bands, all shingles) of each class."""
+    """The templates with family, width, class (a power of two), shingles, and those of them with its version; and (width, class, bands, all shingles) of each class."""
     if sum(len(t.split()) for _, _, t in templates) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words together")
     rows = spark.createDataFrame(templates, "template_id string, license string, text string").withColumn("words", words_of(F.col("text"))).where("size(words) > 0")
     rows = rows.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     pick = F.lit(None).cast("array<bigint>")
     for width in range(1, WIDTH + 1):
-        pick = F.when(F.col("width") == width, F.array_distinct(shingles(F.col("words"), width))).otherwise(pick)
-    found = rows.select("template_id", "license", "width", pick.alias("t")).collect()  # bounded by MAX_TEMPLATE_WORDS
+        pick = F.when(F.col("width") == width, shingles(F.col("words"), width)).otherwise(pick)
+    found = rows.select("template_id", "license", "width", "words", pick.alias("all"), F.array_distinct(pick).alias("t")).collect()  # bounded by MAX_TEMPLATE_WORDS
     out, classes = [], {}
     for r in found:
         size = 1 << max(0, (len(r.t) - 1).bit_length())
-        out.append((r.template_id, r.license, r.width, size, list(r.t)))
+        named = family(r.license)
+        version = {h for i, h in enumerate(r["all"]) if named and any(re.fullmatch(r"v?[0-9]+", w) for w in r.words[i : i + r.width])}
+        out.append((r.template_id, r.license, named, r.width, size, list(r.t), sorted(version)))
         classes.setdefault((r.width, size), []).append(r.t)
     plan = []
     for (width, size), sets in sorted(classes.items()):
         t = min(map(len, sets))
         plan.append((width, size, bands_for(containment * t / (2 * size + (1 - containment) * t), recall), sorted({x for s in sets for x in s})))
-    return spark.createDataFrame(out, "template_id string, license string, width int, class int, t array<bigint>"), plan
+    return spark.createDataFrame(out, "template_id string, license string, family string, width int, class int, t array<bigint>, version array<bigint>"), plan
 
 
 def license_scan(
@@ -92,7 +136,8 @@ def license_scan(
 ) -> DataFrame:
     """One row per document and template found in it: doc_id, template_id, license, containment, window_word.
 
-    ``containment`` is the largest share of the template's shingles in one window,
+    A match without any of the words that give its licence's version is left out where
+    it overlaps a fuller match of another version. ``containment`` is the largest share of the template's shingles in one window,
     ``window_word`` the first word of the first such window. Null and empty texts
     hold no template. Rows that repeat an id are one document; a null id is kept.
     An empty table, or no templates, gives no rows. Other columns are not read.
@@ -124,11 +169,18 @@ def license_scan(
         windows = windows.select("doc_id", "start", F.expr(f"slice({s}, start + 1, {2 * size})").alias("window"))
         banded = windows.select("doc_id", "start", "window", F.posexplode(min_hashes("window", bands)).alias("band", "mh"))
         mine = table.where((F.col("width") == width) & (F.col("class") == size))
-        keyed = mine.select("template_id", "license", "t", F.posexplode(min_hashes("t", bands)).alias("band", "mh"))
+        keyed = mine.select("template_id", "license", "family", "t", "version", F.posexplode(min_hashes("t", bands)).alias("band", "mh"))
         pairs = banded.join(F.broadcast(keyed), ["band", "mh"])
         share = F.size(F.array_intersect("window", "t")) / F.size("t")
-        part = pairs.select("doc_id", "template_id", "license", "start", share.alias("share")).where(F.col("share") >= containment)
+        vague = (F.size("version") > 0) & ~F.arrays_overlap("window", "version")
+        stop = F.col("start") + 2 * size + width - 1
+        part = pairs.select("doc_id", "template_id", "license", "family", "start", stop.alias("stop"), vague.alias("vague"), share.alias("share")).where(F.col("share") >= containment)
         found = part if found is None else found.unionByName(part)
+    found = cut(found)
+    exact = found.where("family IS NOT NULL AND NOT vague").select(*(F.col(c).alias(f"x_{c}") for c in ("doc_id", "license", "family", "start", "stop", "share"))).distinct()
+    other = F.col("doc_id").eqNullSafe(F.col("x_doc_id")) & (F.col("family") == F.col("x_family")) & (F.col("license") != F.col("x_license"))
+    over = (F.col("start") < F.col("x_stop")) & (F.col("x_start") < F.col("stop")) & (F.col("x_share") > F.col("share"))
+    found = found.join(exact, F.col("vague") & other & over, "left_anti")
     return found.groupBy("doc_id", "template_id", "license").agg(
         F.round(F.max("share"), 6).alias("containment"),
         F.min("start").cast("bigint").alias("window_word"),

@@ -1,6 +1,8 @@
 import hashlib
+import json
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tripspark.llm import bpe, language_id, license_scan, quality_rules, token_counts
+from tripspark.llm.tokenization_automaton import TokenizationAutomaton
 
 sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 TEXTS = ["", "   ", "a", "'s it's I'LL Don't", "Σίσυφος ΟΔΥΣΣΕΥΣ", "İstanbul ǅ ﬁ", "日本語テキスト 123 ４５", "<|endoftext|>hello <|startoftext|> x", "a\x1cb\x85c d", "é café", "a" * 40, "naïve 😀😀👍🏽 !!!???...---", "x" * 3000, "  two  three   four    ", "\n\n a\n  b\t\tc", "▁ ▁▁x <s> </s> <0x0A> <unk>", " " * 37 + "z" + " " * 100]
@@ -38,6 +41,84 @@ def test_bpe_equals_library_and_round_trips():
         assert text == lib.decode(e.ids, skip_special_tokens=False) == model.decode(ids)
 
 
+def equal_to_library(model, lib, texts):
+    for text, (ids, decoded), e in zip(texts, model.encode_many(texts), lib.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids and decoded == lib.decode(e.ids, skip_special_tokens=False), ascii(text)[:300]
+
+
+def test_bpe_equals_library_on_every_code_point():
+    model, lib = bpe.WordBpe(public_tokenizers.path(bpe.VOCABULARY)), library()
+    agreed, others = [], []
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        (agreed if bpe.known_to_python(c) and c not in model.odd else others).append(c)
+    assert len(agreed) > 250_000
+    for part in (agreed, others):  # apart, as one odd character sends its whole text the other way
+        equal_to_library(model, lib, [" ".join(f"a{c}b {c} {c}{c}" for c in part[lo : lo + 500]) for lo in range(0, len(part), 500)])
+
+
+def test_bpe_equals_library_on_random_unicode():
+    model, lib, rnd = bpe.WordBpe(public_tokenizers.path(bpe.VOCABULARY)), library(), random.Random(5)
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    agreed = [c for c in points if bpe.known_to_python(c) and c not in model.odd]
+    marks, made = [c for c in agreed if unicodedata.combining(c)], [c for c in agreed if unicodedata.decomposition(c)]
+    for letters in (points, agreed):
+        pick = [lambda: rnd.choice(letters), lambda: rnd.choice(marks), lambda: unicodedata.normalize("NFD", rnd.choice(made)), lambda: rnd.choice("aeiou '\nABΣς")]
+        equal_to_library(model, lib, ["".join(rnd.choice(pick)() for _ in range(rnd.randint(1, 30))) for _ in range(4000)])
+
+
+def test_bpe_refuses_other_vocabularies(tmp_path):
+    with pytest.raises(ValueError):
+        bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path(bpe.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"][0]["type"] = "NFKC"
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.WordBpe(str(tmp_path / "other.json"))
+
+
+def merged(units, merges):
+    """The definition: in order of rank, from left to right, until nothing merges."""
+    rank = {(u, v): (r, made) for r, (u, v, made) in reversed(list(enumerate(merges)))}
+    out = list(units)
+    while best := min((rank[p][0], i) for i, p in enumerate(zip(out, out[1:])) if p in rank) if any(p in rank for p in zip(out, out[1:])) else None:
+        i = best[1]
+        out[i : i + 2] = [rank[out[i], out[i + 1]][1]]
+    return out
+
+
+def test_tokenization_automaton_on_small_vocabularies():
+    rnd = random.Random(8)
+    for _ in range(150):
+        merges, tokens = [], [0, 1, 2]
+        for made in range(3, rnd.randint(4, 14)):
+            merges.append((rnd.choice(tokens), rnd.choice(tokens), made))
+            tokens.append(made)
+        pairs, kept, have = set(), [], {0, 1, 2}
+        for u, v, made in merges:  # a pair merges once, and of tokens that were made before
+            if (u, v) not in pairs and {u, v} <= have:
+                pairs.add((u, v))
+                have.add(made)
+                kept.append((u, v, made))
+        merges = kept or [(0, 1, 3)]
+        automaton = TokenizationAutomaton(3, merges, most=rnd.choice([5, 1000]))
+        for _ in range(60):
+            word = [rnd.randrange(3) for _ in range(rnd.randint(1, 12))]
+            assert automaton.encode(word) == merged(word, merges), (merges, word)
+
+
+def test_merges_out_of_order_are_refused():
+    with pytest.raises(ValueError):
+        TokenizationAutomaton(2, [(2, 1, 3), (0, 1, 2)])
+
+
+def test_gadgets_take_arcs_from_rows():
+    # ab, then bc: after a no b; bc never follows a, as a has taken its b before
+    automaton = TokenizationAutomaton(3, [(0, 1, 3), (1, 2, 4)])
+    after = lambda t: automaton.rows[automaton.state_of[t]]
+    assert not automaton.arc(after(0), 1) and not automaton.arc(after(0), 4) and automaton.arc(after(3), 2) and not automaton.arc(after(1), 2)
+
+
 def test_bpe_operator(odd, odd_rows, none):
     lib = library()
     got = bpe.bpe_encode(odd).collect()

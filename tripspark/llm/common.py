@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; where none is set a folder of our own in local mode, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -45,3 +49,9 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key) == "10000":
         conf.set(key, str(rows))
+
+
+def free_memory() -> None:
+    """At the end of a Python task: give what its tables took back, as workers live on and hold it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -36,9 +36,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 _POWERS = {"n": 0, "up": None, "down": None}
+#: Longest table that a worker keeps; a longer text has its own while it is read.
+KEPT_POWERS = 1 << 21
 
 
 def both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > KEPT_POWERS:
+        return powers(BASE, n), powers(INVERSE, n)
     if _POWERS["n"] < n:
         size = max(n, 1 << 16)
         _POWERS.update(n=size, up=powers(BASE, size), down=powers(INVERSE, size))

@@ -220,7 +220,7 @@ def load(path: str, odd: frozenset[str]) -> WordBpe:
     return WordBpe(path, odd)
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids (array, if keep_ids), ids_sha256, decoded_sha256 and (if keep_ids) decoded.
 
     Special strings inside a text become their tokens, no others are added. A null
@@ -228,7 +228,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     repeated ids stay as they are. An empty table gives no rows. Other columns
     are not read, whatever their names. ``path``: the vocabulary file, on every
     executor; one with another normaliser, splitter or model than this module's is
-    an error.
+    an error. ``carry``: columns of ``docs`` that come along as they are.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
@@ -253,12 +253,16 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 if keep_ids:
                     out += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
+                for k, c in enumerate(carry):
+                    out.append(part.column(2 + k))
+                    names.append(c)
                 yield pa.RecordBatch.from_arrays(out, names=names)
         model.forget()
         free_memory()
 
     small_batches(docs)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

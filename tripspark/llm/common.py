@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Arrow batches of documents hold thousands of characters a row: fewer rows a batch than Spark's 10 000, unless the user chose."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

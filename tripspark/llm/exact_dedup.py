@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripspark.llm.common import ascii_lower, cut, documents
+from tripspark.llm.common import ascii_lower, cut, documents, free_name
 
 
 def digest_of(text: Column) -> Column:
@@ -56,9 +56,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_dedup drops; all columns stay as they are."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest"))
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (digest_of(F.col(text_col)) == F.col("_digest"))
+    """``docs`` without the rows that exact_dedup drops; all columns stay as they are, whatever their names.
+
+    Null texts and ids, ties and repeated rows as in exact_dedup: of rows that repeat
+    both id and text all stay if one does. An empty table gives no rows.
+    """
+    gone_id, digest = free_name(docs, "gone_id"), free_name(docs, "gone_digest")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(digest))
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (digest_of(F.col(text_col)) == F.col(digest))
     return docs.join(gone, same, "left_anti")
 
 

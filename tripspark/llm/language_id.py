@@ -12,6 +12,7 @@ languages is learned. Prediction works row by row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.arrays import ragged
-from tripspark.llm.common import cut, documents, small_batches
+from tripspark.llm.common import cut, documents, free_memory, small_batches
 
 LONGEST = 4
 #: Values of a row of training is picked by: a hash of the id, below this.
@@ -28,7 +29,7 @@ PICKS = 1 << 30
 #: Cells of a worker's dense table of new words by languages.
 CELLS = 1 << 22
 #: Unseen words kept in a task's table before it is begun anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -37,21 +38,23 @@ def held_out(id_col: Column) -> Column:
 
 
 def _most_frequent(counts: DataFrame, item: str, most: int) -> DataFrame:
-    """Of each language the items with so high a count that at most ``most`` have it; no ordering of all items is needed."""
+    """Of each language the ``most`` items of the highest counts; of those that tie at the limit so many as there is room for, about, picked by a hash. No ordering of all items is needed."""
     spread = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("items")).collect()  # one row per language and distinct count
     tiers: dict[str, list[tuple[int, int]]] = {}
     for r in spread:
         tiers.setdefault(r.lang, []).append((r.n, r["items"]))
-    least: dict[str, int] = {}
+    least: list[tuple[str, int, int]] = []
     for lang, found in tiers.items():
-        room = most
+        room, limit, part = most, 0, PICKS
         for n, size in sorted(found, reverse=True):
-            room -= size
-            if room < 0:
+            if size > room:
+                limit, part = n, PICKS * room // size
                 break
-            least[lang] = n
-    lowest = counts.sparkSession.createDataFrame(list(least.items()), "lang string, least bigint")  # one row per language
-    return counts.join(F.broadcast(lowest), "lang").where("n >= least").select("lang", item, "n")
+            room -= size
+        least.append((lang, limit, part))
+    lowest = counts.sparkSession.createDataFrame(least, "lang string, least bigint, part bigint")  # one row per language
+    picked = F.pmod(F.xxhash64(F.lit(3), item), F.lit(PICKS)) < F.col("part")
+    return counts.join(F.broadcast(lowest), "lang").where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & picked)).select("lang", item, "n")
 
 
 class Table:
@@ -98,10 +101,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.row = dict(model.word_row)
-        self.words = model.words
+        self._begin()
         self.letters = regex.compile(r"\p{L}+").findall
 
+    def _begin(self) -> None:
+        nothing = np.zeros(0, np.int64)
+        self.row, self.unseen = {}, Table(nothing, nothing, np.zeros(0))
+
     def _unseen(self, words: list[str]) -> np.ndarray:
         grams, into, size = [], [], np.ones(len(words))
         rows = self.model.gram_row
@@ -120,17 +126,21 @@ class Scorer:
         split = [self.letters(t.lower()) if t else [] for t in texts]
         if not self.model.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        if len(self.row) > len(self.model.word_row) + KEPT_WORDS:
-            self.row, self.words = dict(self.model.word_row), self.model.words
-        new = list({w for words in split for w in words} - self.row.keys())
+        if len(self.row) > KEPT_WORDS:
+            self._begin()
+        new = list({w for words in split for w in words} - self.model.word_row.keys() - self.row.keys())
         most = max(1, CELLS // len(self.model.langs))
         for lo in range(0, len(new), most):
             part = new[lo : lo + most]
             self.row.update(zip(part, range(len(self.row), len(self.row) + len(part))))
-            self.words = self.words.extended(self._unseen(part))
+            self.unseen = self.unseen.extended(self._unseen(part))
         size = [len(words) for words in split]
-        rows = np.fromiter((self.row[w] for words in split for w in words), np.int64, sum(size))
-        total = self.words.sums(rows, np.repeat(np.arange(len(split)), size), len(split), len(self.model.langs))
+        into, many, langs = np.repeat(np.arange(len(split)), size), len(split), len(self.model.langs)
+        flat = [w for words in split for w in words]
+        rows = np.fromiter(map(self.model.word_row.get, flat, repeat(-1)), np.int64, len(flat))
+        known, other = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        rows[other] = np.fromiter((self.row[flat[k]] for k in other.tolist()), np.int64, len(other))
+        total = self.model.words.sums(rows[known], into[known], many, langs) + self.unseen.sums(rows[other], into[other], many, langs)
         best = total.argmax(axis=1)  # of equal ones the first in alphabetical order
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         langs = [self.model.langs[k] if n else "und" for k, n in zip(best.tolist(), size)]
@@ -151,7 +161,9 @@ def quota(counts: list[int], most: int) -> float:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 10_000, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
     """Fit on rows with a language that are not held out: about ``max_train`` of them, picked by a hash of the id.
 
-    Every language is learned, from an equal part of them, or from all its rows if it
+    Null and empty texts teach nothing; rows with a null or repeated id are rows like
+    others. Without such rows, or from an empty table, the model knows no language.
+    Other columns are not read. Every language is learned, from an equal part of them, or from all its rows if it
     has fewer. Of more languages than ``max_train`` each still gives a row.
     """
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(PICKS)).alias("pick"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -193,13 +205,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 part = batch.slice(lo, 512)
                 langs, scores = scorer.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        del scorer
+        free_memory()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score: a third is hardly more than a guess); all columns stay as they are."""
+    """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score: a third is hardly more than a guess).
+
+    All columns stay as they are, whatever their names. Null texts and texts without
+    letters go; repeated rows are judged alike; an empty table gives no rows.
+    """
     model = train(docs, id_col, text_col, lang_col)
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -211,7 +229,9 @@ def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "do
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 langs, scores = scorer.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores)]))
+                yield part.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
+        del scorer
+        free_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

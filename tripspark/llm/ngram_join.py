@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.arrays import Rolling, joined, mix, pieces, powers, word_spans
-from tripspark.llm.common import cut, documents, small_batches
+from tripspark.llm.common import cut, documents, free_memory, free_name, small_batches
 from tripspark.llm.components import connected_components
 
-#: Representatives of a tile's side.
-TILE = 512
+#: Representatives of a tile's side, and n-grams of all of them together (8 bytes each).
+TILE, TILE_GRAMS = 512, 1 << 20
+#: Side of the members of a tile in which all pairs count; a tile of two parts has sides 0 and 1, one of which may be empty.
+WITHIN = 2
 NO_ID = -(1 << 63)
 
 
@@ -97,6 +99,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 np.cumsum(np.where(sizes > 0, bands, 0), out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(out[full].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, many), pa.array(sizes.astype(np.int64)), _signed(fp1), _signed(fp2), lists], names=["id", "grams", "fp1", "fp2", "bands"])
+        free_memory()
 
     return docs.mapInArrow(run, "id bigint, grams bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
 
@@ -118,18 +121,30 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
                         keep.append(d)
                         blobs.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(keep, pa.int64())) for k in (0, 3, 4)), pa.array(blobs, pa.binary())], names=["rep", "copies", "tiles", "grams"])
+        free_memory()
 
     return rows.select("rep", "fp1", "text", "copies", "tiles").mapInArrow(run, "rep bigint, copies bigint, tiles array<struct<group:bigint,tile:bigint,side:int>>, grams binary")
 
 
 def verify_tile(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, smallest linked member) of each representative: all pairs, or only those of side 0 with side 1 if there is a side 1."""
+    """(links, smallest linked member) of each representative: all pairs of a tile of side WITHIN, else those of side 0 with side 1.
+
+    In order of size, a set is compared only with those up to 1 / threshold times as large.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    back = np.argsort(order)
+    links, least = _by_size(rep[order], copies[order], side[order], [sets[k] for k in order], threshold)
+    return links[back], least[back]
+
+
+def _by_size(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(s) for s in sets])
-    begin = np.cumsum(sizes) - sizes
+    begin = np.append(0, np.cumsum(sizes))
+    last = np.searchsorted(sizes, sizes / threshold + 1e-9, "right")
     universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
     seen = np.zeros(len(universe), np.int32)
     links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    cross = bool((side == 1).any())
+    cross = not (side == WITHIN).any()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -137,14 +152,18 @@ def verify_tile(rep: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: lis
             i = root[i]
         return i
 
-    for i in np.flatnonzero(side == 0):
-        own = ids[begin[i] : begin[i] + sizes[i]]
+    for i in range(len(rep) - 1):
+        lo, hi = i + 1, int(last[i])
+        if hi <= lo:
+            continue
+        own = ids[begin[i] : begin[i + 1]]
         seen[own] = 1
-        shared = np.add.reduceat(seen[ids], begin)
+        shared = np.add.reduceat(seen[ids[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo])
         seen[own] = 0
-        near = shared * (1 + threshold) >= threshold * (sizes[i] + sizes) - 1e-9
-        near &= (side == 1) if cross else (np.arange(len(rep)) > i)
-        partners = np.flatnonzero(near & (rep != rep[i]))
+        near = shared * (1 + threshold) >= threshold * (sizes[i] + sizes[lo:hi]) - 1e-9
+        if cross:
+            near &= side[lo:hi] != side[i]
+        partners = lo + np.flatnonzero(near & (rep[lo:hi] != rep[i]))
         links[i] += copies[partners].sum()
         links[partners] += copies[i]
         for p in partners.tolist():
@@ -163,7 +182,7 @@ def _verify(threshold: float):
         out_rep, out_links, out_root = [], [], []
         cuts = np.flatnonzero(np.diff(tile[order])) + 1
         for part in np.split(np.arange(len(order)), cuts):
-            _, once = np.unique(rep[part] * 2 + side[part], return_index=True)
+            _, once = np.unique(np.stack([rep[part], side[part]], axis=1), axis=0, return_index=True)
             part = part[once]
             if len(part) > 1:
                 links, root = verify_tile(rep[part], copies[part], side[part], [np.frombuffer(blobs[k], np.uint64) for k in part], threshold)
@@ -179,16 +198,17 @@ def _verify(threshold: float):
 
 def _tiles(members: DataFrame, threshold: float) -> DataFrame:
     """members (rep, component, grams) with tiles: array of (group, tile, side)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("grams").alias("all_grams"))
     sized = members.join(sizes, "component")
-    total = max(1, members.count())
-    groups = max(1, math.ceil(total / TILE))
-    small = sized.where(F.col("members") <= TILE).withColumn(
-        "tiles", F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"), F.col("component").alias("tile"), F.lit(0).alias("side")))
+    total = members.agg(F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("grams"), F.lit(0)).alias("grams")).first()
+    groups = max(1, math.ceil(total.members / TILE), math.ceil(total.grams / TILE_GRAMS))
+    fits = (F.col("members") <= TILE) & (F.col("all_grams") <= TILE_GRAMS)
+    small = sized.where(fits).withColumn(
+        "tiles", F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"), F.col("component").alias("tile"), F.lit(WITHIN).alias("side")))
     )
     # set sizes of a pair at the threshold lie in the same or neighbouring classes
-    sized = sized.where(F.col("members") > TILE).withColumn("cls", F.floor(F.log(F.col("grams").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)))
-    parts = sized.groupBy("component", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("parts"))
+    sized = sized.where(~fits).withColumn("cls", F.floor(F.log(F.col("grams").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)))
+    parts = sized.groupBy("component", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TILE), F.sum("grams") / F.lit(TILE_GRAMS))).alias("parts"))
     near = lambda step, name: parts.select("component", (F.col("cls") + step).alias("cls"), F.col("parts").alias(name))
     large = sized.join(parts, ["component", "cls"]).join(near(-1, "above"), ["component", "cls"], "left").join(near(1, "below"), ["component", "cls"], "left")
     large = large.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
@@ -202,7 +222,7 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
     def upto(n: Column) -> Column:
         return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    within = F.transform(upto(F.col("parts")), lambda j: tile(0, F.col("cls"), F.least(me, j), F.greatest(me, j), F.when(me <= j, 0).otherwise(1)))
+    within = F.transform(upto(F.col("parts")), lambda j: tile(0, F.col("cls"), F.least(me, j), F.greatest(me, j), F.when(me == j, WITHIN).when(me < j, 0).otherwise(1)))
     up = F.transform(upto(F.col("above")), lambda j: tile(1, F.col("cls"), me, j, F.lit(0)))
     down = F.transform(upto(F.col("below")), lambda j: tile(1, F.col("cls") - 1, j, me, F.lit(1)))
     large = large.withColumn("tiles", F.concat(within, up, down))
@@ -253,13 +273,15 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of ngram_join; all columns stay as they are.
+    """``docs`` with one document of each class of ngram_join; all columns stay as they are, whatever their names.
 
-    Of rows that repeat an id, all stay if any does; rows with a null id stay.
+    Of rows that repeat an id, all stay if any does; rows with a null id stay, and so
+    do documents without words. An empty table gives no rows.
     """
     found = ngram_join(docs, id_col=id_col, text_col=text_col)
-    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("NOT _any").drop("_any")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone_id = free_name(docs, "gone_id")
+    gone = found.groupBy(F.col("doc_id").alias(gone_id)).agg(F.bool_or("kept").alias("any_kept")).where("NOT any_kept").select(gone_id)
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

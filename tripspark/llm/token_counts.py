@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tripspark.llm.common import documents, small_batches
+from tripspark.llm.common import documents, free_memory, small_batches
 from tripspark.llm.merge_automaton import MergeAutomaton
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words kept in a task's table of counted words before it is begun anew.
-KEPT_WORDS = 800_000
+#: Words kept in a task's table of counted words before it is begun anew; it is dropped at the end of the task.
+KEPT_WORDS = 400_000
 
 
 class Pieces:
@@ -72,11 +72,14 @@ class Pieces:
             merges.append((token[parts[0]], token[parts[1]], token[p]) if len(parts) == 2 else (len(letters), len(letters), token[p]))
         self.automaton = MergeAutomaton(len(letters), merges, pairs)
         self.mark = self.unit[MARK]
-        self.known: dict[str, int] = {"\n": 1, "": 0}
+        self.forget()
         if "\n" in self.unit:
             raise ValueError("the vocabulary has a piece with a line break")
         self.split = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
 
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"\n": 1, "": 0}
+
     def blanks(self, n: int) -> int:
         """Tokens of n marks: the pair of highest score merges first, of equal ones the leftmost."""
         import heapq
@@ -129,7 +132,7 @@ class Pieces:
     def count(self, texts: list[str]) -> list[int]:
         split = [self.segments(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known = {"\n": 1, "": 0}
+            self.forget()
         known = self.known
         self.learn({s for segments in split for s in segments})
         return [sum(map(known.__getitem__, segments)) for segments in split]
@@ -181,6 +184,8 @@ def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, schema:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays(*row_of(model, part.column(0), [t or "" for t in part.column(1).to_pylist()]))
+        model.forget()
+        free_memory()
 
     small_batches(docs)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

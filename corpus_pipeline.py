@@ -11,28 +11,29 @@ from tripspark.llm.common import checkpoint_folder, documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
+    """Documents whose language cannot be told go: null texts, texts without letters, mere guesses. All columns stay; an empty table stays empty."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of texts equal but for A-Z and a-z the one with the largest doc_id stays; null equals the empty text. All columns stay; rows that repeat id and text stay or go together."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by an n-gram similarity of 0.8 or more the one with the smallest doc_id stays."""
+    """Of documents linked by an n-gram similarity of 0.8 or more the one with the smallest doc_id stays. All columns stay; rows with a null id and texts without words stay."""
     return ngram_join.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The stream of all documents in which each source has its target weight; small sources repeat, so rows may too."""
+    """The stream of all documents in which each source has its target weight; small sources repeat, so rows may too. All columns keep their values; a null source is one of its own."""
     return mixing.mixed_stream(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of the ids and of the decoded text."""
-    return bpe.bpe_encode(docs).drop("decoded")
+    """Token ids of each document, with the digests of the ids and of the decoded text, and its place in the stream; a null text has no tokens."""
+    placed = mixing.stream_position(docs)
+    return bpe.bpe_encode(placed, carry=("stream_part", "stream_row")).drop("decoded")
 
 
 STAGES = [

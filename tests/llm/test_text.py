@@ -190,6 +190,36 @@ def test_quality_rejects_depleted_documents(spark):
     assert out[0] == (True, 12) and out[40] == (False, 24)
 
 
+def brute_boilerplate(rows, min_docs, share):
+    """(lost words, text left) of each row (id, text, host)."""
+    blanks, key = " \t\n\x0b\x0c\r", lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    docs, lines = {}, {}
+    for k, (i, text, host) in enumerate(rows):
+        doc = i if i is not None else ("row", k)
+        docs.setdefault(host, set()).add(doc)
+        for x in (text or "").split("\n"):
+            if key(x):
+                lines.setdefault((host, key(x)), set()).add(doc)
+    gone = {x for x, d in lines.items() if len(d) > min_docs and len(d) > share * len(docs[x[0]])}
+    for i, text, host in rows:
+        own = (text or "").split("\n")
+        cut = [x for x in own if (host, key(x)) in gone]
+        yield sum(len([w for w in re.split(f"[{blanks}]+", x) if w]) for x in cut), "\n".join(x for x in own if (host, key(x)) not in gone)
+
+
+def test_quality_on_repeated_rows_and_null_ids(spark, odd, odd_rows):
+    menu, rnd = "Home about contact terms privacy help login cart search offers news blog", random.Random(4)
+    body = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    rows = [(i, f"{menu}\n{body()}", "h") for i in range(8)] + [(100, f"{menu} \n{body()}", "h")] * 3 + [(None, f"\t{menu.upper()}\n{body()}", "h") for _ in range(3)]
+    rows += [(200, f"{menu}\nonly in copies", "g")] * 9 + [(300 + i, None, None) for i in range(9)] + [(400 + i, f"{menu}\n\n{menu}\n{body()}", None) for i in range(9)]
+    for table, options in ((rows, dict(min_docs=5, min_share=0.01)), (rows, dict(min_docs=2, min_share=0.7)), ([(i, t, s) for i, t, _, s in odd_rows], dict(min_docs=4, min_share=0.05))):
+        docs = spark.createDataFrame(table, "doc_id bigint, text string, source string").repartition(3)
+        got = quality_rules.quality_rules(docs, keep_text=True, **options).collect()
+        want = Counter((i, n, left) for (i, _, _), (n, left) in zip(table, brute_boilerplate(table, options["min_docs"], options["min_share"])))
+        assert Counter((r.doc_id, r.n_boilerplate_words, r.kept_text) for r in got) == want
+        assert all(r.kept == (not r.base_failed and r.n_words - r.n_boilerplate_words >= max(20, r.n_words / 2)) for r in got)
+
+
 def test_language_id(spark, odd, odd_rows, none):
     model = language_id.train(odd)
     got = language_id.predict(odd, model).collect()

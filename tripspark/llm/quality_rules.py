@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.common import ascii_lower, cut, documents
-from tripspark.llm.line_dedup import hashes, key_of, lines_of
+from tripspark.llm.line_dedup import key_of, lines_of
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -49,53 +49,65 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("byhash", "at", "again")
 
 
-def host_lines(rows: DataFrame) -> DataFrame:
-    """One row per document and distinct line: doc_id, host, its hash and words (of all its places)."""
-    keys = F.transform(lines_of(ascii_lower(F.col("text"))), key_of)
-    keys = F.filter(keys, lambda k: k != "")
-    each = rows.select("doc_id", "host", F.explode(keys).alias("key"))
-    return each.select("doc_id", "host", *hashes(), F.size(F.split("key", BLANKS, -1)).alias("w"))
+def host_lines(text: Column) -> Column:
+    """Of each line with a word, in order: the hash of its key and its words."""
+    keys = F.filter(F.transform(lines_of(ascii_lower(text)), key_of), lambda k: k != "")
+    return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h"), F.size(F.split(k, BLANKS, -1)).alias("w")))
 
 
 def frequent_host_lines(rows: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """(host, h1, h2) of the lines above their host's limit."""
-    distinct = F.array_distinct(F.filter(F.transform(lines_of(ascii_lower(F.col("text"))), key_of), lambda k: k != ""))
-    lines = rows.select("host", F.explode(distinct).alias("key")).select("host", *hashes())
-    counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    hosts = rows.groupBy(F.col("host").alias("of")).agg((F.count(F.lit(1)) * F.lit(min_share)).alias("limit"))
+    """(on, h): the lines above their host's limit, for rows of host, document and lines.
+
+    The pairs of a line and a document are made distinct first, spread by both; then a
+    line's documents are summed before the exchange, however many they are.
+    """
+    lines = rows.select("host", "document", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = lines.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") > min_docs)
+    hosts = rows.groupBy(F.col("host").alias("of")).agg((F.count_distinct("document") * F.lit(min_share)).alias("limit"))
     above = counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
-    return cut(above.select(F.col("host").alias("on"), "h1", "h2"))
+    return cut(above.select(F.col("host").alias("on"), "h"))
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_percent: int = 30,
-    min_docs: int = 20, min_share: float = 0.01, min_left: float = 0.5,
+    min_docs: int = 20, min_share: float = 0.01, min_left: float = 0.5, keep_text: bool = False,
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words and (if keep_text) kept_text.
 
     Words are runs of non-blank characters (ASCII blanks). base_failed: fewer than
     ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated
     eight-word windows. kept: not base_failed, and without the lines above the
     host's limit at least ``min_words`` words and ``min_left`` of all words are
-    left. A null text has no words and fails. A null host is a host of its own.
-    Rows that share id and host count as one document's lines but keep their own
-    counts. An empty table gives no rows. Other columns are not read.
+    left. kept_text: the text without those lines. Lines are equal if they are without
+    blanks at their ends and with A-Z lower-cased; they are told apart by a 64-bit hash.
+
+    A null text has no words and fails. A null host is a host of its own. A host's
+    documents are told apart by id: rows that repeat one are one document, each row
+    with a null id is one of its own. Every row keeps its own counts, and its lost
+    words are those of its own lines. An empty table gives no rows. Other columns
+    are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(host_col).alias("host"))
-    frequent = frequent_host_lines(rows, min_docs, min_share)
-    lines = host_lines(rows)
-    hit = (lines.host.eqNullSafe(frequent["on"])) & (lines.h1 == frequent.h1) & (lines.h2 == frequent.h2)
-    lost = lines.join(frequent, hit, "left_semi").groupBy(F.col("doc_id").alias("lost_id"), F.col("host").alias("lost_host")).agg(F.sum("w").alias("lost"))
-    counts = text_counts(rows).drop("text")
-    out = counts.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & F.col("host").eqNullSafe(F.col("lost_host")), "left")
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "lines": host_lines(F.col("text"))})
+    counted = text_counts(rows)
+    # each text is read once; numbers and hashes of lines go on, and the rows' numbers are settled
+    counted = cut(counted if keep_text else counted.drop("text"))
+    slim = counted.select("row", "host", "lines", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))).alias("document"))
+    frequent = frequent_host_lines(slim, min_docs, min_share)
+    each = slim.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
+    hit = each.host.eqNullSafe(frequent["on"]) & (each.h == frequent.h)
+    lost = each.join(frequent, hit, "left_semi").groupBy(F.col("row").alias("of_row")).agg(F.sum("w").alias("lost"), *([F.collect_set("h").alias("gone")] if keep_text else []))
+    out = counted.join(lost, F.col("row") == F.col("of_row"), "left")
     lost_words = F.coalesce("lost", F.lit(0)).cast("bigint")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - lost_words
+    stays = F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains("gone", F.xxhash64(key_of(ascii_lower(x)))))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"),
         lost_words.alias("n_boilerplate_words"),
+        *([F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("kept_text")] if keep_text else []),
     )
 
 

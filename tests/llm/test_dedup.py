@@ -70,7 +70,7 @@ def brute_lines(rows, min_docs):
 
 
 def test_line_dedup(odd, odd_rows, none):
-    for batches in ([odd], [odd.where("doc_id < 100"), odd.where("doc_id >= 100"), odd.where("doc_id IS NULL"), none]):
+    for batches in (odd, [odd], [odd.where("doc_id < 100"), odd.where("doc_id >= 100"), odd.where("doc_id IS NULL"), none]):
         for min_docs in (10, 2):
             got = line_dedup.line_dedup(batches, min_docs, fanout=2).collect()
             assert sorted((low(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(brute_lines(odd_rows, min_docs))
@@ -79,9 +79,26 @@ def test_line_dedup(odd, odd_rows, none):
 
 def test_line_runs_are_levelled_and_know_what_is_new(spark, odd):
     runs = line_dedup.LineRuns(spark, fanout=2)
-    parts = [odd.where(f"doc_id % 4 = {k}") for k in range(4)]
-    for part in parts:
+    parts, seen = [odd.where(f"doc_id % 4 = {k}") for k in range(4)], set()
+    for k, part in enumerate(parts):
+        own = {(r.h1, r.h2) for r in line_dedup.line_hashes(part, 1, "doc_id", "text").collect()}
+        assert {(r.h1, r.h2) for r in runs.unseen(part).collect()} == own - seen
+        seen |= own
         runs.add(part)
+        held = [(r.h1, r.h2) for r in runs.keys().collect()]
+        assert len(held) == len(set(held)) and set(held) == seen  # a line is new in one run only
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert runs.unseen(parts[1]).count() == 0 and runs.unseen(spark.createDataFrame([(1, "never seen")], "doc_id bigint, text string")).count() == 1
     runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
+def test_runs_are_matched_and_merged_without_a_shuffle(spark, odd):
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    for k in range(3):
+        runs.add(odd.where(f"doc_id % 3 = {k}"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(runs.all()) and "Bucketed: true" in plan(runs.all())
+    unseen = plan(runs.unseen(odd))
+    assert "SortMergeJoin" in unseen and unseen.count("Exchange hashpartitioning") == 1  # the batch only
+    runs.close()

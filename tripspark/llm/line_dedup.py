@@ -1,11 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet folder of (h1, h2, n): the 128-bit hash of a line's key and
-the number of documents it was seen in, sorted by hash in each partition. A
-batch of documents adds one run on level 0; when a level holds ``fanout`` runs
-they are merged into one run of the next level, so that a hash is rewritten
-once per level and never more. Batches are matched with the runs by sort-merge
-(anti) joins on the hash. Runs hold 24 bytes a distinct line, no text.
+A run is a table of (h1, h2, n, seen): the 128-bit hash of a line's key and the
+number of a batch's documents that carry it, in buckets of the hash, sorted in each.
+Each batch of documents is merge-anti-joined with the runs: what no run holds is new
+and makes the batch's own run (``seen`` false); what one holds adds to its count
+(``seen`` true). So a line is new in one run only. When a level holds ``fanout`` runs they
+are merged into one run of the next level, so that a hash is rewritten once per
+level and never more. All runs share one bucketing, so matching, merging and
+counting them shuffles nothing but the new batch. Runs hold some 25 bytes a distinct
+line, no text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 
 from tripspark.llm.common import WS, ascii_lower, checkpoint_folder, cut, documents
 
+HASH = ["h1", "h2"]
+
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -38,70 +43,110 @@ def hashes(key: str = "key") -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(11), F.col(key)).alias("h2")]
 
 
+def line_hashes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h1, h2) of the distinct lines of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(keys_of(F.col(text_col), min_chars)).alias("key"))
+    return rows.select("doc_id", *hashes())
+
+
 class LineRuns:
-    """The levelled runs of one corpus, in the cluster's shared folder."""
+    """The levelled runs of one corpus: bucketed tables in the cluster's shared folder, dropped by ``close``.
+
+    Batches may be empty; null texts have no lines. Rows that repeat an id are
+    documents of their own.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = 1):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
-        self.folder = f"{checkpoint_folder(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.folder = f"{checkpoint_folder(spark)}/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.written = 0
 
-    def _lines(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        rows = batch.select(F.col(id_col).alias("doc_id"), F.explode(keys_of(F.col(text_col), self.min_chars)).alias("key"))
-        return rows.select("doc_id", *hashes())
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level-{level}-{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("h1", "h2").write.parquet(path)
+    def _write(self, run: DataFrame, level: int) -> None:
+        name = f"{self.name}_{self.written}"
+        self.written += 1
+        run.select(*HASH, "n", "seen").write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.folder}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._write(self._counts(merged), level + 1)
+            # a line that is new in one of these runs is new in the merged one
+            self._write(self._merged(merged), level + 1)
             for old in merged:
-                self._delete(old)
+                self._drop(old)
 
-    def _counts(self, paths: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, [self.spark.read.schema("h1 bigint, h2 bigint, n bigint").parquet(p) for p in paths])
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _union(self, names: list[str]) -> DataFrame:
+        """The runs bucket by bucket. Spark 4.1 keeps the buckets of a union together only if rows, not columns, come in: hence the filter, which all rows pass."""
+        return reduce(DataFrame.unionByName, (self.spark.table(name).where("n > 0") for name in names))
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        return self._union(names).groupBy(*HASH).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._delete(f"{self.folder}/{name}")
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def keys(self) -> DataFrame | None:
+        """(h1, h2) of every line that a run holds, each once; None without runs."""
+        return self._union(self.names()).where("NOT seen").select(*HASH) if self.names() else None
+
     def all(self) -> DataFrame:
         """(h1, h2, n) over all runs; no rows if there are no runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._counts(paths) if paths else self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint")
+        return self._merged(self.names()).drop("seen") if self.names() else self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint")
 
     def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Count the batch's lines, once a document, and add them as a run."""
-        self._write(self._lines(batch, id_col, text_col).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), 0)
+        """Add the batch's lines, counted once a document, as a run."""
+        self.add_lines(line_hashes(batch, self.min_chars, id_col, text_col))
+
+    def add_lines(self, lines: DataFrame) -> None:
+        """The merge-anti-join: lines that no run holds are the new run, the others add to the count of theirs."""
+        counts = lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"))
+        held = self.keys()
+        if held is None:
+            return self._write(counts.withColumn("seen", F.lit(False)), 0)
+        # both answers of the anti-join at once: the partner is there or not
+        matched = counts.join(held.withColumn("held", F.lit(True)).hint("merge"), HASH, "left")
+        self._write(matched.withColumn("seen", F.col("held").isNotNull()), 0)
 
     def unseen(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, h1, h2) of the batch's lines that no run holds: the merge-anti-join, for incremental loads."""
-        return self._lines(batch, id_col, text_col).join(self.all().hint("merge"), ["h1", "h2"], "left_anti")
+        """(doc_id, h1, h2) of the batch's lines that no run holds, for incremental loads."""
+        lines, held = line_hashes(batch, self.min_chars, id_col, text_col), self.keys()
+        return lines if held is None else lines.join(held.hint("merge"), HASH, "left_anti")
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2) of the lines found in at least min_docs documents, cut off from the runs."""
-        return cut(self.all().where(F.col("n") >= min_docs).select("h1", "h2"))
+        return cut(self.all().where(F.col("n") >= min_docs).select(*HASH))
 
     def close(self) -> None:
+        for name in self.names():
+            self._drop(name)
         self._delete(self.folder)
 
 
 def remove_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text: every line whose key is in ``frequent`` is gone.
+    """doc_id, n_lines, n_dropped, kept_text: every line whose key is in ``frequent`` (h1, h2) is gone.
 
+    A null or empty text is one empty line; rows with a null or repeated id lose the
+    lines of all rows of that id that are in ``frequent``, which are the same. An empty
+    table gives no rows. Other columns are not read.
     The join with ``frequent`` and the way back to the documents are left to
     adaptive execution: it broadcasts what it has measured to be small, else
     merges and splits skewed partitions (a line may be in a third of the rows).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = rows.select("doc_id", F.explode(keys_of(F.col("text"), min_chars)).alias("key")).select("doc_id", *hashes())
-    hits = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h1").alias("gone"))
+    lines = line_hashes(docs, min_chars, id_col, text_col)
+    hits = lines.join(frequent, HASH, "left_semi").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h1").alias("gone"))
     joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "text", "gone", lines_of(F.col("text")).alias("lines"))
 
     def stays(line: Column) -> Column:
@@ -118,35 +163,39 @@ def remove_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, id_co
     )
 
 
-def line_dedup(batches: list[DataFrame], min_docs: int = 10, min_chars: int = 1, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Over all batches: doc_id, n_lines, n_dropped, kept_text.
+def line_dedup(docs: DataFrame | list[DataFrame], min_docs: int = 10, min_chars: int = 1, fanout: int = 3, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text of all rows.
 
     A line's key is the line without ASCII white space at both ends, A-Z
     lower-cased. Keys of at least ``min_chars`` characters in at least
     ``min_docs`` documents lose all their lines; a line counts once a document.
+    ``docs``: the batches in the order they came in, or one table, whose lines are
+    dealt into so many ``batches`` by a hash of the id, however many files it has.
     A null or empty text is one empty line and stays so. Every row is a document
     of its own, also if its id is null or repeated. No batches are an error; empty
-    batches give no rows. Other columns are not read.
+    ones give no rows. Other columns are not read.
     """
-    runs = LineRuns(batches[0].sparkSession, fanout, min_chars)
-    for batch in batches:
-        runs.add(batch, id_col, text_col)
-    frequent = runs.frequent(min_docs)
-    runs.close()
-    return remove_lines(reduce(DataFrame.unionByName, batches), frequent, min_chars, id_col, text_col)
-
-
-def file_batches(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The table's files dealt into at most n batches; a table without files is one batch."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        return [docs]
-    read = docs.sparkSession.read.schema(docs.schema)
-    return [read.parquet(*files[i::n]) for i in range(min(n, len(files)))]
+    parts = docs if isinstance(docs, list) else [docs]
+    runs = LineRuns(parts[0].sparkSession, fanout, min_chars)
+    try:
+        if isinstance(docs, list):
+            for part in parts:
+                runs.add(part, id_col, text_col)
+        else:
+            dealt = f"{runs.folder}/lines"
+            lines = line_hashes(docs, min_chars, id_col, text_col)
+            lines.select(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(batches)).cast("int").alias("batch"), *HASH).write.partitionBy("batch").parquet(dealt)
+            read = docs.sparkSession.read.schema("h1 bigint, h2 bigint, batch int").parquet(dealt)
+            for k in range(batches):
+                runs.add_lines(read.where(F.col("batch") == k).select(*HASH))
+        frequent = runs.frequent(min_docs)
+    finally:
+        runs.close()
+    return remove_lines(reduce(DataFrame.unionByName, parts), frequent, min_chars, id_col, text_col)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(file_batches(documents(spark, sf_dir).select("doc_id", "text"), 4))
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

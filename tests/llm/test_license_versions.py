@@ -29,3 +29,35 @@ def test_no_template_is_taken_for_another_version():
     for tid, name, body in license_scan.TEMPLATES:
         found = set(brute_licenses(body))
         assert tid in found and not any(license_scan.family(by_id[x]) == license_scan.family(name) is not None and by_id[x] != name for x in found), (tid, found)
+
+
+def test_many_templates_are_joined_without_a_broadcast(spark, odd, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{FILLER}{t} {FILLER}") for i, t in enumerate(SEEN)] + [(None, "Released under the MIT License")] * 2, "doc_id bigint, text string").selectExpr("*", "'a' AS template_id", "1 AS x", "2 AS start", "'b' AS license")
+    want = sorted(map(str, license_scan.license_scan(docs).collect()))
+    assert len([x for x in want if "doc_id=None" in x]) == 1  # rows that repeat an id, a null one too, are one document
+    monkeypatch.setattr(license_scan, "BROADCAST_WORDS", 0)
+    assert sorted(map(str, license_scan.license_scan(docs).collect())) == want
+    assert license_scan.license_scan(odd).count() == 0
+
+
+def test_bands_retrieve(spark):
+    # no bands, no windows: a template without its band shingles is found nowhere
+    docs = spark.createDataFrame([(1, "Released under the MIT License")], "doc_id bigint, text string")
+    table, keys, widths, words = license_scan.template_tables(spark, license_scan.TEMPLATES, 0.8, 0.9999)
+    assert keys.count() < table.selectExpr("sum(size(t))").first()[0]  # fewer keys than shingles
+    real = license_scan.template_tables
+    try:
+        license_scan.template_tables = lambda *a: (table, keys.where("false"), widths, words)
+        assert license_scan.license_scan(docs).count() == 0
+    finally:
+        license_scan.template_tables = real
+    assert license_scan.license_scan(docs).count() == 1
+
+
+def test_whole_licences_are_found_in_long_texts(spark):
+    bodies = {tid: body for tid, _, body in license_scan.TEMPLATES if tid.endswith("-body")}
+    docs = [(i, f"{FILLER * 20}\n{body}\n{FILLER * 20}") for i, body in enumerate(bodies.values())]
+    docs += [(10 + i, FILLER + " ".join(w for k, w in enumerate(body.split()) if k % 60) + FILLER) for i, body in enumerate(bodies.values())]  # a word in 60 is missing
+    got = license_scan.license_scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    for i, tid in enumerate(bodies):
+        assert {tid} <= {r.template_id for r in got if r.doc_id == i} and {tid} <= {r.template_id for r in got if r.doc_id == 10 + i}

@@ -5,10 +5,11 @@ Words are compared lower-cased and without punctuation. A template of up to
 shingles that start at every multiple of ``c``, so a text that holds 0.8 of it
 has a window with a Jaccard similarity of at least 0.8t / (2c + 0.2t) to it;
 ``bands_for`` picks so many one-row bands that such a window collides with the
-wanted probability. A MinHash collision means that the smallest shingle is
-shared, so windows without any shingle of any template cannot collide: they are
-left out before hashing, at no loss. The templates are a parameter of bounded
-size (checked) and are broadcast.
+wanted probability. A window collides with a template in a band exactly if it holds
+the template's smallest shingle of that band and no smaller one. So the band join is
+done from the templates' side: their band shingles are looked up among all shingles
+of all texts by a hash join, and the windows round each place they occur at show
+whether one of the bands agrees. Only windows that collide are verified.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from tripspark.llm.quality_rules import BLANKS
 
 #: Words of a shingle; templates with fewer words are one shingle of all their words.
 WIDTH = 5
-MAX_TEMPLATE_WORDS = 100_000
+#: Words of all templates up to which their tables (some 50 bytes a word) are broadcast.
+BROADCAST_WORDS = 500_000
 
 #: Names that SPDX lines are looked for with.
 SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib Unlicense BSL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
@@ -72,6 +74,9 @@ TEMPLATES = [
     ("ccbyncnd-name", "CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
     ("cc0-name", "CC0-1.0", "CC0 1.0 Universal"),
     ("cc0-waiver", "CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("mit-body", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-body", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd2-body", "BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     *((f"spdx-{x.lower()}", x, f"SPDX-License-Identifier: {x}") for x in SPDX),
 ]
 
@@ -103,32 +108,34 @@ def shingles(words: Column, width: int) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def min_hashes(window: str, bands: int) -> Column:
-    return F.expr(f"transform(sequence(0, {bands - 1}), k -> array_min(transform({window}, x -> xxhash64(x, k))))")
+def template_tables(spark: SparkSession, templates: list[tuple[str, str, str]], containment: float, recall: float) -> tuple[DataFrame, DataFrame, set[int], int]:
+    """(templates, bands, widths, words).
 
-
-def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], containment: float, recall: float) -> tuple[DataFrame, list]:
-    """The templates with family, width, class (a power of two), shingles, and those of them with its version; and (width, class, bands, all shingles) of each class."""
-    if sum(len(t.split()) for _, _, t in templates) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words together")
+    templates: template_id, license, family, width, size (a power of two), t (the
+    shingles), version (those of them with its version). bands: a row for each
+    template and shingle that is its smallest in a band: x (the shingle), template_id,
+    size, and the bands (k, least) it gives.
+    """
     rows = spark.createDataFrame(templates, "template_id string, license string, text string").withColumn("words", words_of(F.col("text"))).where("size(words) > 0")
     rows = rows.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     pick = F.lit(None).cast("array<bigint>")
     for width in range(1, WIDTH + 1):
         pick = F.when(F.col("width") == width, shingles(F.col("words"), width)).otherwise(pick)
-    found = rows.select("template_id", "license", "width", "words", pick.alias("all"), F.array_distinct(pick).alias("t")).collect()  # bounded by MAX_TEMPLATE_WORDS
-    out, classes = [], {}
+    found = rows.select("template_id", "license", "width", "words", pick.alias("all"), F.array_distinct(pick).alias("t")).collect()  # the caller's own list
+    out, most = [], {}
     for r in found:
         size = 1 << max(0, (len(r.t) - 1).bit_length())
         named = family(r.license)
         version = {h for i, h in enumerate(r["all"]) if named and any(re.fullmatch(r"v?[0-9]+", w) for w in r.words[i : i + r.width])}
         out.append((r.template_id, r.license, named, r.width, size, list(r.t), sorted(version)))
-        classes.setdefault((r.width, size), []).append(r.t)
-    plan = []
-    for (width, size), sets in sorted(classes.items()):
-        t = min(map(len, sets))
-        plan.append((width, size, bands_for(containment * t / (2 * size + (1 - containment) * t), recall), sorted({x for s in sets for x in s})))
-    return spark.createDataFrame(out, "template_id string, license string, family string, width int, class int, t array<bigint>, version array<bigint>"), plan
+        most.setdefault(size, []).append(len(r.t))
+    bands = {size: bands_for(containment * min(n) / (2 * size + (1 - containment) * min(n)), recall) for size, n in most.items()}
+    table = spark.createDataFrame(out, "template_id string, license string, family string, width int, size int, t array<bigint>, version array<bigint>")
+    many = spark.createDataFrame(list(bands.items()), "size int, bands int")
+    least = F.expr("explode(transform(sequence(0, bands - 1), k -> struct(k, array_min(transform(t, x -> struct(xxhash64(x, k) AS least, x))) AS m)))")
+    keys = table.join(many, "size").select("template_id", "size", least.alias("b")).select("template_id", "size", F.col("b.m.x").alias("x"), F.struct(F.col("b.k").alias("k"), F.col("b.m.least").alias("least")).alias("band"))
+    keys = keys.groupBy("template_id", "size", "x").agg(F.collect_list("band").alias("bands"))
+    return table, keys, {r[3] for r in out}, sum(len(r.words) for r in found)
 
 
 def license_scan(
@@ -141,42 +148,30 @@ def license_scan(
     ``window_word`` the first word of the first such window. Null and empty texts
     hold no template. Rows that repeat an id are one document; a null id is kept.
     An empty table, or no templates, gives no rows. Other columns are not read.
+    Templates of up to BROADCAST_WORDS words together are broadcast; more are joined by
+    whatever plan their size asks for, with the same result.
     """
     spark = docs.sparkSession
-    table, plan = template_table(spark, templates, containment, recall)
     schema = "doc_id bigint, template_id string, license string, containment double, window_word bigint"
-    if not plan:
+    if not any(t.strip() for _, _, t in templates):
         return spark.createDataFrame([], schema)
+    table, keys, widths, n_words = template_tables(spark, templates, containment, recall)
+    table, keys = cut(table), cut(keys)
+    if n_words <= BROADCAST_WORDS:
+        table, keys = F.broadcast(table), F.broadcast(keys)
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    widths = sorted({w for w, *_ in plan})
-    rows = rows.select("doc_id", *(shingles(F.col("words"), w).alias(f"s{w}") for w in widths))
-
-    def literal(values: list[int]) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<bigint>")
-
-    of = {w: literal(sorted({x for width, _, _, xs in plan if width == w for x in xs})) for w in widths}
-    any_hit = F.lit(False)
-    for w in widths:
-        any_hit = any_hit | F.arrays_overlap(f"s{w}", of[w])
-    # the few texts with a shingle of a template, once for all classes
-    near = cut(rows.where(any_hit))
-    found = None
-    for width, size, bands, values in plan:
-        s = f"s{width}"
-        starts = F.expr(f"array_distinct(flatten(transform(hits, p -> array(p - p % {size}, greatest(0, p - p % {size} - {size})))))")
-        hits = F.expr(f"filter(transform({s}, (x, i) -> if(array_contains(known, x), i, -1)), i -> i >= 0)")
-        windows = near.select("doc_id", s, literal(values).alias("known")).withColumn("hits", hits).select("doc_id", s, F.explode(starts).alias("start"))
-        windows = windows.select("doc_id", "start", F.expr(f"slice({s}, start + 1, {2 * size})").alias("window"))
-        banded = windows.select("doc_id", "start", "window", F.posexplode(min_hashes("window", bands)).alias("band", "mh"))
-        mine = table.where((F.col("width") == width) & (F.col("class") == size))
-        keyed = mine.select("template_id", "license", "family", "t", "version", F.posexplode(min_hashes("t", bands)).alias("band", "mh"))
-        pairs = banded.join(F.broadcast(keyed), ["band", "mh"])
-        share = F.size(F.array_intersect("window", "t")) / F.size("t")
-        vague = (F.size("version") > 0) & ~F.arrays_overlap("window", "version")
-        stop = F.col("start") + 2 * size + width - 1
-        part = pairs.select("doc_id", "template_id", "license", "family", "start", stop.alias("stop"), vague.alias("vague"), share.alias("share")).where(F.col("share") >= containment)
-        found = part if found is None else found.unionByName(part)
-    found = cut(found)
+    rows = rows.select("doc_id", F.explode(F.array(*(shingles(F.col("words"), w) for w in sorted(widths)))).alias("s"))
+    # the band join, from the templates' side: where the shingle of a band occurs, is it the smallest of a window there?
+    met = rows.select("doc_id", "s", F.posexplode("s").alias("pos", "x")).join(keys, "x")
+    start = F.explode(F.expr("array_distinct(array(pos - pos % size, greatest(0, pos - pos % size - size)))"))
+    windows = met.select("doc_id", "template_id", "size", "bands", "s", start.alias("start"))
+    windows = windows.select("doc_id", "template_id", "size", "bands", "start", F.expr("slice(s, start + 1, 2 * size)").alias("window"))
+    collides = F.expr("exists(bands, b -> b.least = array_min(transform(window, x -> xxhash64(x, b.k))))")
+    pairs = windows.where(collides).select("doc_id", "template_id", "start", "window").join(table, "template_id")
+    share = F.size(F.array_intersect("window", "t")) / F.size("t")
+    vague = (F.size("version") > 0) & ~F.arrays_overlap("window", "version")
+    stop = F.col("start") + 2 * F.col("size") + F.col("width") - 1
+    found = cut(pairs.select("doc_id", "template_id", "license", "family", "start", stop.alias("stop"), vague.alias("vague"), share.alias("share")).where(F.col("share") >= containment))
     exact = found.where("family IS NOT NULL AND NOT vague").select(*(F.col(c).alias(f"x_{c}") for c in ("doc_id", "license", "family", "start", "stop", "share"))).distinct()
     other = F.col("doc_id").eqNullSafe(F.col("x_doc_id")) & (F.col("family") == F.col("x_family")) & (F.col("license") != F.col("x_license"))
     over = (F.col("start") < F.col("x_stop")) & (F.col("x_start") < F.col("stop")) & (F.col("x_share") > F.col("share"))

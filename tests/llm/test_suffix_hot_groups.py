@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from test_dedup import brute_suffix, low
 
@@ -37,3 +38,40 @@ def test_a_common_line_is_spread_over_the_buckets():
         for b, h in zip(runs["bucket"].to_pylist(), runs["hash"].to_pylist()):
             sent[b] += len(h) // 8
     assert sum(sent) > 1000 and max(sent) < 2 * sum(sent) / buckets
+
+
+def test_suffix_order_and_longest_previous_factors():
+    rnd = random.Random(2)
+    for length in (21, 30, 50):
+        text = bytes(rnd.choice(b"ab") if rnd.random() < 0.9 else rnd.choice(b"abc") for _ in range(600)) + b"ab" * 60
+        text += text[100:260]
+        starts = np.array(sorted(rnd.sample(range(len(text) - length), 400)))
+        doc = np.array([rnd.randrange(12) for _ in starts])
+        suffixes = suffix_dedup.SuffixOrder(np.frombuffer(text, np.uint8), length)
+        order = suffixes.sort(starts)
+        windows = [text[p : p + length] for p in starts]
+        assert [windows[k] for k in order] == sorted(windows)
+        agree = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+        lcp = np.append(0, suffixes.agree(starts[order[:-1]], starts[order[1:]]))
+        assert lcp.tolist() == [0, *(agree(windows[a], windows[b]) for a, b in zip(order[:-1], order[1:]))]
+        for least in (1, 5, length):
+            got = suffix_dedup.longest_previous_factor(doc[order], lcp, least)
+            for k, factor in zip(order, got.tolist()):
+                want = max((agree(windows[k], windows[x]) for x in range(len(windows)) if doc[x] < doc[k]), default=0)
+                assert factor == (want if want >= least else 0)
+
+
+def test_previous_factors_of_long_falling_and_rising_stretches():
+    for doc in (np.arange(5000), np.arange(5000)[::-1].copy(), np.zeros(5000, np.int64), np.arange(5000) % 7):
+        lcp = np.append(0, np.full(4999, 60))
+        assert ((suffix_dedup.longest_previous_factor(doc, lcp, 50) > 0) == (doc > doc.min())).all()
+
+
+def test_ids_that_repeat_over_chunks_and_very_long_texts(spark):
+    rnd = random.Random(6)
+    own = lambda k: "".join(rnd.choice("abcdefghijklmnop") for _ in range(k))
+    shared = own(300)
+    rows = [(1, own(80) + shared[k : k + 150] + own(80)) for k in range(0, 150, 30)] + [(None, shared[:100])] * 3 + [(2, own(300_000) + shared + own(300_000)), (3, shared), (3, shared), (4, "é" * 400), (5, "é" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert sorted((low(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_suffix(rows, 50))

@@ -9,11 +9,11 @@ each a grouped map over chunks of documents or buckets of groups:
 1. a chunk sends the 32-bit keys of its groups, each once;
 2. a bucket answers which keys lie in at least two documents;
 3. a chunk sends the runs of those keys, equal ones once with the smallest document;
-4. a bucket orders the windows of its runs in suffix order. A window's longest
-   previous factor is at least 50 exactly if its previous or next smaller
-   document in that order lies within the stretch whose neighbours agree in 50
-   bytes, that is if some document of the stretch is smaller. It answers each
-   run with its smallest document and a bit for each window;
+4. a bucket puts the windows of its runs in suffix order, with the common prefixes of
+   neighbours. A window's longest previous factor is the larger of its common
+   prefixes with the previous and with the next smaller document in that order; of
+   50 bytes and more, the window starts in an earlier document too. The bucket
+   answers each run with its smallest document and a bit for each window;
 5. a chunk marks the bytes and writes its documents.
 
 The documents are shuffled once, by chunk, and that exchange is used three
@@ -237,22 +237,74 @@ def _dense(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1].astype(np.uint64)
 
 
-def window_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the windows at ``starts`` in suffix order, equal for windows that agree in ``length`` bytes (prefix doubling)."""
-    n = len(text)
-    wide = np.zeros(n + 2 * length, np.uint8)
-    wide[:n] = text
-    size = 1
-    while size * 2 <= min(8, length):
-        size *= 2
-    packed = np.zeros(n + length, np.uint64)
-    for k in range(size):
-        packed = (packed << np.uint64(8)) | wide[k : k + n + length].astype(np.uint64)
-    rank = _dense(packed)
-    while size * 2 <= length:
-        rank = np.append(_dense((rank[:-size] << np.uint64(32)) | rank[size:]), np.zeros(size, np.uint64))
-        size *= 2
-    return (rank[starts] << np.uint64(32)) | rank[starts + length - size]
+class SuffixOrder:
+    """The suffixes of a text by their first ``length`` bytes (prefix doubling), and how far any two agree."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        n, self.length = len(text), length
+        self.wide = np.zeros(n + 2 * length, np.uint8)
+        self.wide[:n] = text
+        size = 1
+        while size * 2 <= min(8, length):
+            size *= 2
+        packed = np.zeros(n + length, np.uint64)
+        for k in range(size):
+            packed = (packed << np.uint64(8)) | self.wide[k : k + n + length].astype(np.uint64)
+        #: (size, rank of the ``size`` bytes at every place), in the order of the bytes.
+        self.levels = [(size, _dense(packed))]
+        while size * 2 <= length:
+            rank = self.levels[-1][1]
+            self.levels.append((size * 2, np.append(_dense((rank[:-size] << np.uint64(32)) | rank[size:]), np.zeros(size, np.uint64))))
+            size *= 2
+
+    def sort(self, starts: np.ndarray) -> np.ndarray:
+        """The order of the windows at ``starts``; all must have ``length`` bytes left."""
+        size, rank = self.levels[-1]
+        return np.argsort((rank[starts] << np.uint64(32)) | rank[starts + self.length - size], kind="stable")
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and b, at most ``length``."""
+        out = np.zeros(len(a), np.int64)
+        for size, rank in [*self.levels[:0:-1], self.levels[0], self.levels[0]]:
+            same = np.flatnonzero((out + size <= self.length) & (rank[np.minimum(a + out, len(rank) - 1)] == rank[np.minimum(b + out, len(rank) - 1)]))
+            out[same] += size
+        for _ in range(self.levels[0][0]):
+            same = np.flatnonzero((out < self.length) & (self.wide[a + out] == self.wide[b + out]))
+            out[same] += 1
+            if not len(same):
+                break
+        return out
+
+
+def _previous_smaller(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each place the common prefix with the nearest place before it of a smaller document; 0 if there is none, or if it falls below ``least``.
+
+    ``lcp``: the common prefix with the place before. All places between a place and
+    where it has got to so far are of documents no smaller, so it may go on from there as
+    far as that place has got: pointers double their reach in each round.
+    """
+    reach, common = np.arange(-1, len(doc) - 1), lcp.copy()
+    live = np.flatnonzero(common >= least)
+    common[common < least] = 0
+    while len(live):
+        live = live[doc[reach[live]] >= doc[live]]
+        at = reach[live]
+        common[live] = np.minimum(common[live], common[at])
+        reach[live] = reach[at]
+        live = live[common[live] >= least]
+    return common
+
+
+def longest_previous_factor(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """The longest previous factor of each place in suffix order: how much of it also starts in a smaller document; 0 stands for less than ``least``.
+
+    doc: the document of each place; lcp: its common prefix with the place before, 0
+    for the first. It is the larger of the common prefixes with the previous and with
+    the next place of a smaller document.
+    """
+    before = _previous_smaller(doc, lcp, least)
+    after = _previous_smaller(doc[::-1], np.append(lcp[1:], 0)[::-1], least)[::-1]
+    return np.maximum(before, after)
 
 
 def answer_runs(length: int):
@@ -299,13 +351,11 @@ def answer_runs(length: int):
         at = np.cumsum(size[one]) - size[one]
         starts = ragged(at, starts_of)
         run = np.repeat(np.arange(len(value)), starts_of)
-        key = window_ranks(picked, starts, length)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        low = np.minimum.reduceat(smallest[run[order]], first)
+        suffixes = SuffixOrder(picked, length)
+        order = suffixes.sort(starts)
+        lcp = np.append(0, suffixes.agree(starts[order[:-1]], starts[order[1:]]))
         earlier = np.zeros(len(order), bool)
-        earlier[order] = low[stretch] < smallest[run[order]]
+        earlier[order] = longest_previous_factor(smallest[run[order]], lcp, length) >= length
         bit = (starts - at[run]).astype(np.uint64)
         mask = np.zeros(len(value), np.uint64)
         np.bitwise_or.at(mask, run[earlier], np.uint64(1) << bit[earlier])
@@ -404,7 +454,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = parts_for(total)
-    chunked = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk"), "doc_id", "text")
+    chunked = rows.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)).alias("chunk"), "doc_id", "text")
     by_chunk = chunked.groupBy("chunk")
     keys = by_chunk.applyInArrow(send_keys(n, length), "bucket bigint, chunk bigint, keys binary, shared binary, counted binary, counts binary")
     shared = keys.groupBy("bucket").applyInArrow(answer_keys(hot_runs), "chunk bigint, bucket bigint, keys binary, hot binary")

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tripspark.llm.common import documents, free_memory, small_batches
+from tripspark.llm.common import documents, free_memory, hold, small_batches
 from tripspark.llm.tokenization_automaton import TokenizationAutomaton
 
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words in a table; a full one is kept beside its follower, to which the words that are met again move. Both are dropped at the end of a task.
-KEPT_WORDS = 80_000
+KEPT_WORDS = 60_000
 #: What a vocabulary file must say to be read as this module reads it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPEC = {
@@ -186,7 +186,7 @@ class WordBpe:
                 found = (ids[path].tobytes(), " ".join([labels[t] for t in path]))
             known[w] = found
 
-    def encode_many(self, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[bytes, str]]:
+    def encode_many(self, texts: list[str], most: int = 1 << 19) -> Iterator[tuple[bytes, str]]:
         """The ids (little-endian, four bytes each) and the decoded text of each text; about ``most`` characters of texts at a time."""
         part: list[str] = []
         size = 0
@@ -214,12 +214,6 @@ class WordBpe:
         return " ".join([self.label_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(1)
-def load(path: str, odd: frozenset[str]) -> WordBpe:
-    """Once a Python worker."""
-    return WordBpe(path, odd)
-
-
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_tokens, ids (array, if keep_ids), ids_sha256, decoded_sha256 and (if keep_ids) decoded.
 
@@ -235,7 +229,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     odd = odd_characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path, odd)
+        model = hold(("bpe", path), lambda: WordBpe(path, odd))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

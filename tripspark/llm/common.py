@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,3 +65,19 @@ def free_memory() -> None:
     """At the end of a Python task: give what its tables took back, as workers live on and hold it else."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # of the GNU library only
+    except (OSError, AttributeError):
+        pass
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def hold(key: tuple, build: Callable[[], object] = lambda: None) -> object:
+    """The one model that a Python worker keeps from task to task: that of its last task. Any other is dropped."""
+    if key not in _HELD:
+        _HELD.clear()
+        free_memory()
+        _HELD[key] = build()
+    return _HELD[key]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.arrays import ragged
-from tripspark.llm.common import cut, documents, free_memory, small_batches
+from tripspark.llm.common import cut, documents, free_memory, hold, small_batches
 
 LONGEST = 4
 #: Values of a row of training is picked by: a hash of the id, below this.
@@ -29,7 +29,7 @@ PICKS = 1 << 30
 #: Cells of a worker's dense table of new words by languages.
 CELLS = 1 << 22
 #: Unseen words kept in a task's table before it is begun anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 60_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -199,6 +199,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("language",))
         scorer = Scorer(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -224,6 +225,7 @@ def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "do
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("language",))
         scorer = Scorer(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripspark.llm.arrays import Rolling, joined, mix, pieces, powers, word_spans
-from tripspark.llm.common import cut, documents, free_memory, free_name, small_batches
+from tripspark.llm.common import cut, documents, free_memory, free_name, hold, small_batches
 from tripspark.llm.components import connected_components
 
 #: Representatives of a tile's side, and n-grams of all of them together (8 bytes each).
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     flips, factors = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64), rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("n-grams",))
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, many, grams, sizes in ngram_sets(texts, n):
@@ -108,6 +109,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
     """rows (rep, fp1, text, copies, group, tiles) -> rep, copies, group, tiles, grams (sorted hashes); a row whose text has another set than fp1 says goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("n-grams",))
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             wanted = batch.column(1).to_pylist()

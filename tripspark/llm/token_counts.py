@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tripspark.llm.common import documents, free_memory, small_batches
+from tripspark.llm.common import documents, free_memory, hold, small_batches
 from tripspark.llm.merge_automaton import MergeAutomaton
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -169,17 +168,11 @@ class Pieces:
         return out
 
 
-@lru_cache(2)
-def load(path: str) -> Pieces:
-    """Once a Python worker."""
-    return Pieces(path)
-
-
 def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, schema: str, row_of) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = hold(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

@@ -19,6 +19,8 @@ tokens are read off backwards.
 
 from __future__ import annotations
 
+from array import array
+
 NEVER = 1 << 30
 #: Bits of a trie node and of a token in packed numbers.
 NODE, TOKEN = 22, 20
@@ -36,8 +38,8 @@ class TokenizationAutomaton:
         n = max([units, *(m[2] + 1 for m in merges)])
         #: (u << TOKEN | v) -> rank of the gadget that took arc v from the row after u.
         self.gadgets: dict[int, int] = {}
-        #: Token -> its left parts from the whole inward, each with the rank that used it up.
-        self.spine: list[tuple] = [((t, NEVER),) if t < units else () for t in range(n)]
+        #: Of each token the left part it was made of and the rank of that merge: its left parts from the whole inward.
+        self.left, self.born = array("i", [-1]) * n, array("i", [-1]) * n
         #: Token -> the owners of what its row lacks.
         self.owners: list[tuple] = [((t, NEVER),) if t < units else () for t in range(n)]
         first: dict[int, int] = {}
@@ -52,7 +54,7 @@ class TokenizationAutomaton:
             if not spelled[made]:
                 # the arc leads to the state after v as it is now, before any split to come
                 self.owners[made] = ((made, NEVER), *((o, min(until, rank)) for o, until in self.owners[v]))
-                self.spine[made] = ((made, NEVER), *((p, min(until, rank)) for p, until in self.spine[u]))
+                self.left[made], self.born[made] = u, rank
                 spelled[made] = spelled[u] + spelled[v]
             self.gadgets[u << TOKEN | v] = rank
             first.setdefault(u, rank)
@@ -73,13 +75,15 @@ class TokenizationAutomaton:
 
     def arc(self, row: tuple, b: int) -> bool:
         """Does the row have an arc b?"""
-        get = self.gadgets.get
+        get, left, born = self.gadgets.get, self.left, self.born
         for o, until in row:
             o <<= TOKEN
-            for p, end in self.spine[b]:
+            p, end = b, NEVER
+            while p >= 0:
                 rank = get(o | p)
                 if rank is not None and rank < until and rank <= end:
                     return False
+                p, end = left[p], born[p]
         return True
 
     def _trie(self, spelled: list[tuple[int, ...]]) -> None:

@@ -73,91 +73,106 @@ def endpoint_snap(points: DataFrame) -> DataFrame:
 
 # ---- headings
 
-PAIR_M, MOVING_MPS, REACH = 1.5, 0.5, 32
-
-
-class Track:
-    """Steps of one drive, worked out once for all its points."""
-
-    def __init__(self, lat, lng, speed, gear):
-        self.lat, self.lng, self.speed, self.gear = lat, lng, speed, gear
-        r = np.radians
-        self.d = geodesic_np(lat[:-1], lng[:-1], lat[1:], lng[1:])
-        dl = r(lng[1:] - lng[:-1])
-        y = np.sin(dl) * np.cos(r(lat[1:]))
-        x = np.cos(r(lat[:-1])) * np.sin(r(lat[1:])) - np.sin(r(lat[:-1])) * np.cos(r(lat[1:])) * np.cos(dl)
-        self.bearing = np.arctan2(y, x)
-        self.fast = np.isfinite(speed) & (np.abs(speed) >= MOVING_MPS)
-        both = np.isfinite(speed[:-1]) & np.isfinite(speed[1:])
-        self.step_fast = both & (np.maximum(np.abs(speed[:-1]), np.abs(speed[1:])) >= MOVING_MPS)
-
-    def net(self, a: int, b: int) -> float:
-        return float(geodesic_np(self.lat[a], self.lng[a], self.lat[b], self.lng[b]))
-
-    def course(self, a: int, b: int) -> float:
-        r = np.radians
-        dl = r(self.lng[b] - self.lng[a])
-        y = np.sin(dl) * np.cos(r(self.lat[b]))
-        x = np.cos(r(self.lat[a])) * np.sin(r(self.lat[b])) - np.sin(r(self.lat[a])) * np.cos(r(self.lat[b])) * np.cos(dl)
-        return float((np.degrees(np.arctan2(y, x)) + 360) % 360)
-
-    def at(self, i: int, window: int) -> float | None:
-        """The distance-weighted mean bearing round point i within its gear run; None if motion cannot be told from noise."""
-        lo, hi = max(0, i - REACH), min(len(self.lat) - 1, i + REACH)
-        if self.gear is not None:
-            a = b = i
-            while a > lo and self.gear[a - 1] == self.gear[i]:
-                a -= 1
-            while b < hi and self.gear[b + 1] == self.gear[i]:
-                b += 1
-            lo, hi = a, b
-        half = -(-window // 2)
-        a, b = max(lo, i - window // 2), min(hi, i + half)
-        if b <= a:
-            return None
-        net = self.net(a, b)
-        if self.fast[a : b + 1].any():
-            while net < PAIR_M and (a > lo or b < hi):
-                half *= 2
-                a, b = max(lo, i - half), min(hi, i + half)
-                net = self.net(a, b)
-            if net < PAIR_M:
-                return None
-        else:
-            gross = self.d[a:b].sum()
-            if net < max(PAIR_M, (b - a) * 0.4) or (gross > 0 and net / gross < 0.5):
-                return None
-        d = np.where(self.d[a:b] >= PAIR_M, self.d[a:b], 0.0)
-        for tier in (self.step_fast[a:b], np.ones(b - a, bool)):
-            w = np.where(tier, d, 0.0)
-            if w.sum() > 0:
-                return float((np.degrees(np.arctan2((np.sin(self.bearing[a:b]) * w).sum(), (np.cos(self.bearing[a:b]) * w).sum())) + 360) % 360)
-        return self.course(a, b)
-
-    def heading(self, i: int, window: int) -> float | None:
-        """at(i), turned round in reverse; where the car stands the last confident one before, else the next after."""
-        stride = max(1, window // 2)
-        before = [i, *range(i - stride, 0, -stride), *([0] if i > 0 else [])]
-        for j in [*before, *range(i + stride, len(self.lat), stride)]:
-            h = self.at(j, window)
-            if h is not None:
-                return (h + 180) % 360 if self.gear is not None and self.gear[j] == 2 else h
-        return None
+#: Metres between two places that tell a direction, m/s of a moving car, points that a window may reach to either side.
+CLEAR_M, MOVING_MPS, REACH = 1.5, 0.5, 32
+REVERSE = 2
+
+
+def _up_to(x: np.ndarray) -> np.ndarray:
+    """Sums before each place, so that the sum of a to b - 1 is one difference."""
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def _bearing(lat1, lng1, lat2, lng2) -> np.ndarray:
+    """Initial course in radians."""
+    f1, f2, turn = np.radians(lat1), np.radians(lat2), np.radians(np.asarray(lng2) - lng1)
+    return np.arctan2(np.sin(turn) * np.cos(f2), np.cos(f1) * np.sin(f2) - np.sin(f1) * np.cos(f2) * np.cos(turn))
+
+
+def local_headings(lat: np.ndarray, lng: np.ndarray, speed: np.ndarray, gear: np.ndarray | None, window: int) -> np.ndarray:
+    """The heading in degrees that the points round each point tell, as the car points; NaN where motion cannot be told from noise.
+
+    All points at once. A window stays in a point's stretch of one gear. Round a
+    moving point it doubles until its ends are CLEAR_M apart; round one without speed it is
+    taken as it is, and must be straight and long enough. The heading is the mean of
+    the clear steps' bearings by their lengths: of those driven at speed if there are any.
+    """
+    n, at = len(lat), np.arange(len(lat))
+    first, last = np.zeros(n, np.int64), np.full(n, n - 1)
+    if gear is not None:
+        change = np.flatnonzero(gear[1:] != gear[:-1]) + 1
+        edges = np.concatenate([[0], change, [n]])
+        first, last = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:] - 1, np.diff(edges))
+    first, last = np.maximum(first, at - REACH), np.minimum(last, at + REACH)
+    apart = lambda a, b: geodesic_np(lat[a], lng[a], lat[b], lng[b])
+
+    a, b = np.maximum(first, at - window // 2), np.minimum(last, at + (window + 1) // 2)
+    moved = np.where(b > a, apart(a, b), 0.0)
+    pace = np.abs(speed)
+    moving = _up_to(np.nan_to_num(pace) >= MOVING_MPS)
+    fast = moving[b + 1] > moving[a]
+    half = (window + 1) // 2
+    wider = np.flatnonzero(fast & (b > a) & (moved < CLEAR_M) & ((a > first) | (b < last)))
+    while len(wider):
+        half *= 2
+        a[wider], b[wider] = np.maximum(first[wider], wider - half), np.minimum(last[wider], wider + half)
+        moved[wider] = apart(a[wider], b[wider])
+        wider = wider[(moved[wider] < CLEAR_M) & ((a[wider] > first[wider]) | (b[wider] < last[wider]))]
+
+    step, course = apart(at[:-1], at[1:]), _bearing(lat[:-1], lng[:-1], lat[1:], lng[1:])
+    driven = _up_to(step)
+    driven = driven[b] - driven[a]
+    steady = (moved >= np.maximum(CLEAR_M, 0.4 * (b - a))) & ~((driven > 0) & (moved < 0.5 * driven))
+    told = (b > a) & np.where(fast, moved >= CLEAR_M, steady)
+
+    clear = step >= CLEAR_M
+    at_speed = clear & (np.isfinite(pace[1:]) & np.isfinite(pace[:-1])) & (np.fmax(pace[1:], pace[:-1]) >= MOVING_MPS)
+    heading = np.degrees(_bearing(lat[a], lng[a], lat[b], lng[b]))  # where no step is clear, from end to end
+    for steps in (clear, at_speed):  # the later one has the last word
+        many, weight = _up_to(steps), np.where(steps, step, 0.0)
+        north, east = _up_to(weight * np.cos(course)), _up_to(weight * np.sin(course))
+        mean = np.degrees(np.arctan2(east[b] - east[a], north[b] - north[a]))
+        heading = np.where(many[b] > many[a], mean, heading)
+    if gear is not None:
+        heading = heading + np.where(gear == REVERSE, 180.0, 0.0)
+    return np.where(told, np.mod(heading, 360.0), np.nan)
+
+
+def carried_headings(told: np.ndarray, window: int) -> np.ndarray:
+    """Where nothing is told, the heading of the last point before that tells one, in steps of half a window; else of the first point; else of the next one after."""
+    stride = max(1, window // 2)
+    out = told.copy()
+    for lane in range(min(stride, len(told))):
+        own = np.arange(lane, len(told), stride)
+        clear = np.isfinite(told[own])
+        k = np.arange(len(own))
+        before = np.maximum.accumulate(np.where(clear, k, -1))
+        after = np.minimum.accumulate(np.where(clear, k, len(own))[::-1])[::-1]
+        fill = np.where(after < len(own), told[own[np.minimum(after, len(own) - 1)]], np.nan)
+        if np.isfinite(told[0]):
+            fill = np.full(len(own), told[0])
+        out[own] = np.where(before >= 0, told[own[np.maximum(before, 0)]], fill)
+    return out
 
 
 def smooth_heading(points: DataFrame, window: int = 6) -> DataFrame:
-    """vehicle_id, drive_id, idx, heading (degrees, null if none can be told); order-dependent, so a helper per drive."""
+    """vehicle_id, drive_id, idx, heading (degrees, null if none can be told).
+
+    What a standing car points at depends on what was told before, so a numpy helper works
+    on each drive, linear in its points; Spark partitions and sorts the drives.
+    """
     kind = points.schema["vehicle_id"].dataType.simpleString()
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        gear = None if pdf["gear"].isna().all() else pdf["gear"].to_numpy(float)
-        out = pdf[["vehicle_id", "drive_id", "idx"]].copy()
-        if len(pdf) < 2:
-            out["heading"] = None
-            return out
-        track = Track(*(pdf[c].to_numpy(float) for c in ("lat", "lng", "speed")), gear)
-        out["heading"] = [track.heading(i, window) for i in range(len(pdf))]
-        return out
-
-    return points.select(*DRIVE, "idx", "lat", "lng", "speed", "gear").groupBy(*DRIVE).applyInPandas(of, f"vehicle_id {kind}, drive_id bigint, idx bigint, heading double")
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, DRIVE):
+            out = pd.DataFrame({c: g[c] for c in (*DRIVE, "idx")})
+            heading = np.full(len(out), np.nan)
+            if len(out) > 1:
+                lat, lng, speed, gear = (g[c].astype(float) for c in ("lat", "lng", "speed", "gear"))
+                heading = carried_headings(local_headings(lat, lng, speed, None if np.isnan(gear).all() else gear, window), window)
+            out["heading"] = [None if np.isnan(h) else float(h) for h in heading]
+            yield out
+
+    slim = points.select(*DRIVE, "idx", "lat", "lng", "speed", "gear")
+    ordered = slim.repartition(*DRIVE).sortWithinPartitions(*DRIVE, "idx")
+    return ordered.mapInPandas(of, f"vehicle_id {kind}, drive_id bigint, idx bigint, heading double")

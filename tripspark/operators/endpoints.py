@@ -164,7 +164,7 @@ def smooth_heading(points: DataFrame, window: int = 6) -> DataFrame:
     kind = points.schema["vehicle_id"].dataType.simpleString()
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, DRIVE):
+        for g in sorted_groups(batches, list(DRIVE)):
             out = pd.DataFrame({c: g[c] for c in (*DRIVE, "idx")})
             heading = np.full(len(out), np.nan)
             if len(out) > 1:

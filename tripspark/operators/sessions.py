@@ -64,19 +64,20 @@ def park_segments(clips: DataFrame, park_s: float = 2.0, clip_ms: int = 60_000)
     return segs.withColumns({"start_idx": F.col("start_idx").cast("bigint"), "end_idx": F.col("end_idx").cast("bigint"), "seg_t_ms": (F.col("t_ms") + shift).cast("bigint")})
 
 
-def park_splits(clips: DataFrame, park_s: float = 2.0) -> DataFrame:
+def park_splits(clips: DataFrame, park_s: float = 2.0, with_share: bool = False) -> DataFrame:
     """Driving parts of clips with ``cut_drive``, counted within the drive: every Park gap closes it; groups without points vanish.
 
     Clips without gear runs pass whole. Expects the columns of park_segments and drive_id.
+    ``with_share`` adds ``share``, the part's share of its clip's frames.
     """
     plain = clips.where("gear_runs IS NULL OR size(gear_runs) = 0").select(
         "vehicle_id", "seq", "drive_id", "t_ms", "n_points", F.lit(1).cast("bigint").alias("seg_no"), F.lit(False).alias("parked"),
-        F.lit(0).cast("bigint").alias("start_idx"), F.col("n_points").cast("bigint").alias("end_idx"), F.col("t_ms").alias("seg_t_ms"))
-    segs = park_segments(clips, park_s).select(*plain.columns).unionByName(plain)
+        F.lit(0).cast("bigint").alias("start_idx"), F.col("n_points").cast("bigint").alias("end_idx"), F.col("t_ms").alias("seg_t_ms"), F.lit(1.0).alias("share"))
+    segs = park_segments(clips, park_s).withColumn("share", (F.col("end_frame") - F.col("start_frame")) / F.col("total_frames")).select(*plain.columns).unionByName(plain)
     order = Window.partitionBy("vehicle_id", "drive_id").orderBy("t_ms", "seq", "seg_no")
     segs = segs.withColumn("gaps", F.sum(F.col("parked").cast("bigint")).over(order)).where("NOT parked")
     cut = F.dense_rank().over(Window.partitionBy("vehicle_id", "drive_id").orderBy("gaps"))
-    return segs.select("vehicle_id", "drive_id", cut.cast("bigint").alias("cut_drive"), "seq", "seg_no", "start_idx", "end_idx", "seg_t_ms")
+    return segs.select("vehicle_id", "drive_id", cut.cast("bigint").alias("cut_drive"), "seq", "seg_no", "start_idx", "end_idx", "seg_t_ms", *(["share"] if with_share else []))
 
 
 def legacy_park_split(clips: DataFrame) -> DataFrame:

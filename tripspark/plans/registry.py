@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules whose queries are registered on import.
-MODULES = ("core", "scalar_queries", "charging_queries", "join_queries", "import_queries", "listing_queries", "file_queries", "stream_queries")
+MODULES = ("core", "drive_queries", "scalar_queries", "charging_queries", "join_queries", "import_queries", "listing_queries", "file_queries", "stream_queries")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -102,10 +102,28 @@ def write_routes(clips: DataFrame, path: str) -> None:
     routes_from_clips(clips).write.partitionBy("vehicle_id").mode("overwrite").json(path)
 
 
+def _as_json(text: Column) -> Column:
+    """The text if it is a JSON array or object, else a JSON string of it."""
+    quoted = F.to_json(F.array(text))
+    return F.when(F.get_json_object(text, "$").isNotNull() & F.ltrim(text).rlike(r"^[\[{]"), text).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+
+
+def read_other_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(vehicle_id, section, json): the documents' fields that read_drive_data does not read, for write_drive_data."""
+    whole = spark.read.option("wholetext", True).text(path).withColumn("vehicle_id", _vehicle())
+    names = F.explode(F.json_object_keys("value")).alias("section")
+    rows = whole.select("vehicle_id", "value", names).where(~F.col("section").isin(*DOCUMENT.fieldNames()))
+    fields = F.from_json("value", "map<string,string>")
+    return rows.select("vehicle_id", "section", fields[F.col("section")].alias("json")).withColumn("json", F.when(F.col("json").rlike(r"^\s*([\[{]|-?[0-9]+(\.[0-9]+)?\s*$|true$|false$)"), F.col("json")).otherwise(F.coalesce(_as_json(F.col("json")), F.lit("null"))))
+
+
 def write_drive_data(sections: dict[str, DataFrame], path: str) -> None:
     """The documents again, one JSON text per vehicle; sections as read_drive_data gives them (missing ones are left out).
 
     Gathers a vehicle's routes in one row, as the document asks for; write_routes does not.
+    A text above 2 GB is more than a row holds and fails the job. Sections: clips, and
+    processed, drive_tags, samples, charge_costs, charge_tags and ``other`` (vehicle_id,
+    section, json: fields of the document that this library does not read) if given.
     """
     routes = routes_from_clips(sections["clips"])
     cols = [c for c in routes.columns if c not in ("vehicle_id", "seq")]
@@ -114,7 +132,31 @@ def write_drive_data(sections: dict[str, DataFrame], path: str) -> None:
         out = out.join(sections["processed"].groupBy("vehicle_id").agg(F.sort_array(F.collect_set("path")).alias("processedFiles")), "vehicle_id", "full")
     if "drive_tags" in sections:
         out = out.join(sections["drive_tags"].groupBy("vehicle_id").agg(F.map_from_entries(F.collect_list(F.struct("start_time", "tags"))).alias("driveTags")), "vehicle_id", "full")
-    body = F.to_json(F.struct(*[c for c in ("processedFiles", "routes", "driveTags") if c in out.columns]))
+    entries = lambda df, key, value: df.groupBy("vehicle_id").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    if "samples" in sections:
+        s = sections["samples"].select("vehicle_id", "pos", F.struct(
+            F.col("ts").alias("ts"), F.col("battery_pct").alias("batteryPct"), F.col("power_kw").alias("chargerPowerKw"), F.col("rate_mph").alias("chargeRateMph"), F.col("energy_kwh").alias("chargeEnergyAddedKwh"),
+            "lat", "lng", F.col("location_name").alias("locationName"), F.col("charging_state").alias("chargingState")).alias("s"))
+        out = out.join(s.groupBy("vehicle_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("telemetrySamples")), "vehicle_id", "full")
+    if "charge_costs" in sections:
+        costs = sections["charge_costs"].select("vehicle_id", "cost_key", F.struct("amount", "currency").alias("c"))
+        out = out.join(entries(costs, "cost_key", "c").withColumnRenamed("m", "chargeCosts"), "vehicle_id", "full")
+    if "charge_tags" in sections:
+        out = out.join(entries(sections["charge_tags"], "cost_key", "tag_json").withColumnRenamed("m", "_tags"), "vehicle_id", "full")
+    known = [c for c in ("processedFiles", "routes", "driveTags", "telemetrySamples", "chargeCosts") if c in out.columns]
+    body = F.to_json(F.struct(*known))
+    # texts that are JSON already are put in as they are
+    raw = []
+    if "_tags" in out.columns:
+        tags = F.array_join(F.transform(F.array_sort(F.map_entries("_tags")), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), _as_json(e["value"]))), ",")
+        raw.append(F.when(F.col("_tags").isNotNull(), F.concat(F.lit('"chargeTags":{'), tags, F.lit("}"))))
+    if "other" in sections:
+        other = sections["other"].groupBy("vehicle_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"'), "section", F.lit('":'), "json"))), ",").alias("_other"))
+        out = out.join(other, "vehicle_id", "full")
+        raw.append(F.col("_other"))
+    if raw:
+        inner = F.concat_ws(",", F.when(F.length(body) > 2, body.substr(F.lit(2), F.length(body) - 2)), *raw)
+        body = F.concat(F.lit("{"), inner, F.lit("}"))
     out.select("vehicle_id", body.alias("value")).write.partitionBy("vehicle_id").mode("overwrite").text(path)
 
 

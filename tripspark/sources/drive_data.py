@@ -103,9 +103,9 @@ def write_routes(clips: DataFrame, path: str) -> None:
 
 
 def _as_json(text: Column) -> Column:
-    """The text if it is a JSON array or object, else a JSON string of it."""
-    quoted = F.to_json(F.array(text))
-    return F.when(F.get_json_object(text, "$").isNotNull() & F.ltrim(text).rlike(r"^[\[{]"), text).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+    """The text, on one line, if it is a JSON array or object, else a JSON string of it."""
+    quoted, value = F.to_json(F.array(text)), F.try_parse_json(text)
+    return F.when(value.isNotNull() & F.ltrim(text).rlike(r"^[\[{]"), F.to_json(value)).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
 
 
 def read_other_sections(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +114,7 @@ def read_other_sections(spark: SparkSession, path: str) -> DataFrame:
     names = F.explode(F.json_object_keys("value")).alias("section")
     rows = whole.select("vehicle_id", "value", names).where(~F.col("section").isin(*DOCUMENT.fieldNames()))
     fields = F.from_json("value", "map<string,string>")
-    return rows.select("vehicle_id", "section", fields[F.col("section")].alias("json")).withColumn("json", F.when(F.col("json").rlike(r"^\s*([\[{]|-?[0-9]+(\.[0-9]+)?\s*$|true$|false$)"), F.col("json")).otherwise(F.coalesce(_as_json(F.col("json")), F.lit("null"))))
+    return rows.select("vehicle_id", "section", fields[F.col("section")].alias("json")).withColumn("json", F.when(F.col("json").rlike(r"^(-?[0-9]+(\.[0-9]+)?|true|false)$"), F.col("json")).otherwise(F.coalesce(_as_json(F.col("json")), F.lit("null"))))
 
 
 def write_drive_data(sections: dict[str, DataFrame], path: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 from helpers import SF
 from pyspark.sql import functions as F
 
-from tripspark.llm import mixing, ngram_join
+from tripspark.llm import exact_dedup, mixing, ngram_join
 from tripspark.llm.components import connected_components
 
 NULL = -(1 << 63)
@@ -46,9 +46,10 @@ def found(df):
     return Counter((plain(r.doc_id), plain(r.class_id), r.n_links) for r in df.collect())
 
 
-@pytest.mark.parametrize("tile", [512, 2])
-def test_ngram_join(odd, odd_rows, none, monkeypatch, tile):
+@pytest.mark.parametrize("tile, grams", [(512, 1 << 20), (2, 1 << 20), (512, 150)])
+def test_ngram_join(odd, odd_rows, none, monkeypatch, tile, grams):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", grams)
     assert found(ngram_join.ngram_join(odd)) == brute_join([r[:2] for r in odd_rows])
     assert ngram_join.ngram_join(none).count() == 0
 
@@ -106,6 +107,62 @@ def test_mix_sources(odd, odd_rows, none):
     assert stream.columns == odd.columns and stream.count() == len(out)
 
 
+def brute_schedule(blocks, shares, slots):
+    """{(source, run): slot} by trying all sources in every slot, until each source has been read whole once."""
+    done, out, slot = [0] * len(shares), {}, 0
+    while any(d < b for d, b in zip(done, blocks)):
+        ready = [k for k in range(len(shares)) if done[k] * slots // shares[k] <= slot]
+        k = min(ready, key=lambda k: (-(-(done[k] + 1) * slots // shares[k]), k))
+        out[k, done[k]] = slot
+        done[k] += 1
+        slot += 1
+    return out
+
+
+def test_mix_rows_by_brute_force(odd, odd_rows):
+    for weights, block in (({"s0": 0.5, "s1": 0.25, "s2": 0.125, None: 0.125}, 2), ({"s0": 1.0}, 3), ({}, 1), (None, 4)):
+        out = mixing.mix_sources(odd, weights, block_docs=block).collect()
+        count = Counter(s for *_, s in odd_rows)
+        names = sorted(count, key=lambda s: (s is not None, s))
+        wanted = [count[s] ** 0.8 if weights is None else weights.get(s, min(weights.values(), default=1.0)) for s in names]
+        shares, blocks = mixing.shares_of(wanted, 1024), [-(-count[s] // block) for s in names]
+        schedule = brute_schedule(blocks, shares, 1024)
+        want = Counter()
+        for (k, run), slot in schedule.items():
+            epoch, at = divmod(run, blocks[k])
+            for place in range(min(block, count[names[k]] - at * block)):
+                want[names[k], at, epoch, slot, run * 1024 // shares[k], -(-(run + 1) * 1024 // shares[k]), place] += 1
+        assert Counter((r.source, r.source_block, r.epoch, r.slot, r.release, r.deadline, r.place) for r in out) == want
+        # in each epoch every row has one place, the same in all
+        rows = {}
+        for r in out:
+            rows.setdefault((r.source, r.source_block, r.place), set()).add((r.doc_id, hash(r.text)))
+        assert all(len(x) == 1 for x in rows.values()) and Counter((s, *next(iter(x))) for (s, _, _), x in rows.items()) == Counter((s, i, hash(t)) for i, t, _, s in odd_rows)
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = "slot place epoch release deadline source_block _k _j _rank _part _source row gone_id gone_digest doc_id id fp1".split()
+    rows = [tuple(100 * k + i for k in range(len(names))) + (f"some words of text number {i // 2} and no more", f"s{i % 2}") for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names) + ", text string, source string")
+    stream = mixing.mixed_stream(docs, {"s0": 1.0, "s1": 1.0}, block_docs=1)
+    assert stream.columns == docs.columns and {tuple(r) for r in stream.collect()} == set(rows)
+    for left in (exact_dedup.drop_exact_copies(docs), ngram_join.drop_near_copies(docs)):
+        assert left.columns == docs.columns and left.count() == 6 and {tuple(r) for r in left.collect()} <= set(rows)
+    assert set(mixing.mix_sources(docs, {"s0": 1.0}).columns) == {*docs.columns}
+    for bad in ({"s0": 0.0}, {"s0": -1.0}, {"s0": float("inf")}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, bad)
+
+
+def test_a_written_stream_keeps_its_order(spark, odd, tmp_path):
+    weights = {"s0": 0.5, "s1": 0.25, "s2": 0.125, None: 0.125}
+    mixing.mixed_stream(odd, weights, block_docs=2).write.parquet(f"{tmp_path}/stream")
+    read = mixing.stream_position(spark.read.parquet(f"{tmp_path}/stream"))
+    got = [r.source for r in read.orderBy("stream_part", "stream_row").collect()]
+    want = [r.source for r in mixing.mix_sources(odd, weights, block_docs=2).orderBy("slot", "place").collect()]
+    assert got == want and mixing.stream_position(odd).where("stream_part IS NULL").count() == odd.count()
+
+
 def test_mix_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = mixing.op4_mix_sources(spark, SF)

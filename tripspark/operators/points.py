@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,21 +149,26 @@ def frames_to_clips(frames: DataFrame) -> DataFrame:
     """
     valid = "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND NOT (lat = 0 AND lng = 0) AND abs(lat) <= 90 AND abs(lng) <= 180"
     r = lambda c, k: js_round(F.col(c) * k) / k
-    key = ["vehicle_id", "seq"]
-    rows = frames.where(valid).withColumns({"lat": r("lat", 1e6), "lng": r("lng", 1e6), "speed": r("speed", 10.0), "accel": r("accel", 100.0)})
-    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("frame_count"), F.count_if(F.col("gear") == 0).alias("park_count"))
-    points = dedup_consecutive_points(rows).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "lat", "lng", "gear", "ap", "speed", "accel"))).alias("p"))
-    out = out.join(points, key)
-    top = {"max_mps": js_round(F.max(F.abs("speed")) * 10.0) / 10.0}
-    for value, name, extra in (("gear", "gear_runs", {}), ("ap", "ap_runs", {}), ("flags", "flag_runs", top)):
-        runs = encode_runs(rows, value, extra=extra)
-        fields = [value, F.col("frames").cast("double").alias("frames"), *extra]
-        listed = F.sort_array(F.collect_list(F.struct("run_no", F.struct(*fields).alias("r"))))
-        out = out.join(runs.groupBy(*key).agg(F.transform(listed, lambda x: x["r"]).alias(name)), key)
+    key, w = ["vehicle_id", "seq"], Window.partitionBy("vehicle_id", "seq").orderBy("i")
+    rows = frames.where(valid).withColumns({"lat": r("lat", 1e6), "lng": r("lng", 1e6), "speed": r("speed", 10.0), "accel": r("accel", 100.0), "_n": F.row_number().over(w)})
+    moved = lambda *cs: (F.col("_n") == 1) | ~reduce(and_, (F.col(c).eqNullSafe(F.lag(c).over(w)) for c in cs))
+    rows = rows.withColumns({"_point": moved("lat", "lng"), "_gear": moved("gear"), "_ap": moved("ap"), "_flags": moved("flags")})
+    rows = rows.withColumn("_run", F.sum(F.col("_flags").cast("int")).over(w))
+    rows = rows.withColumn("max_mps", js_round(F.max(F.abs("speed")).over(Window.partitionBy(*key, "_run")) * 10.0) / 10.0)
+    listed = lambda on, *cs: F.sort_array(F.collect_list(F.when(F.col(on), F.struct("_n", *cs))))
+    out = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("frame_count"), F.count_if(F.col("gear") == 0).alias("park_count"), listed("_point", "lat", "lng", "gear", "ap", "speed", "accel").alias("p"),
+        listed("_gear", "gear").alias("g"), listed("_ap", "ap").alias("a"), listed("_flags", "flags", "max_mps").alias("f"))
+
+    def runs(starts: str, value: str, *extra: str) -> Column:
+        """A run lasts until the next one starts, the last one to the end of the clip."""
+        until = lambda k: F.coalesce(F.get(starts, k + 1)["_n"], F.col("frame_count") + 1)
+        return F.transform(starts, lambda x, k: F.struct(x[value].alias(value), (until(k) - x["_n"]).cast("double").alias("frames"), *(x[c].alias(c) for c in extra)))
+
     pick = lambda c: F.transform("p", lambda x: x[c])
     return out.select(
         *key, "frame_count", "park_count", F.transform("p", lambda x: F.array(x["lat"], x["lng"])).alias("points"), pick("gear").alias("gear_states"), pick("ap").alias("ap_states"),
-        pick("speed").alias("speeds"), pick("accel").alias("accel_positions"), "gear_runs", "ap_runs", "flag_runs")
+        pick("speed").alias("speeds"), pick("accel").alias("accel_positions"), runs("g", "gear").alias("gear_runs"), runs("a", "ap").alias("ap_runs"), runs("f", "flags", "max_mps").alias("flag_runs"))
 
 
 def mode_segments(points: DataFrame) -> DataFrame:

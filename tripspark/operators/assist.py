@@ -64,6 +64,6 @@ def accel_push_events(points: DataFrame, wait_ms: int = 3000) -> DataFrame:
 
 def event_counts(points: DataFrame) -> DataFrame:
     """Per drive: disengagements and accel_pushes (0 where there are none)."""
-    both = disengagement_events(points).select(*DRIVE, F.lit(1).alias("d"), F.lit(0).alias("a")).unionByName(accel_push_events(points).select(*DRIVE, F.lit(0).alias("d"), F.lit(1).alias("a")))
-    sums = both.groupBy(*DRIVE).agg(F.sum("d").alias("disengagements"), F.sum("a").alias("accel_pushes"))
-    return points.select(*DRIVE).distinct().join(sums, list(DRIVE), "left").na.fill(0, ["disengagements", "accel_pushes"])
+    part = lambda rows, d, a: rows.select(*DRIVE, F.lit(d).alias("d"), F.lit(a).alias("a"))
+    rows = part(points, 0, 0).unionByName(part(disengagement_events(points), 1, 0)).unionByName(part(accel_push_events(points), 0, 1))
+    return rows.groupBy(*DRIVE).agg(F.sum("d").alias("disengagements"), F.sum("a").alias("accel_pushes"))

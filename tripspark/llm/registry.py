@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripspark.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
+from tripspark.llm import bpe, exact_dedup, fill_middle, language_id, license_scan, line_dedup, mixing, ngram_join, quality_rules, spelling_variants, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_language_id": language_id.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+        "op12_url_filter": url_filter.op12_url_filter,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": ngram_join.ORACLE,
         "op7_license_scan": license_scan.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
+        "op11_spelling_variants": spelling_variants.ORACLE,
+        "op12_url_filter": url_filter.ORACLE,
+        "op13_fill_middle": fill_middle.ORACLE,
     }

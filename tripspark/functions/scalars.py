@@ -46,6 +46,16 @@ def geodesic_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
     return F.when(same, 0.0).otherwise(EARTH_A * (sigma - (EARTH_F / 2.0) * (x + y)))
 
 
+def surely_within(lat1: Column, lng1: Column, lat2: Column, lng2: Column, metres: float) -> Column:
+    """True where a bound on the distance (no degree is longer than 112 km) is within ``metres``; cheap, so it goes before geodesic_m in a filter."""
+    return (F.abs(lat2 - lat1) + F.abs(lng2 - lng1)) * 112_000.0 <= metres
+
+
+def surely_beyond(lat1: Column, lat2: Column, metres: float) -> Column:
+    """True where the latitudes alone are more than ``metres`` apart (no degree of latitude is shorter than 110 km)."""
+    return F.abs(lat2 - lat1) * 110_000.0 > metres
+
+
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Metres on a sphere of 6 371 km."""
     dlat, dlng = F.sin(_rad(lat2 - lat1) / 2.0), F.sin(_rad(lng2 - lng1) / 2.0)

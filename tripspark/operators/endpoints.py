@@ -58,14 +58,19 @@ def endpoint_snap(points: DataFrame) -> DataFrame:
     itself with 35 m. The window is cut by Spark (600 rows at most), distances are a
     small numpy matrix per end. gear and speed are null where they are no evidence.
     """
-    kind = points.schema["vehicle_id"].dataType.simpleString()
+    return snap_ends(endpoint_window(points))
+
+
+def snap_ends(ends: DataFrame) -> DataFrame:
+    """endpoint_snap over the rows of endpoint_window."""
+    kind = ends.schema["vehicle_id"].dataType.simpleString()
     keys = ["vehicle_id", "drive_id", "which"]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = [(*(g[k][0] for k in keys), *_snap(g)) for g in sorted_groups(batches, keys)]
         yield pd.DataFrame(out, columns=[*keys, "lat", "lng", "accuracy_m", "samples", "stationary"])
 
-    slim = endpoint_window(points).select(*DRIVE, "which", "k", "lat", "lng", "t_ms", "gear", "speed")
+    slim = ends.select(*DRIVE, "which", "k", "lat", "lng", "t_ms", "gear", "speed")
     # ends are many and small: one pass over sorted partitions instead of a call per end
     ordered = slim.repartition(*DRIVE).sortWithinPartitions(*DRIVE, "which", "k")
     return ordered.mapInPandas(of, f"vehicle_id {kind}, drive_id bigint, which string, lat double, lng double, accuracy_m double, samples bigint, stationary boolean")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripspark.functions.scalars import geodesic_m, heading, js_round
+from tripspark.functions.scalars import geodesic_m, heading, js_round, surely_within
 
 DRIVE = ("vehicle_id", "drive_id")
 
@@ -48,8 +48,8 @@ def median_cluster_filter(points: DataFrame, max_m: float = 1_000_000.0) -> Data
     rows = points.withColumn("_i", F.row_number().over(by_point()) - 1).withColumn("_n", F.count(F.lit(1)).over(drive))
     mid = (F.col("_i") >= F.floor(F.col("_n") * 0.25)) & (F.col("_i") <= F.floor(F.col("_n") * 0.75))
     rows = rows.withColumn("_la", F.avg(F.when(mid, F.col("lat"))).over(drive)).withColumn("_ln", F.avg(F.when(mid, F.col("lng"))).over(drive))
-    near = geodesic_m(F.col("lat"), F.col("lng"), F.col("_la"), F.col("_ln")) <= max_m
-    return rows.where((F.col("_n") <= 2) | near).drop("_i", "_n", "_la", "_ln")
+    place = (F.col("lat"), F.col("lng"), F.col("_la"), F.col("_ln"))
+    return rows.where((F.col("_n") <= 2) | surely_within(*place, max_m) | (geodesic_m(*place) <= max_m)).drop("_i", "_n", "_la", "_ln")
 
 
 def geodesic_np(lat1, lng1, lat2, lng2):
@@ -87,19 +87,24 @@ def jump_filter(points: DataFrame, max_m: float = 5000.0) -> DataFrame:
     The pass runs backward and carries the last survivor, so it is a helper per
     drive; drives without a long step are passed by untouched.
     """
-    order = by_point()
-    far = geodesic_m(F.lag("lat").over(order), F.lag("lng").over(order), F.col("lat"), F.col("lng")) > max_m
-    flagged = points.withColumn("_far", F.coalesce(far, F.lit(False))).withColumn("_any", F.max("_far").over(Window.partitionBy(*DRIVE)))
-    plain = flagged.where("NOT _any").drop("_far", "_any")
-    bad = flagged.where("_any").drop("_far", "_any")
+    place = (F.col("_plat"), F.col("_plng"), F.col("lat"), F.col("lng"))
+    far = ~surely_within(*place, max_m) & (geodesic_m(*place) > max_m)
+    flagged = with_previous(points, "lat", "lng").withColumn("_any", F.max(F.coalesce(far, F.lit(False))).over(Window.partitionBy(*DRIVE)))
+    plain = flagged.where("NOT _any").select(*points.columns)
+    bad = flagged.where("_any").select(*points.columns)
     return plain.unionByName(bad.groupBy(*DRIVE).applyInPandas(lambda pdf: _keep_no_jumps(pdf, max_m), points.schema))
 
 
+def with_previous(points: DataFrame, *columns: str) -> DataFrame:
+    """``_p<column>``: the value at the point before. Columns of their own, as an expression over a lag repeats the lag at each mention."""
+    return points.withColumns({f"_p{c}": F.lag(c).over(by_point()) for c in columns})
+
+
 def with_steps(points: DataFrame) -> DataFrame:
     """``d_m`` and ``dt_ms`` from the point before; null at the first."""
-    order = by_point()
-    d = geodesic_m(F.lag("lat").over(order), F.lag("lng").over(order), F.col("lat"), F.col("lng"))
-    return points.withColumns({"d_m": d, "dt_ms": F.col("t_ms") - F.lag("t_ms").over(order)})
+    rows = with_previous(points, "lat", "lng", "t_ms")
+    d = geodesic_m(F.col("_plat"), F.col("_plng"), F.col("lat"), F.col("lng"))
+    return rows.select(*points.columns, d.alias("d_m"), (F.col("t_ms") - F.col("_pt_ms")).alias("dt_ms"))
 
 
 def point_speeds(points: DataFrame, cap: float = 70.0) -> DataFrame:
@@ -113,8 +118,8 @@ def point_speeds(points: DataFrame, cap: float = 70.0) -> DataFrame:
 
 def headings(points: DataFrame) -> DataFrame:
     """``heading`` in degrees from the point before; null at the first."""
-    order = by_point()
-    return points.withColumn("heading", heading(F.lag("lat").over(order), F.lag("lng").over(order), F.col("lat"), F.col("lng")))
+    rows = with_previous(points, "lat", "lng")
+    return rows.select(*points.columns, heading(F.col("_plat"), F.col("_plng"), F.col("lat"), F.col("lng")).alias("heading"))
 
 
 def encode_runs(frames: DataFrame, value: str, key: tuple[str, ...] = ("vehicle_id", "seq"), order: str = "i", extra: dict | None = None) -> DataFrame:

@@ -61,16 +61,24 @@ def telemetry_rollup(clips: DataFrame) -> DataFrame:
     Expects drive_id, t_ms, seq, path and the telemetry columns.
     """
     once = clips.withColumn("_k", F.row_number().over(Window.partitionBy(*DRIVE, "path").orderBy("t_ms", "seq"))).where("_k = 1")
-    at = F.struct("t_ms", "seq")
+    return telemetry_figures(once.groupBy(*DRIVE).agg(*telemetry_aggs(F.struct("t_ms", "seq"))))
+
+
+def telemetry_aggs(at: Column) -> list[Column]:
+    """The roll-up's aggregates over clips in the order of ``at``, one row a clip."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
-    g = once.groupBy(*DRIVE).agg(
+    return [
         round2(first("battery_start")).alias("battery_start"), round2(last("battery_end")).alias("battery_end"),
         round2(F.min("interior_min")).alias("interior_min"), round2(F.max("interior_max")).alias("interior_max"),
         round2(F.avg("exterior_avg")).alias("exterior_avg"), js_round(F.sum("hvac_s")).alias("hvac_s"),
         *(round2(last(c)).alias(c) for c in ("tire_fl", "tire_fr", "tire_rl", "tire_rr")),
         round2(first("odometer_start")).alias("odometer_start"), round2(last("odometer_end")).alias("odometer_end"),
-        first("location_start").alias("location_start"), last("location_end").alias("location_end"))
+        first("location_start").alias("location_start"), last("location_end").alias("location_end")]
+
+
+def telemetry_figures(g: DataFrame) -> DataFrame:
+    """Adds battery_used and odometer_driven (of a way not below 0)."""
     driven = F.col("odometer_end") - F.col("odometer_start")
     return g.withColumn("battery_used", round2(F.col("battery_start") - F.col("battery_end"))).withColumn("odometer_driven", F.when(driven >= 0, round2(driven)))
 

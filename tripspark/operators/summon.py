@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripspark.functions import runs as R
@@ -35,24 +35,20 @@ def clip_evidence(clips: DataFrame, clip_ms: int = 60_000, bookend_ms: int = 10_
     }).drop("_f", "_v", "_a", "_g")
 
 
-def summon_drives(clips: DataFrame, drives: DataFrame, max_ms: int = 600_000, max_mps: float = 4.5, uncovered_ms: int = 30_000, fsd_share: float = 0.5) -> DataFrame:
-    """(vehicle_id, drive_id, summon). Expects drives: duration_ms, max_speed_mps, has_speeds; clips as in clip_evidence with drive_id and seq.
-
-    In this order: duration, shape, coverage (interval union), speed, pedals; hazards
-    at both ends decide for it; else all clips need full mode and gear runs, Park at
-    both ends, no other mode, and FSD in at least half of the frames. Drives that
-    fail on duration never reach the evidence.
-    """
-    possible = drives.where((F.col("duration_ms") > 0) & (F.col("duration_ms") <= max_ms))
-    own = clip_evidence(clips.join(possible.select("vehicle_id", "drive_id"), ["vehicle_id", "drive_id"], "left_semi"))
+def evidence_aggs() -> list[Column]:
+    """What the gates ask of a drive, over rows of clip_evidence with seq."""
     at = F.struct("start_ms", "seq")
     timed = F.coalesce(F.col("end_ms") > F.col("start_ms"), F.lit(False))
-    g = own.groupBy("vehicle_id", "drive_id").agg(
+    return [
         F.bool_and("shape_ok").alias("shape_ok"), F.bool_and(timed).alias("timed"), F.sum("nominal_ms").alias("nominal"),
-        F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("sp"),  # at most ten minutes of clips
+        F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("sp"),
         F.max("top_mps").alias("top"), F.bool_and(F.col("top_mps").isNotNull()).alias("exact"), F.bool_or("pedal").alias("pedal"),
         F.min_by("hazard_start", at).alias("h0"), F.max_by("hazard_end", at).alias("h1"), F.min_by("park_before", at).alias("p0"), F.max_by("park_after", at).alias("p1"),
-        F.bool_and("modes_ok").alias("modes_ok"), F.bool_and(F.col("modes").isNotNull()).alias("has_modes"), F.sum("modes.fsd").alias("fsd"), F.sum("modes.other").alias("other"), F.sum("modes.total").alias("total"))
+        F.bool_and("modes_ok").alias("modes_ok"), F.bool_and(F.col("modes").isNotNull()).alias("has_modes"), F.sum("modes.fsd").alias("fsd"), F.sum("modes.other").alias("other"), F.sum("modes.total").alias("total")]
+
+
+def is_summoned(max_ms: int = 600_000, max_mps: float = 4.5, uncovered_ms: int = 30_000, fsd_share: float = 0.5) -> Column:
+    """The verdict over evidence_aggs, duration_ms, max_speed_mps and has_speeds, gate by gate."""
 
     def union(a, x):
         start = F.greatest(a["e"], x["start_ms"].cast("double"))
@@ -60,20 +56,34 @@ def summon_drives(clips: DataFrame, drives: DataFrame, max_ms: int = 600_000, ma
         return F.struct((a["m"] + F.greatest(end - start, F.lit(0.0))).alias("m"), end.alias("e"))
 
     covered = F.when(F.col("timed"), F.aggregate("sp", F.struct(F.lit(0.0).alias("m"), F.lit(-1e300).alias("e")), union)["m"]).otherwise(F.col("nominal"))
-    g = g.withColumn("covered", covered)
-    out = drives.select("vehicle_id", "drive_id", "duration_ms", "max_speed_mps", "has_speeds").join(g, ["vehicle_id", "drive_id"], "left")
     speed = F.when(F.col("exact"), F.col("top")).when(F.col("has_speeds"), F.col("max_speed_mps"))
     no = F.lit(False)
     verdict = (
-        F.when(F.col("shape_ok").isNull() | ~F.col("shape_ok"), no)
-        .when(F.col("duration_ms") - F.col("covered") > uncovered_ms, no)
+        F.when(~F.coalesce((F.col("duration_ms") > 0) & (F.col("duration_ms") <= max_ms), no), no)
+        .when(F.col("shape_ok").isNull() | ~F.col("shape_ok"), no)
+        .when(F.col("duration_ms") - covered > uncovered_ms, no)
         .when(F.coalesce(~(speed > 0) | (speed > max_mps), F.lit(True)), no)
         .when(F.col("pedal"), no)
         .when(F.col("h0") & F.col("h1"), F.lit(True))
         .when(~F.col("modes_ok") | ~F.col("p0") | ~F.col("p1"), no)
         .when(~F.col("has_modes") | (F.col("other") > 0), no)
         .otherwise((F.col("total") > 0) & (F.col("fsd") >= F.col("total") * fsd_share)))
-    return out.select("vehicle_id", "drive_id", F.coalesce(verdict, no).alias("summon"))
+    return F.coalesce(verdict, no)
+
+
+def summon_drives(clips: DataFrame, drives: DataFrame, max_ms: int = 600_000, max_mps: float = 4.5, uncovered_ms: int = 30_000, fsd_share: float = 0.5) -> DataFrame:
+    """(vehicle_id, drive_id, summon). Expects drives: duration_ms, max_speed_mps, has_speeds; clips as in clip_evidence with drive_id and seq.
+
+    In this order: duration, shape, coverage (interval union), speed, pedals; hazards
+    at both ends decide for it; else all clips need full mode and gear runs, Park at
+    both ends, no other mode, and FSD in at least half of the frames. Drives that
+    fail on duration never reach the evidence.
+    """
+    possible = drives.where((F.col("duration_ms") > 0) & (F.col("duration_ms") <= max_ms))
+    own = clip_evidence(clips.join(possible.select("vehicle_id", "drive_id"), ["vehicle_id", "drive_id"], "left_semi"))
+    g = own.groupBy("vehicle_id", "drive_id").agg(*evidence_aggs())
+    out = drives.select("vehicle_id", "drive_id", "duration_ms", "max_speed_mps", "has_speeds").join(g, ["vehicle_id", "drive_id"], "left")
+    return out.select("vehicle_id", "drive_id", is_summoned(max_ms, max_mps, uncovered_ms, fsd_share).alias("summon"))
 
 
 def without_summon_metrics(drives: DataFrame) -> DataFrame:

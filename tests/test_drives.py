@@ -20,7 +20,7 @@ def clip(seq, minute, n=4, gears=None, runs=None, path=None, event=False, source
 
 def drives_of(spark, rows):
     out = drives.clips_to_drives(spark.createDataFrame(rows, SCHEMA))
-    return {(r.vehicle_id, r.drive_id): r for r in out["drives"].collect()}, sorted((r.vehicle_id, r.drive_id, r.seq, r.start_idx, r.end_idx) for r in out["parts"].collect())
+    return {(r.vehicle_id, r.drive_id): r for k in ("drives", "hidden") for r in out[k].withColumn("listed", F.lit(k)).collect()}, sorted((r.vehicle_id, r.drive_id, r.seq, r.start_idx, r.end_idx) for r in out["parts"].collect())
 
 
 def test_pauses_copies_and_event_clips(spark):
@@ -51,6 +51,8 @@ def test_signatures_split_and_outliers_go(spark):
     got, parts = drives_of(spark, rows)
     assert [(d, s) for _, d, s, *_ in parts] == [(1, 0), (1, 4), (2, 1), (2, 3), (3, 2)]
     assert got["v", 1].point_count == 6 and got["v", 2].point_count == 8
+    # the imports overlap the recorded drive
+    assert [got["v", d].listed for d in (1, 2, 3)] == ["drives", "hidden", "hidden"]
 
 
 def test_carried_headings_are_those_of_the_nearest_step_that_tells():

@@ -1,78 +1,205 @@
-"""The main flow from end to end: clips to drives."""
+"""The main flow from end to end: clips to drives.
+
+What makes a drive is settled on slim rows of clips that lie by vehicle: one
+shuffle, then windows and filters only. The arrays of points are shuffled
+to the parts that the drives are made of and on to their drives, as arrays, and
+taken apart there; every measure of a drive's points is then taken where the
+points lie.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import js_round
-from tripspark.operators import assist, clips as C, holes, points as P, sessions, stats
+from tripspark.operators import clips as C, endpoints, holes, imports, measure, merge, points as P, sessions, stats, summon
 from tripspark.operators.points import DRIVE
 from tripspark.operators.regions import shared_folder
 
 BRIDGE = "-front-bridge.mp4"
 ARRAYS = ("points", "gear_states", "ap_states", "speeds", "accel_positions")
+#: Roll-up's columns and the fields of a clip's telemetry that they come from.
+TELEMETRY = {
+    "battery_start": "batteryPctStart", "battery_end": "batteryPctEnd", "interior_min": "interiorTempMin", "interior_max": "interiorTempMax", "exterior_avg": "exteriorTempAvg", "hvac_s": "hvacRuntimeS",
+    "tire_fl": "tireFlPsi", "tire_fr": "tireFrPsi", "tire_rl": "tireRlPsi", "tire_rr": "tireRrPsi", "odometer_start": "odometerMiStart", "odometer_end": "odometerMiEnd",
+    "location_start": "locationNameStart", "location_end": "locationNameEnd"}
+#: Columns of clips that tests and older stores may lack.
+OPTIONAL = {
+    "date": "string", "imported_ap_pct": "double", "flag_runs": "array<struct<flags:bigint,frames:double,max_mps:double>>", "ap_runs": "array<struct<ap:bigint,frames:double>>",
+    "telemetry": f"struct<{','.join(f'{v}:{'string' if k.startswith('location') else 'double'}' for k, v in TELEMETRY.items())}>"}
+
+
+def _some(c: str) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)) > 0
+
+
+def gear_segments(park_s: float = 2.0) -> Column:
+    """array<struct<parked,s,e>> of a clip with gear_runs and total_frames: each Park run of at least park_s, and what lies between as one."""
+    empty = F.array().cast("array<struct<parked:boolean,s:double,e:double>>")
+
+    def step(a: Column, r: Column) -> Column:
+        end, segs = a["p"] + r["frames"], a["o"]
+        parked = F.coalesce(r["gear"] == 0, F.lit(False)) & (r["frames"] * 60.0 / F.col("total_frames") >= park_s)
+        last = F.try_element_at(segs, F.lit(-1))
+        goes_on = ~parked & F.coalesce(~last["parked"], F.lit(False))
+        seg = F.struct(parked.alias("parked"), F.when(goes_on, last["s"]).otherwise(a["p"]).alias("s"), end.alias("e"))
+        return F.struct(end.alias("p"), F.array_append(F.when(goes_on, F.slice(segs, 1, F.size(segs) - 1)).otherwise(segs), seg).alias("o"))
+
+    return F.aggregate("gear_runs", F.struct(F.lit(0.0).alias("p"), empty.alias("o")), step)["o"]
 
 
-def drive_parts(clips: DataFrame) -> DataFrame:
-    """The parts of clips that make up the drives, in the order of time: vehicle_id, drive_id, part, seq, start_idx, end_idx, seg_t_ms, part_ms.
+def drive_parts(clips: DataFrame, clip_ms: int = 60_000) -> DataFrame:
+    """The parts of clips that make up the drives, in the order of time: vehicle_id, drive_id, part, seq, start_idx, end_idx, seg_t_ms, part_ms, start_frame, end_frame, total_frames.
 
     Clips without path or time are dropped; of one file the first clip stays; event
     clips come in where they fill holes; a pause of more than 5 minutes, a Park gap
-    or another import signature begins a new drive. All of this is settled on slim
-    rows; points and states are not touched.
+    or another import signature begins a new drive. In a drive without gear runs clips that
+    are mostly parked are gaps themselves (unless it is one clip). All of this is settled
+    on slim rows that are shuffled once, by vehicle; points are not touched.
     """
-    gear = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     slim = clips.where("path IS NOT NULL AND t_ms IS NOT NULL").select(
-        "vehicle_id", "seq", "path", "is_event", "t_ms", "source", "external_signature", F.col("path").contains(BRIDGE).alias("is_bridge"), F.size("points").alias("n_points"), "gear_runs",
-        F.when(gear("gear_runs"), F.array().cast("array<int>")).otherwise(F.col("gear_states").cast("array<int>")).alias("gear_states"), F.col("raw_park_count").alias("park_count"), F.col("raw_frame_count").alias("frame_count"),
+        "vehicle_id", "seq", "path", "is_event", "t_ms", "source", "external_signature", F.col("path").contains(BRIDGE).alias("is_bridge"), F.size("points").cast("double").alias("n"), "gear_runs",
+        (F.size(F.filter("gear_states", lambda g: g == 0)) > F.size("gear_states") / 2.0).alias("by_states"), _some("gear_states").alias("has_states"), F.col("raw_park_count").alias("park_count"), F.col("raw_frame_count").alias("frame_count"),
         C.clip_has_driving(F.col("gear_runs"), F.col("gear_states"), F.col("raw_park_count"), F.col("raw_frame_count"), F.col("speeds")).alias("driving"))
-    rows = sessions.sessionize_drives(C.clip_spans(holes.fill_holes(C.dedup_clips(slim))))
-    rows = rows.withColumn("by_runs", F.max(gear("gear_runs")).over(Window.partitionBy(*DRIVE)))
-    runs = sessions.park_splits(rows.where("by_runs"), with_share=True)
-    legacy = sessions.legacy_park_split(rows.where("NOT by_runs")).select(
-        *DRIVE, "cut_drive", "seq", F.lit(1).cast("bigint").alias("seg_no"), F.lit(0).cast("bigint").alias("start_idx"), F.col("n_points").cast("bigint").alias("end_idx"), F.col("t_ms").alias("seg_t_ms"), F.lit(1.0).alias("share"))
-    parts = runs.unionByName(legacy).join(rows.select("vehicle_id", "seq", "external_signature", "span_ms"), ["vehicle_id", "seq"])
+    rows = sessions.sessionize_drives(C.clip_spans(holes.fill_holes(C.dedup_clips(slim.repartition("vehicle_id")))))
+    drive, vehicle = Window.partitionBy(*DRIVE), Window.partitionBy("vehicle_id")
+    rows = rows.withColumns({"has_runs": _some("gear_runs"), "total_frames": F.aggregate("gear_runs", F.lit(0.0), lambda a, r: a + r["frames"])})
+    rows = rows.withColumns({"by_runs": F.max("has_runs").over(drive), "any_states": F.max(F.col("has_states") & ~F.col("has_runs")).over(drive), "clips": F.count(F.lit(1)).over(drive)})
+    mostly = F.when(F.col("frame_count") > 0, F.coalesce(F.col("park_count") / F.col("frame_count") > 0.5, F.lit(False))).otherwise(F.coalesce("by_states", F.lit(False)))
+    parked = ~F.col("by_runs") & mostly & F.col("any_states") & (F.col("clips") > 1)
+    whole = F.array(F.struct(parked.alias("parked"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("e")))
+    segs = rows.where("NOT has_runs OR total_frames > 0").select("*", F.posexplode(F.when(F.col("has_runs"), gear_segments()).otherwise(whole)).alias("seg_no", "g")).select("*", "g.*").drop("g", "gear_runs")
+    share = (F.col("e") - F.col("s")) / F.col("total_frames")
+    full = F.col("s").isNull() | ((F.col("s") == 0) & (F.col("e") == F.col("total_frames")))
+    start = F.when(full, 0.0).otherwise(F.greatest(F.least(js_round(F.col("s") / F.col("total_frames") * F.col("n")), F.col("n") - 1), F.lit(0.0)))
+    segs = segs.withColumn("start_idx", start)
+    end = F.when(full, F.col("n")).otherwise(F.greatest(F.least(js_round(F.col("e") / F.col("total_frames") * F.col("n")), F.col("n")), F.col("start_idx") + 1))
+    segs = segs.withColumns({"end_idx": end, "seg_t_ms": F.when(full, F.col("t_ms")).otherwise(F.col("t_ms") + F.floor(F.col("s") / F.col("total_frames") * clip_ms)).cast("bigint"), "part_ms": F.coalesce(share, F.lit(1.0)) * F.col("span_ms")})
+    segs = segs.where("parked OR s IS NULL OR (end_idx <= n AND n > 0)")
+    segs = segs.withColumn("gaps", F.sum(F.col("parked").cast("bigint")).over(drive.orderBy("t_ms", "seq", "seg_no"))).where("NOT parked")
     # a cut is a drive of its own to the split by signatures
-    cut = F.dense_rank().over(Window.partitionBy("vehicle_id").orderBy("drive_id", "cut_drive"))
-    parts = parts.withColumns({"drive_id": cut.cast("bigint"), "t_ms": F.col("seg_t_ms")})
-    parts = sessions.signature_split(parts)
-    number = F.dense_rank().over(Window.partitionBy("vehicle_id").orderBy("drive_id", "sub_drive"))
-    parts = parts.withColumn("drive_id", number.cast("bigint"))
-    part = F.row_number().over(Window.partitionBy(*DRIVE).orderBy("seg_t_ms", "seq", "seg_no"))
-    return parts.select(*DRIVE, part.cast("bigint").alias("part"), "seq", "start_idx", "end_idx", "seg_t_ms", (F.col("share") * F.col("span_ms")).alias("part_ms"))
+    segs = segs.withColumn("drive_id", F.dense_rank().over(vehicle.orderBy("drive_id", "gaps")).cast("bigint"))
+    segs = sessions.signature_split(segs.drop("t_ms").withColumn("t_ms", F.col("seg_t_ms")))
+    segs = segs.withColumn("drive_id", F.dense_rank().over(vehicle.orderBy("drive_id", "sub_drive")).cast("bigint"))
+    part = F.row_number().over(drive.orderBy("seg_t_ms", "seq", "seg_no"))
+    return segs.select(*DRIVE, part.cast("bigint").alias("part"), "seq", F.col("start_idx").cast("bigint").alias("start_idx"), F.col("end_idx").cast("bigint").alias("end_idx"), "seg_t_ms", "part_ms",
+                       F.col("s").alias("start_frame"), F.col("e").alias("end_frame"), F.when(F.col("s").isNotNull(), F.col("total_frames")).alias("total_frames"))
+
+
+def _odd_parts(parts: DataFrame, jump_m: float = 5000.0, far_m: float = 900_000.0) -> DataFrame:
+    """``odd``: a drive in which some point may be junk, told from the boxes of its parts: only those need the filters of points."""
+    lat, lng = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
+    parts = parts.withColumns({"_s": F.array_min(lat), "_n": F.array_max(lat), "_w": F.array_min(lng), "_e": F.array_max(lng), "_a": F.get("points", F.lit(0)), "_z": F.try_element_at("points", F.lit(-1))})
+    drive = Window.partitionBy(*DRIVE)
+    wide = lambda a, b, c, d, m: (F.abs(F.col(b) - F.col(a)) + F.abs(F.col(d) - F.col(c))) * 112_000.0 > m
+    before = F.last("_z", ignorenulls=True).over(drive.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_b", before)
+    step = (F.abs(F.col("_a")[0] - F.col("_b")[0]) + F.abs(F.col("_a")[1] - F.col("_b")[1])) * 112_000.0 > jump_m
+    junk = wide("_s", "_n", "_w", "_e", jump_m) | F.coalesce(step, F.lit(False)) | ((F.col("_s") < 1) & (F.col("_n") > -1) & (F.col("_w") < 1) & (F.col("_e") > -1)) | F.exists("points", lambda p: (p[0] + p[1]).isNull())
+    known = F.coalesce(junk, F.size("points") > 0)
+    parts = parts.withColumns({"_s": F.min("_s").over(drive), "_n": F.max("_n").over(drive), "_w": F.min("_w").over(drive), "_e": F.max("_e").over(drive), "odd": F.max(known).over(drive)})
+    return parts.withColumn("odd", F.col("odd") | F.coalesce(wide("_s", "_n", "_w", "_e", far_m), F.lit(False))).drop("_s", "_n", "_w", "_e", "_a", "_z", "_b")
 
 
 def drive_points(clips: DataFrame, parts: DataFrame) -> DataFrame:
-    """The points of the drives, numbered (idx) in order: vehicle_id, drive_id, idx, seq, lat, lng, t_ms, gear, ap, speed, accel. Junk and outliers are gone.
+    """The points of the drives, numbered (idx) in order: vehicle_id, drive_id, idx, seq, lat, lng, t_ms, gear, ap, speed, accel, evidence, and the columns of measured_points. Junk and outliers are gone.
 
-    The one place where the clips' arrays are shuffled, each once, to the parts cut from them.
+    The arrays of clips are shuffled to the parts cut from them, and the parts' arrays to their
+    drives; nothing is shuffled point by point. evidence: 1 if the clip has gears, plus 2 if it has speeds.
     """
     of = parts.join(clips.select("vehicle_id", "seq", *ARRAYS), ["vehicle_id", "seq"])
-    n = F.col("end_idx") - F.col("start_idx")
-    whole = of.select(*DRIVE, "part", "seq", F.col("seg_t_ms").alias("t_ms"), "part_ms", *(F.slice(c, F.col("start_idx") + 1, F.greatest(n, F.lit(0))).alias(c) for c in ARRAYS))
-    rows = P.interpolate_point_times(whole, span="part_ms")
-    idx = F.row_number().over(Window.partitionBy(*DRIVE).orderBy("part", "i")) - 1
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("gear", "ap")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("speed", "accel")}
-    rows = rows.withColumn("idx", idx.cast("bigint")).select(*DRIVE, "idx", "seq", "lat", "lng", F.col("time_ms").alias("t_ms"), *(v.alias(k) for k, v in zero.items()))
-    return P.jump_filter(P.median_cluster_filter(P.drop_null_island(rows)))
-
-
-def clips_to_drives(clips: DataFrame) -> dict[str, DataFrame]:
-    """drives, points and parts of the clips that read_drive_data or read_routes give.
-
-    drives: a row per drive with its times, distances, speeds, assisted distance and
-    time, disengagements and pedal pushes. A drive without points left has its times
-    and nothing else (0). Parts and points feed all measures, so each is worked out
-    once and cut off in the shared checkpoint folder.
+    n = F.greatest(F.col("end_idx") - F.col("start_idx"), F.lit(0))
+    of = of.select(*DRIVE, "part", "seq", F.col("seg_t_ms").alias("t_ms"), "part_ms", *(F.slice(c, F.col("start_idx") + 1, n).alias(c) for c in ARRAYS)).repartition(*DRIVE)
+    first = F.coalesce(F.sum(F.size("points")).over(Window.partitionBy(*DRIVE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = _odd_parts(of.withColumn("first", first))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        rows = P.interpolate_point_times(rows.drop("odd"), span="part_ms")
+        evidence = F.when(F.col("gear").isNotNull(), 1).otherwise(0) + F.when(F.col("speed").isNotNull(), 2).otherwise(0)
+        zero = {c: F.coalesce(c, F.lit(0)) for c in ("gear", "ap")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("speed", "accel")}
+        return rows.select(*DRIVE, (F.col("first") + F.col("i")).cast("bigint").alias("idx"), "seq", "lat", "lng", F.col("time_ms").alias("t_ms"), *(v.alias(k) for k, v in zero.items()), evidence.alias("evidence"))
+
+    even, odd = apart(of.where("NOT odd")), apart(of.where("odd"))
+    odd = P.jump_filter(P.median_cluster_filter(P.drop_null_island(odd)))
+    return measure.measured_points(even).unionByName(measure.measured_points(odd))
+
+
+def drive_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
+    """The rows of endpoint_window: those within 30 s of a drive's first or last point, up to the first that is not."""
+    drive, order = Window.partitionBy(*DRIVE), P.by_point()
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = points.select(*DRIVE, "idx", "lat", "lng", "t_ms", F.when(F.col("evidence").bitwiseAND(F.lit(1)) != 0, F.col("gear")).alias("gear"), F.when(F.col("evidence").bitwiseAND(F.lit(2)) != 0, F.col("speed")).alias("speed"))
+    rows = rows.withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(drive), "_a": F.first("t_ms").over(whole), "_z": F.last("t_ms").over(whole)})
+    near = lambda which, t, k: F.when((F.abs(F.col("t_ms") - F.col(t)) <= window_ms) & (k < most), F.struct(F.lit(which).alias("which"), k.cast("bigint").alias("k")))
+    ends = rows.select(*DRIVE, "lat", "lng", "t_ms", "gear", "speed", F.explode(F.array_compact(F.array(near("start", "_a", F.col("k")), near("end", "_z", F.col("n") - 1 - F.col("k"))))).alias("w")).select("*", "w.*").drop("w")
+    # one outside the window ends it: from there on the numbers run ahead of the rows
+    return ends.withColumn("_r", F.row_number().over(Window.partitionBy(*DRIVE, "which").orderBy("k")) - 1).where("_r = k").drop("_r")
+
+
+def _clip_rows(clips: DataFrame) -> DataFrame:
+    """What drives take from their clips besides points, with nulls for what the clips have not."""
+    add = {c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in clips.columns}
+    c = clips.withColumns(add) if add else clips
+    return c.select("vehicle_id", F.col("seq"), "path", "date", "source", "external_signature", "imported_ap_pct", "raw_frame_count", "flag_runs", "ap_runs", "gear_runs", *(F.col(f"telemetry.{v}").alias(k) for k, v in TELEMETRY.items()))
+
+
+def clip_measures(clips: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per drive what comes from its clips: times, files, source, signature, date, telemetry, evidence of summon."""
+    rows = parts.join(_clip_rows(clips), ["vehicle_id", "seq"])
+    flagged = F.aggregate("flag_runs", F.lit(0.0), lambda a, r: a + r["frames"])
+    total = F.coalesce("total_frames", F.when(F.col("raw_frame_count") > 0, F.col("raw_frame_count")), flagged, F.lit(0.0))
+    rows = rows.withColumns({"total_frames": total, "start_frame": F.coalesce("start_frame", F.lit(0.0)), "start_ms": F.col("seg_t_ms"), "end_ms": F.col("seg_t_ms") + F.col("part_ms")})
+    rows = rows.withColumn("end_frame", F.coalesce("end_frame", "total_frames"))
+    # the evidence is worked out only for parts that a drive of at most ten minutes may have
+    rows = summon.clip_evidence(rows)
+    end = F.floor(F.col("seg_t_ms") + js_round(F.col("part_ms")))
+    first = F.min_by(F.struct("date", "source", "external_signature", "imported_ap_pct"), "part")
+    g = rows.groupBy(*DRIVE).agg(
+        F.min("seg_t_ms").alias("start_ms"), F.max_by(end, "part").cast("bigint").alias("end_ms"), F.count(F.lit(1)).alias("clip_count"), first.alias("_first"),
+        F.transform(F.sort_array(F.collect_list(F.struct("part", "path"))), lambda x: x["path"]).alias("route_files"), F.bool_or(F.col("path").contains(BRIDGE)).alias("bridged"),
+        *stats.telemetry_aggs(F.col("part")), *(c for c in summon.evidence_aggs()))
+    return stats.telemetry_figures(g.select("*", "_first.*").drop("_first")).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+
+
+EVIDENCE = ("shape_ok", "timed", "nominal", "sp", "top", "exact", "pedal", "h0", "h1", "p0", "p1", "modes_ok", "has_modes", "fsd", "other", "total", "has_speeds", "max_speed_mps", "from_ms", "to_ms")
+
+
+def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "UTC") -> dict[str, DataFrame]:
+    """drives, hidden, points, parts and events of the clips that read_drive_data or read_routes give.
+
+    drives: a row per drive: times (ms and local text), distances, speeds, assisted distance
+    and time by mode, disengagements and pedal pushes, whether it was a summon manoeuvre (then
+    without assist figures), telemetry, files, source, import signature, both ends with
+    their accuracy, tags (of ``tags``: vehicle_id, start_time, tags) and whether a gap was bridged.
+    Imported drives that overlap a recorded one are in ``hidden`` instead. A drive without
+    points left has its clips' figures and no others (0). Parts and points feed all measures,
+    so each is worked out once and cut off in the shared checkpoint folder.
+
+    events: disengagement and accel_push with their places, none of summon drives.
     """
     shared_folder(clips.sparkSession)
     parts = drive_parts(clips).checkpoint()
     points = drive_points(clips, parts).checkpoint()
-    end = F.floor(F.col("seg_t_ms") + js_round(F.col("part_ms")))
-    times = parts.groupBy(*DRIVE).agg(
-        F.min("seg_t_ms").alias("start_ms"), F.max_by(end, "part").cast("bigint").alias("end_ms"), F.count_distinct("seq").alias("clip_count"))
-    times = times.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
-    measured = stats.drive_stats(points).drop("start_ms", "end_ms", "duration_ms", "clip_count")
-    out = times.join(measured, list(DRIVE), "left").join(stats.assist_distance_time(points), list(DRIVE), "left").join(assist.event_counts(points), list(DRIVE), "left")
-    return {"drives": out.na.fill(0), "points": points, "parts": parts}
+    out = clip_measures(clips, parts).join(measure.drive_measures(points), list(DRIVE), "left").withColumn("has_speeds", F.coalesce("has_speeds", F.lit(False)))
+    out = out.withColumn("summon", summon.is_summoned()).drop(*EVIDENCE)
+    figures = [c for c in out.columns if c.startswith(("fsd_", "autosteer_", "tacc_", "assisted_", "avg_", "max_", "distance_", "point_")) or c in ("disengagements", "accel_pushes")]
+    out = summon.without_summon_metrics(out.na.fill(0, figures))
+    local = lambda c: F.date_format(F.from_utc_timestamp(F.timestamp_millis(F.col(c)), tz), "yyyy-MM-dd'T'HH:mm:ss")
+    out = out.withColumns({"start_time": local("start_ms"), "end_time": local("end_ms")})
+    snapped = endpoints.snap_ends(drive_ends(points))
+    end = {w: F.max(F.when(F.col("which") == w, F.struct("lat", "lng", "accuracy_m", "samples", "stationary"))).alias(f"{w}_place") for w in ("start", "end")}
+    out = out.join(snapped.groupBy(*DRIVE).agg(*end.values()), list(DRIVE), "left")
+    out = merge.attach_drive_tags(out, tags) if tags is not None else out.withColumn("tags", F.array().cast("array<string>"))
+    out = out.checkpoint()  # a row per drive, for three readers
+    hidden = imports.hidden_imports(out)
+    return {"drives": out.join(hidden, list(DRIVE), "left_anti"), "hidden": out.join(hidden, list(DRIVE), "left_semi"), "points": points, "parts": parts, "events": drive_events(points, out)}
+
+
+def drive_events(points: DataFrame, drives: DataFrame) -> DataFrame:
+    """(vehicle_id, drive_id, idx, lat, lng, type) of drives that are no summon manoeuvre."""
+    from tripspark.operators import assist
+
+    kinds = {"disengagement": assist.disengagement_events(points), "accel_push": assist.accel_push_events(points)}
+    rows = [e.withColumn("type", F.lit(k)) for k, e in kinds.items()]
+    return rows[0].unionByName(rows[1]).join(drives.where("summon").select(*DRIVE), list(DRIVE), "left_anti")

@@ -31,7 +31,7 @@ def clip_evidence(clips: DataFrame, clip_ms: int = 60_000, bookend_ms: int = 10_
         "park_before": F.when(s > 0, park(s - 1)).otherwise(park(F.lit(0.0))),
         "park_after": F.when(after.isNotNull(), after == PARK).otherwise(park(e - 1)),
         "modes": R.segment_ap_frames(F.col("_a"), s, e),
-        "nominal_ms": (e - s) * clip_ms / total,
+        "nominal_ms": F.try_divide((e - s) * clip_ms, total),
     }).drop("_f", "_v", "_a", "_g")
 
 

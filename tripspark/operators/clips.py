@@ -46,14 +46,14 @@ def clip_has_driving(gear_runs: Column, gear_states: Column, park_count: Column,
     return F.coalesce(moved, no) | fewer | F.coalesce(fast, no)
 
 
-def clip_spans(clips: DataFrame, clip_ms: int = 60_000) -> DataFrame:
+def clip_spans(clips: DataFrame, clip_ms: int = 60_000, key: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
     """``span_ms``: a native clip lasts until the next native clip if that begins 1 to ``clip_ms`` later, any other ``clip_ms``.
 
     Native: source ``sei`` and no bridge. The next native clip comes from a running
     last value over the reversed order, so the window stays linear.
     """
     native = (F.col("source") == "sei") & ~F.coalesce(F.col("is_bridge"), F.lit(False)) if "is_bridge" in clips.columns else F.col("source") == "sei"
-    back = Window.partitionBy("vehicle_id").orderBy(F.desc("t_ms"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*key).orderBy(F.desc("t_ms"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     gap = F.last(F.when(native, F.col("t_ms")), ignorenulls=True).over(back) - F.col("t_ms")
     return clips.withColumn("span_ms", F.when(native & (gap > 0) & (gap <= clip_ms), gap).otherwise(F.lit(clip_ms)).cast("bigint"))
 

@@ -49,7 +49,7 @@ def gear_segments(park_s: float = 2.0) -> Column:
     return F.aggregate("gear_runs", F.struct(F.lit(0.0).alias("p"), empty.alias("o")), step)["o"]
 
 
-def drive_parts(clips: DataFrame, clip_ms: int = 60_000) -> DataFrame:
+def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000, spread: bool = False) -> DataFrame:
     """The parts of clips that make up the drives, in the order of time: vehicle_id, drive_id, part, seq, start_idx, end_idx, seg_t_ms, part_ms, start_frame, end_frame, total_frames.
 
     Clips without path or time are dropped; of one file the first clip stays; event
@@ -57,13 +57,21 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000) -> DataFrame:
     or another import signature begins a new drive. In a drive without gear runs clips that
     are mostly parked are gaps themselves (unless it is one clip). All of this is settled
     on slim rows that are shuffled once, by vehicle; points are not touched.
+
+    ``spread``: rows lie by vehicle and work window instead, windows being told by a scan that
+    spreads a heavy vehicle over tasks. Drives are the same; their numbers rise in time but
+    leave room (window times 2^20) instead of being dense.
     """
+    key = ("vehicle_id", "window_id") if spread else ("vehicle_id",)
     slim = clips.where("path IS NOT NULL AND t_ms IS NOT NULL").select(
         "vehicle_id", "seq", "path", "is_event", "t_ms", "source", "external_signature", F.col("path").contains(BRIDGE).alias("is_bridge"), F.size("points").cast("double").alias("n"), "gear_runs",
         (F.size(F.filter("gear_states", lambda g: g == 0)) > F.size("gear_states") / 2.0).alias("by_states"), _some("gear_states").alias("has_states"), F.col("raw_park_count").alias("park_count"), F.col("raw_frame_count").alias("frame_count"),
         C.clip_has_driving(F.col("gear_runs"), F.col("gear_states"), F.col("raw_park_count"), F.col("raw_frame_count"), F.col("speeds")).alias("driving"))
-    rows = sessions.sessionize_drives(C.clip_spans(holes.fill_holes(C.dedup_clips(slim.repartition("vehicle_id")))))
-    drive, vehicle = Window.partitionBy(*DRIVE), Window.partitionBy("vehicle_id")
+    once = sessions.time_windows(C.dedup_clips(slim), spread=True).repartition(*key) if spread else C.dedup_clips(slim.repartition(*key))
+    rows = C.clip_spans(holes.fill_holes(once, key=key), key=key)
+    vehicle, drive = Window.partitionBy(*key), Window.partitionBy(*key, "drive_id")
+    pause = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(vehicle.orderBy("t_ms", "seq")) > gap_ms, F.lit(True))
+    rows = rows.withColumn("drive_id", F.sum(pause.cast("bigint")).over(vehicle.orderBy("t_ms", "seq")))
     rows = rows.withColumns({"has_runs": _some("gear_runs"), "total_frames": F.aggregate("gear_runs", F.lit(0.0), lambda a, r: a + r["frames"])})
     rows = rows.withColumns({"by_runs": F.max("has_runs").over(drive), "any_states": F.max(F.col("has_states") & ~F.col("has_runs")).over(drive), "clips": F.count(F.lit(1)).over(drive)})
     mostly = F.when(F.col("frame_count") > 0, F.coalesce(F.col("park_count") / F.col("frame_count") > 0.5, F.lit(False))).otherwise(F.coalesce("by_states", F.lit(False)))
@@ -80,8 +88,9 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000) -> DataFrame:
     segs = segs.withColumn("gaps", F.sum(F.col("parked").cast("bigint")).over(drive.orderBy("t_ms", "seq", "seg_no"))).where("NOT parked")
     # a cut is a drive of its own to the split by signatures
     segs = segs.withColumn("drive_id", F.dense_rank().over(vehicle.orderBy("drive_id", "gaps")).cast("bigint"))
-    segs = sessions.signature_split(segs.drop("t_ms").withColumn("t_ms", F.col("seg_t_ms")))
-    segs = segs.withColumn("drive_id", F.dense_rank().over(vehicle.orderBy("drive_id", "sub_drive")).cast("bigint"))
+    segs = sessions.signature_split(segs.drop("t_ms").withColumn("t_ms", F.col("seg_t_ms")), key)
+    number = F.dense_rank().over(vehicle.orderBy("drive_id", "sub_drive")).cast("bigint")
+    segs = segs.withColumn("drive_id", F.col("window_id") * (1 << 20) + number if spread else number)
     part = F.row_number().over(drive.orderBy("seg_t_ms", "seq", "seg_no"))
     return segs.select(*DRIVE, part.cast("bigint").alias("part"), "seq", F.col("start_idx").cast("bigint").alias("start_idx"), F.col("end_idx").cast("bigint").alias("end_idx"), "seg_t_ms", "part_ms",
                        F.col("s").alias("start_frame"), F.col("e").alias("end_frame"), F.when(F.col("s").isNotNull(), F.col("total_frames")).alias("total_frames"))
@@ -165,7 +174,7 @@ def clip_measures(clips: DataFrame, parts: DataFrame) -> DataFrame:
 EVIDENCE = ("shape_ok", "timed", "nominal", "sp", "top", "exact", "pedal", "h0", "h1", "p0", "p1", "modes_ok", "has_modes", "fsd", "other", "total", "has_speeds", "max_speed_mps", "from_ms", "to_ms")
 
 
-def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "UTC") -> dict[str, DataFrame]:
+def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "UTC", spread: bool = False) -> dict[str, DataFrame]:
     """drives, hidden, points, parts and events of the clips that read_drive_data or read_routes give.
 
     drives: a row per drive: times (ms and local text), distances, speeds, assisted distance
@@ -177,9 +186,10 @@ def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "
     so each is worked out once and cut off in the shared checkpoint folder.
 
     events: disengagement and accel_push with their places, none of summon drives.
+    ``spread`` as in drive_parts.
     """
     shared_folder(clips.sparkSession)
-    parts = drive_parts(clips).checkpoint()
+    parts = drive_parts(clips, spread=spread).checkpoint()
     points = drive_points(clips, parts).checkpoint()
     out = clip_measures(clips, parts).join(measure.drive_measures(points), list(DRIVE), "left").withColumn("has_speeds", F.coalesce("has_speeds", F.lit(False)))
     out = out.withColumn("summon", summon.is_summoned()).drop(*EVIDENCE)

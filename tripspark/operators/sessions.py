@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import js_round
+from tripspark.operators.scans import number_gaps
 
 
 def _gaps(rows: DataFrame, gap_ms: int, name: str) -> DataFrame:
@@ -14,20 +15,23 @@ def _gaps(rows: DataFrame, gap_ms: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.sum(new.cast("bigint")).over(order))
 
 
-def time_windows(clips: DataFrame, gap_ms: int = 1_800_000) -> DataFrame:
-    """``window_id``: counts up at every pause of more than 30 minutes; no rule reaches across one."""
-    return _gaps(clips, gap_ms, "window_id")
+def time_windows(clips: DataFrame, gap_ms: int = 1_800_000, spread: bool = False) -> DataFrame:
+    """``window_id``: counts up at every pause of more than 30 minutes; no rule reaches across one.
+
+    ``spread``: a vehicle may fill many tasks (see scans), for fleets in which a few hold most rows.
+    """
+    return number_gaps(clips, gap_ms, "window_id") if spread else _gaps(clips, gap_ms, "window_id")
 
 
-def sessionize_drives(clips: DataFrame, gap_ms: int = 300_000) -> DataFrame:
-    """``drive_id`` within the vehicle: a new one when clips start more than 5 minutes apart."""
-    return _gaps(clips, gap_ms, "drive_id")
+def sessionize_drives(clips: DataFrame, gap_ms: int = 300_000, spread: bool = False) -> DataFrame:
+    """``drive_id`` within the vehicle: a new one when clips start more than 5 minutes apart. ``spread`` as in time_windows."""
+    return number_gaps(clips, gap_ms, "drive_id") if spread else _gaps(clips, gap_ms, "drive_id")
 
 
-def signature_split(clips: DataFrame) -> DataFrame:
+def signature_split(clips: DataFrame, key: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
     """``sub_drive``: within a drive that has signatures, 0 for unsigned clips, then signatures by first appearance."""
-    drive = Window.partitionBy("vehicle_id", "drive_id")
-    first = F.min(F.struct("t_ms", "seq")).over(Window.partitionBy("vehicle_id", "drive_id", "external_signature"))
+    drive = Window.partitionBy(*key, "drive_id")
+    first = F.min(F.struct("t_ms", "seq")).over(Window.partitionBy(*key, "drive_id", "external_signature"))
     rows = clips.withColumn("_f", F.when(F.col("external_signature").isNotNull(), first))
     rank = F.dense_rank().over(drive.orderBy("_f"))  # nulls first
     unsigned = F.max(F.col("external_signature").isNull().cast("int")).over(drive)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripspark.functions.paths import clip_file_name, external_signature
 from tripspark.functions.scalars import js_round
-from tripspark.operators.intervals import HOUR, overlapping, with_buckets
+from tripspark.operators.intervals import HOUR, overlapping, points_in_spans
 
 MPH_TO_MPS = 0.44704
 
@@ -60,9 +60,9 @@ def calibrate_import_time(imports: DataFrame, states: DataFrame, window_ms: int
 
     Expects imports: vehicle_id, drive_id, start_ms, end_ms, start_lat, start_lng; states: vehicle_id, t_ms, lat, lng, shift.
     """
-    d = with_buckets(imports.select("vehicle_id", "drive_id", "start_ms", "start_lat", "start_lng"), F.col("start_ms") - window_ms, F.col("start_ms") + window_ms)
-    s = states.where("shift = 'D'").select("vehicle_id", "t_ms", "lat", "lng", F.floor(F.col("t_ms") / HOUR).cast("bigint").alias("_b"))
-    pairs = d.join(s, ["vehicle_id", "_b"]).withColumn("dt", F.abs(F.col("t_ms") - F.col("start_ms"))).where(F.col("dt") <= window_ms)
+    d = imports.select("vehicle_id", "drive_id", "start_ms", "start_lat", "start_lng", (F.col("start_ms") - window_ms).alias("_lo"), (F.col("start_ms") + window_ms).alias("_hi"))
+    s = states.where("shift = 'D'").select("vehicle_id", "t_ms", "lat", "lng")
+    pairs = points_in_spans(s, "t_ms", d, ("_lo", "_hi")).withColumn("dt", F.abs(F.col("t_ms") - F.col("start_ms"))).where(F.col("dt") <= window_ms)
     pairs = pairs.where((F.col("lat") - F.col("start_lat")) ** 2 + (F.col("lng") - F.col("start_lng")) ** 2 <= degrees * degrees)
     best = pairs.groupBy("vehicle_id", "drive_id").agg(F.min_by("t_ms", F.struct("dt", "t_ms")).alias("_t"))
     out = imports.join(best, ["vehicle_id", "drive_id"], "left")
@@ -74,8 +74,8 @@ def calibrate_import_time(imports: DataFrame, states: DataFrame, window_ms: int
 def join_drive_states(imports: DataFrame, states: DataFrame, tolerance_ms: int = 90_000) -> DataFrame:
     """Breadcrumbs in gear (D or R) within 90 s of each drive: vehicle_id, drive_id, t_ms and the other columns."""
     d = imports.select("vehicle_id", "drive_id", (F.col("start_ms") - tolerance_ms).alias("_lo"), (F.col("end_ms") + tolerance_ms).alias("_hi"))
-    s = states.where("shift IN ('D', 'R')").withColumn("_b", F.floor(F.col("t_ms") / HOUR).cast("bigint"))
-    return with_buckets(d, F.col("_lo"), F.col("_hi")).join(s, ["vehicle_id", "_b"]).where("t_ms BETWEEN _lo AND _hi").drop("_b", "_lo", "_hi")
+    pairs = points_in_spans(states.where("shift IN ('D', 'R')"), "t_ms", d, ("_lo", "_hi"))
+    return pairs.where("t_ms BETWEEN _lo AND _hi").drop("_lo", "_hi")
 
 
 def fill_minute_gaps(points: DataFrame, drives: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripspark.functions.paths import clip_timestamp_ms, is_event_clip, normalize_clip_path
+from tripspark.operators.clips import dedup_clips
 
 _D, _S = T.DoubleType(), T.StringType()
 
@@ -161,34 +162,23 @@ def write_drive_data(sections: dict[str, DataFrame], path: str) -> None:
 
 
 def write_clips(new: DataFrame, path: str, buckets: int = 64) -> None:
-    """Append clips whose path the store does not have: Parquet by date and bucket of the vehicle.
+    """Append clips whose path the store does not have: Parquet by batch, date and bucket of the vehicle.
 
-    The new files are written to a staging folder first and then moved in whole, so a
-    job that fails leaves the store as it was. Other sections live elsewhere.
+    Of the clips of one path the first (lowest seq) is kept. A batch is written to a staging folder,
+    which readers pass over, and comes in by one rename, so a job that fails leaves the
+    store as it was. Other sections live elsewhere.
     """
     spark = new.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    store = jvm.org.apache.hadoop.fs.Path(path)
-    fs = store.getFileSystem(conf)
-    rows = new.dropDuplicates(["vehicle_id", "path"]).withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).cast("int"))
-    if fs.exists(store):
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    rows = dedup_clips(new).withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).cast("int"))
+    if fs.exists(at(path)):
         rows = rows.join(spark.read.parquet(path).select("vehicle_id", "path"), ["vehicle_id", "path"], "left_anti")
-    stage = f"{path}/_staging-{uuid.uuid4().hex}"
-    rows.repartition("date", "bucket").sortWithinPartitions("vehicle_id", "t_ms").write.partitionBy("date", "bucket").parquet(stage)
-    for f in _files(fs, jvm, stage):
-        relative = f.toString().split(stage.rsplit("/", 1)[1] + "/", 1)[1]
-        to = jvm.org.apache.hadoop.fs.Path(f"{path}/{relative}")
-        fs.mkdirs(to.getParent())
-        fs.rename(f, to)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
-
-
-def _files(fs, jvm, folder: str):
-    found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(folder), True)
-    while found.hasNext():
-        p = found.next().getPath()
-        if p.getName().endswith(".parquet"):
-            yield p
+    name = uuid.uuid4().hex
+    rows.repartition("date", "bucket").sortWithinPartitions("vehicle_id", "t_ms").write.partitionBy("date", "bucket").parquet(f"{path}/_staging-{name}")
+    if not fs.rename(at(f"{path}/_staging-{name}"), at(f"{path}/batch={name}")):
+        raise OSError(f"the batch could not be moved into {path}")
 
 
 def drives_geojson(points: DataFrame) -> DataFrame:

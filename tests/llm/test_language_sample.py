@@ -96,3 +96,11 @@ def test_ties_at_the_limit_keep_about_as_many_as_there_is_room_for(spark):
     rows_ = [(k, f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{'x' * (k // 676)}", "en") for k in range(2000) if zlib.crc32(str(k).encode()) % 4 != 2]
     model = language_id.train(spark.createDataFrame(rows_, SCHEMA), max_words=400, max_grams=50)
     assert 300 < len(model.word_row) < 500 and 20 < len(model.gram_row) < 90
+
+
+def test_null_and_repeated_ids_do_not_break_the_bound(spark):
+    en, de = words(1, "abcdefgh"), words(2, "ijklmnop")
+    docs = [(None, t, lang) for _, t, lang in rows(0, "en", 40_000, en)] + [(7, t, lang) for _, t, lang in rows(50_000, "de", 3000, de)] + [(8, "one row again and again", "de")] * 500
+    model = language_id.train(spark.createDataFrame(docs, SCHEMA).repartition(8), max_train=200, max_words=10**6, max_grams=10**6)
+    # about a hundred rows of thirty words teach each language, from all over its rows
+    assert {k: 0.4 < v / 3000 < 1.6 for k, v in model.taught.items()} == {"en": True, "de": True}

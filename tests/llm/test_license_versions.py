@@ -61,3 +61,25 @@ def test_whole_licences_are_found_in_long_texts(spark):
     got = license_scan.license_scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     for i, tid in enumerate(bodies):
         assert {tid} <= {r.template_id for r in got if r.doc_id == i} and {tid} <= {r.template_id for r in got if r.doc_id == 10 + i}
+
+
+def test_many_templates_are_joined_slim(spark, odd, monkeypatch):
+    """Where the templates are not broadcast no array of a document's shingles stands beside a single one, and the answer is the same."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tripspark.llm import license_scan as module
+
+    text = odd.where("doc_id = 100").first().text
+    templates = [*module.TEMPLATES[:6], ("t", "own", text), ("u", "own", " ".join(text.split()[20:70]))]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = rows(module.license_scan(odd, templates))
+    monkeypatch.setattr(module, "BROADCAST_WORDS", 0)
+    got = module.license_scan(odd, templates)
+    assert rows(got) == want and want
+    few = spark.createDataFrame([(1, [5, 6, 7])], "doc_id bigint, s array<bigint>")
+    keys = spark.createDataFrame([(6, "t", 2, 3)], "x bigint, template_id string, size int, bands int")
+    plan = module.windows_by_row(few, keys, F.col("pos").alias("start"))._jdf.queryExecution().optimizedPlan().toString()
+    explodes = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert len(explodes) == 1 and re.search(r"posexplode\(s#\d+\), \[\d+\]", explodes[0]), plan  # the array ends there

@@ -84,6 +84,10 @@ class Model:
         at = {lang: k for k, lang in enumerate(langs)}
         self.word_row, self.words = self._table(words, at)
         self.gram_row, self.grams = self._table(grams, at)
+        #: Words that taught each language.
+        self.taught = dict.fromkeys(langs, 0)
+        for lang, _, n in words:
+            self.taught[lang] += n
 
     def _table(self, counts: list[tuple[str, str, int]], at: dict[str, int]) -> tuple[dict[str, int], Table]:
         items = sorted({w for _, w, _ in counts})
@@ -159,22 +163,25 @@ def quota(counts: list[int], most: int) -> float:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 10_000, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
-    """Fit on rows with a language that are not held out: about ``max_train`` of them, picked by a hash of the id.
+    """Fit on rows with a language that are not held out: about ``max_train`` of them, picked by a hash of id and text.
 
     Null and empty texts teach nothing; rows with a null or repeated id are rows like
-    others. Without such rows, or from an empty table, the model knows no language.
+    others; rows that repeat id and text teach once. Without such rows, or from an empty table, the model knows no language.
     Other columns are not read. Every language is learned, from an equal part of them, or from all its rows if it
     has fewer. Of more languages than ``max_train`` each still gives a row.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(PICKS)).alias("pick"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    by_lang = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("pick").alias("least")).collect()  # one row per language
+    pick = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(PICKS))
+    known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(pick.alias("pick"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # a row per language
+    by_lang = known.groupBy("lang").agg(F.approx_count_distinct("pick", 0.02).alias("n"), F.min("pick").alias("least")).collect()
     langs = sorted(r.lang for r in by_lang)
     if not langs:
         return Model([], [], [])
     each = quota([r.n for r in by_lang], max_train)
-    below = [(r.lang, max(r.least + 1, int(min(1.0, each / r.n) * PICKS))) for r in by_lang]
+    below = [(r.lang, max(r.least + 1, PICKS if each >= r.n else int(each / r.n * PICKS))) for r in by_lang]
     rates = docs.sparkSession.createDataFrame(below, "lang string, below bigint")
-    sample = known.join(F.broadcast(rates), "lang").where("pick < below")
+    # rows that repeat id and text have one pick and come in once
+    sample = known.join(F.broadcast(rates), "lang").where("pick < below").groupBy("lang", "pick").agg(F.min("text").alias("text"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+", -1)).alias("word")).where("word <> ''")
     words = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     framed = F.concat(F.lit("^"), "word", F.lit("$"))

@@ -138,6 +138,18 @@ def template_tables(spark: SparkSession, templates: list[tuple[str, str, str]],
     return table, keys, {r[3] for r in out}, sum(len(r.words) for r in found)
 
 
+def windows_by_row(rows: DataFrame, keys: DataFrame, start: Column) -> DataFrame:
+    """doc_id, template_id, size, bands, s, start where the keys are shuffled: single shingles go to the join, and a row's shingles, once, only to the windows found in it.
+
+    A row is named by a hash of its content, which both sides work out alike; should two rows share
+    it, a window is looked at in either, and containment is exact there.
+    """
+    numbered = rows.withColumn("row", F.xxhash64("doc_id", "s"))
+    slim = numbered.select("row", F.posexplode("s").alias("pos", "x")).join(keys, "x")
+    found = slim.select("row", "template_id", "size", "bands", start.alias("start")).distinct()
+    return numbered.join(found, "row").select("doc_id", "template_id", "size", "bands", "s", "start")
+
+
 def license_scan(
     docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, recall: float = 0.9999
 ) -> DataFrame:
@@ -162,9 +174,12 @@ def license_scan(
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("doc_id", F.explode(F.array(*(shingles(F.col("words"), w) for w in sorted(widths)))).alias("s"))
     # the band join, from the templates' side: where the shingle of a band occurs, is it the smallest of a window there?
-    met = rows.select("doc_id", "s", F.posexplode("s").alias("pos", "x")).join(keys, "x")
     start = F.explode(F.expr("array_distinct(array(pos - pos % size, greatest(0, pos - pos % size - size)))"))
-    windows = met.select("doc_id", "template_id", "size", "bands", "s", start.alias("start"))
+    if n_words <= BROADCAST_WORDS:
+        met = rows.select("doc_id", "s", F.posexplode("s").alias("pos", "x")).join(keys, "x")
+        windows = met.select("doc_id", "template_id", "size", "bands", "s", start.alias("start"))
+    else:
+        windows = windows_by_row(rows, keys, start)
     windows = windows.select("doc_id", "template_id", "size", "bands", "start", F.expr("slice(s, start + 1, 2 * size)").alias("window"))
     collides = F.expr("exists(bands, b -> b.least = array_min(transform(window, x -> xxhash64(x, b.k))))")
     pairs = windows.where(collides).select("doc_id", "template_id", "start", "window").join(table, "template_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripspark.functions.scalars import charging_state_key, round2
 from tripspark.operators import stats
 from tripspark.operators.regions import shared_folder
-from tripspark.plans.charging_queries import SESSIONS
+from tripspark.plans.charging_queries import COSTS, SESSIONS, TAG_SQL, TAGS, samples
 from tripspark.plans.core import DRIVES, trip_points
 from tripspark.plans.registry import query
 from tripspark.plans.sqltext import r2
@@ -59,23 +59,39 @@ def stream_minute_clips(spark, sf):
 
 
 #: The batch sessions with samples in order of time; those still open at the end of the feed wait for their timer.
-BY_TIME = cte("samples").replace("WITH samples AS (", "WITH samples AS (SELECT * REPLACE (row_number() OVER (ORDER BY vehicle_id, ts, pos) AS pos) FROM (", 1) + "), " + SESSIONS
-FIGURES = ("start_s", "end_s", "energy_kwh", "peak_kw")
+BY_TIME = cte("samples").replace("WITH samples AS (", "WITH samples AS (SELECT * REPLACE (row_number() OVER (ORDER BY vehicle_id, ts, pos) AS pos), pos AS pos0 FROM (", 1) + "), " + SESSIONS
+FIGURES = ("start_s", "end_s", "duration_s", "energy_kwh", "peak_kw")
+CURVES = f"cv AS (SELECT vehicle_id, session_no, count(*) AS n_curve, {r2('sum(coalesce(power_kw, 0))')} AS curve_kw FROM sr WHERE coalesce(power_kw, energy_kwh) IS NOT NULL GROUP BY ALL)"
 
 
-@query("stream_charging", BY_TIME + f" SELECT vehicle_id, session_no, {', '.join(f'{r2(c)} AS {c}' for c in FIGURES)}, start_battery, end_battery, end_reason FROM sess WHERE end_reason <> 'end-of-file'")
+@query("stream_charging", BY_TIME + TAG_SQL.replace("pos %", "pos0 %") + f""", {CURVES}
+ SELECT vehicle_id, session_no, session_id, {', '.join(f'{r2(c)} AS {c}' for c in FIGURES)}, start_battery, end_battery, {r2('lat * 1e3')} AS lat, {r2('lng * 1e3')} AS lng, location_name, end_reason, cost_key, amount, currency, tags, n_curve, curve_kw
+ FROM tagged LEFT JOIN cv USING (vehicle_id, session_no) WHERE end_reason <> 'end-of-file'""")
 def stream_charging(spark, sf):
-    s = events_stream(spark, sf, SAMPLES).withColumns({"s": F.col("ts"), "state": charging_state_key(F.col("charging_state"))})
-    out = run(jobs.stream_charging(s.select("vehicle_id", "t", "s", "pos", "state", "energy_kwh", "power_kw", "battery_pct")), "append")
-    return out.withColumns({c: round2(F.col(c)) for c in FIGURES})
+    """Sessions with costs, tags and curve; the store of costs is the batch table."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        batch = samples(spark, sf)
+        s = events_stream(spark, sf, SAMPLES).withColumns({"s": F.col("ts"), "state": charging_state_key(F.col("charging_state")), "rate_mph": F.lit(None).cast("double"), "name": F.nullif(F.trim("location_name"), F.lit(""))})
+        rows = s.select("vehicle_id", "t", "s", "pos", "state", "energy_kwh", "power_kw", "rate_mph", "battery_pct", "lat", "lng", "name", "raw_ts")
+        out = run(jobs.stream_charging(rows, spark.sql(COSTS, samples=batch), spark.sql(TAGS, samples=batch)), "append")
+    finally:
+        spark.conf.set(provider, before)
+    kw = F.aggregate("curve", F.lit(0.0), lambda a, x: a + F.coalesce(x["power_kw"], F.lit(0.0)))
+    out = out.withColumns({"n_curve": F.size("curve").cast("bigint"), "curve_kw": round2(kw), "tags": F.array_join("tags", "|"), "lat": round2(F.col("lat") * 1e3), "lng": round2(F.col("lng") * 1e3)})
+    return out.withColumns({c: round2(F.col(c)) for c in FIGURES}).drop("curve")
 
 
 @query("stream_totals", WITH + " SELECT vehicle_id, count(*) AS drives, CAST(sum(d) AS BIGINT) AS duration_ms FROM (SELECT vehicle_id, drive_id, max(end_t_ms) - min(t_ms) AS d FROM pts GROUP BY ALL) GROUP BY ALL")
 def stream_totals(spark, sf):
-    """Drives that are done flow through foreachBatch into increments, and are summed on reading."""
+    """Drives flow through foreachBatch, first as they stood half way, then as they ended; each counts once, as it was sent last."""
     folder = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
-    stats.drive_stats(trip_points(spark, sf)).select("vehicle_id", "drive_id", "duration_ms").write.parquet(f"{folder}/drives")
-    feed = spark.readStream.schema("vehicle_id bigint, drive_id bigint, duration_ms bigint").parquet(f"{folder}/drives")
-    q = feed.writeStream.foreachBatch(jobs.merge_totals(f"{folder}/totals")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    drives = stats.drive_stats(trip_points(spark, sf)).select("vehicle_id", "start_ms", "duration_ms")
+    feed = spark.readStream.schema("vehicle_id bigint, start_ms bigint, duration_ms bigint").parquet(f"{folder}/drives*")
+    for k, rows in enumerate((drives.where("vehicle_id % 3 <> 0").withColumn("duration_ms", F.expr("duration_ms div 2")), drives)):
+        rows.write.parquet(f"{folder}/drives{k}")
+        q = feed.writeStream.foreachBatch(jobs.merge_drives(f"{folder}/totals", every=2)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     return jobs.read_totals(spark, f"{folder}/totals")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ACTIVE, TERMINAL = ("starting", "charging"), ("complete", "stopped", "disconnected", "nopower")
+from tripspark.operators.charging import ACTIVE, TERMINAL, number_text, session_costs_tags
 
 
 def stream_new_clips(clips: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -29,73 +30,199 @@ def stream_minute_clips(points: DataFrame, delay: str = "10 minutes") -> DataFra
     return g.select("vehicle_id", F.unix_millis("w.start").alias("minute_ms"), "n", "max_speed")
 
 
-STATE = "last double, seq bigint, start double, energy double, peak double, streak double, held double, battery double, first_battery double"
-OUT = "vehicle_id bigint, session_no bigint, start_s double, end_s double, energy_kwh double, peak_kw double, start_battery double, end_battery double, end_reason string"
-
-
-def _charging(gap_s: float, sustained_s: float):
-    def of(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State: last time, sessions begun, and the open session (start is null if none)."""
-        last, seq, start, energy, peak, streak, held, battery, first_battery = state.get if state.exists else (None, 0, None, None, None, None, 0.0, None, None)
-        out = []
-
-        def close(end, reason):
-            nonlocal start
-            if (energy or 0) > 0 or held >= sustained_s:
-                out.append((key[0], seq, start, end, energy, peak, first_battery, battery, reason))
-            start = None
-
-        if state.hasTimedOut:
-            if start is not None:
-                close(last, "data-gap")
-        else:
-            rows = pd.concat([b for b in batches]).sort_values(["s", "pos"])
-            for s, st, e, p, b in zip(rows["s"], rows["state"], rows["energy_kwh"], rows["power_kw"], rows["battery_pct"]):
-                if last is not None and s < last:
-                    continue  # late: older than what has been seen
-                if start is not None and s - last > gap_s:
-                    close(last, "data-gap")
-                battery = b if pd.notna(b) else battery
-                if start is None and st in ACTIVE:
-                    seq, start, energy, peak, streak, held, first_battery = seq + 1, s, None, None, None, 0.0, battery
-                if start is not None:
-                    if pd.notna(e):
-                        energy = max(energy or 0.0, e)
-                    if pd.notna(p):
-                        peak = p if peak is None else max(peak, p)
-                        streak = (s if streak is None else streak) if p > 0 else None
-                        held = held if streak is None else max(held, s - streak)
-                    if st in TERMINAL:
-                        last = s
-                        close(s, st)
-                last = s
-        state.update((last, seq, start, energy, peak, streak, held, battery, first_battery))
-        if start is not None:
-            state.setTimeoutTimestamp(max(int((last + gap_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+STATE = (
+    "last double, seq bigint, battery double, lat double, lng double, at double, name string, named double,"
+    " start double, end double, cost_key string, start_battery double, end_battery double, energy double, peak double, streak double, held double, here_lat double, here_lng double, here_name string"
+)
+CURVE = "s double, power_kw double, energy_kwh double, rate_mph double, battery_pct double"
+SESSION = (
+    "session_no bigint, start_s double, end_s double, start_battery double, end_battery double, energy_kwh double, peak_kw double, lat double, lng double, location_name string, end_reason string, cost_key string,"
+    f" curve array<struct<{CURVE.replace(' double', ':double')}>>"
+)
+_NAMES = [f.strip().split()[0] for f in STATE.split(",")]
 
-    return of
 
+def _value(x):
+    return None if x is None or x != x else x
+
+
+def _last(values: np.ndarray, known: np.ndarray, before):
+    """The last known value, else ``before``."""
+    at = np.flatnonzero(known)
+    return values[at[-1]] if len(at) else before
+
+
+def _forward(values: np.ndarray, known: np.ndarray, before) -> np.ndarray:
+    """At each row the last known value so far, else ``before`` (null is nan)."""
+    at = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    return np.where(at >= 0, values[np.maximum(at, 0)], np.nan if before is None else before)
+
+
+class ChargingProcessor(StatefulProcessor):
+    """Per vehicle: what is carried from sample to sample and the figures of the open session in a value, its curve in a list, and a timer for the pause that ends it.
+
+    The samples of a batch are cut where a pause or a terminal state ends an island, and an
+    island is added to the open session as a whole.
+    """
 
-def stream_charging(samples: DataFrame, gap_s: float = 1800.0, sustained_s: float = 60.0, delay: str = "1 hour") -> DataFrame:
-    """Charging sessions as they end: one small state per vehicle, closed by a timer after the gap. Expects t, s, pos, state, energy_kwh, power_kw, battery_pct."""
-    rows = samples.withWatermark("t", delay).groupBy("vehicle_id")
-    return rows.applyInPandasWithState(_charging(gap_s, sustained_s), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def __init__(self, gap_s: float, sustained_s: float, fallback_s: float) -> None:
+        self.gap_s, self.sustained_s, self.fallback_s = gap_s, sustained_s, fallback_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value, self.curve = handle.getValueState("vehicle", STATE), handle.getListState("curve", CURVE)
+
+    def _load(self) -> dict:
+        held = self.value.get() if self.value.exists() else None
+        return dict(zip(_NAMES, map(_value, held))) if held is not None else dict.fromkeys(_NAMES) | {"seq": 0}
+
+    def _close(self, now: dict, end: float, reason: str) -> list[tuple]:
+        kept = (now["energy"] or 0) > 0 or (now["held"] or 0) >= self.sustained_s
+        points = [dict(zip(CURVE.replace(" double", "").split(", "), map(_value, p))) for p in self.curve.get()] if kept and self.curve.exists() else []
+        out = (now["seq"], now["start"], end, now["start_battery"], now["end_battery"], now["energy"], now["peak"], now["here_lat"], now["here_lng"], now["here_name"], reason, now["cost_key"], points)
+        now.update(dict.fromkeys(_NAMES[_NAMES.index("start"):]))
+        self.curve.clear()
+        return [out] if kept else []
+
+    def _island(self, now: dict, c: dict[str, np.ndarray], a: int, b: int, carried: dict[str, np.ndarray]) -> None:
+        """Adds rows a to b to the open session, or begins one at the first of them that charges."""
+        if now["start"] is None:
+            begins = np.flatnonzero(c["active"][a:b])
+            if not len(begins):
+                return
+            a += int(begins[0])
+            fresh = lambda at: at == at and c["s"][a] - at <= self.fallback_s
+            near, told = fresh(carried["at"][a]), fresh(carried["named"][a])
+            now.update(seq=now["seq"] + 1, start=c["s"][a], cost_key=c["raw_ts"][a], start_battery=_value(carried["battery"][a]), held=0.0,
+                       here_lat=carried["lat"][a] if near else None, here_lng=carried["lng"][a] if near else None, here_name=carried["name"][a] if told else None)
+        own = {k: v[a:b] for k, v in c.items()}
+        has = {k: ~np.isnan(own[k]) for k in ("energy_kwh", "power_kw", "rate_mph", "place")}
+        now["end"], now["end_battery"] = own["s"][-1], _value(carried["battery"][b - 1])
+        if has["energy_kwh"].any():
+            now["energy"] = max(now["energy"] or 0.0, np.nanmax(own["energy_kwh"]))
+        if has["power_kw"].any():
+            power, at = own["power_kw"][has["power_kw"]], own["s"][has["power_kw"]]
+            now["peak"] = max(power.max(), now["peak"] if now["peak"] is not None else power.max())
+            on = power > 0
+            first = np.where(on & ~np.concatenate([[now["streak"] is not None], on[:-1]]), at, -np.inf)
+            since = np.maximum.accumulate(np.concatenate([[-np.inf if now["streak"] is None else now["streak"]], first]))[1:]
+            now["held"] = max(now["held"], float(np.where(on, at - since, 0.0).max()))
+            now["streak"] = float(since[-1]) if on[-1] else None
+        now["here_lat"], now["here_lng"] = _last(own["lat"], has["place"], now["here_lat"]), _last(own["lng"], has["place"], now["here_lng"])
+        now["here_name"] = _last(own["name"], own["told"], now["here_name"])
+        some = has["energy_kwh"] | has["power_kw"] | has["rate_mph"]
+        if some.any():
+            columns = [own[k][some] for k in ("s", "power_kw", "energy_kwh", "rate_mph")] + [carried["battery"][a:b][some]]
+            self.curve.appendList([tuple(map(_value, row)) for row in zip(*(x.tolist() for x in columns))])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, out = self._load(), []
+        pdf = pd.concat(list(rows)).sort_values(["s", "pos"])
+        if now["last"] is not None:
+            pdf = pdf[pdf["s"] >= now["last"]]  # older than what has been seen
+        if len(pdf):
+            c = {k: pdf[k].to_numpy(float) for k in ("s", "energy_kwh", "power_kw", "rate_mph", "battery_pct", "lat", "lng")} | {k: pdf[k].to_numpy(object) for k in ("state", "raw_ts", "name")}
+            c["active"], terminal, c["told"] = np.isin(c["state"].astype(str), ACTIVE), np.isin(c["state"].astype(str), TERMINAL), pdf["name"].notna().to_numpy()
+            c["place"] = c["lat"] + c["lng"]
+            place, told = ~np.isnan(c["place"]), c["told"]
+            carried = {"battery": _forward(c["battery_pct"], ~np.isnan(c["battery_pct"]), now["battery"]), "lat": _forward(c["lat"], place, now["lat"]), "lng": _forward(c["lng"], place, now["lng"]), "at": _forward(c["s"], place, now["at"]),
+                       "name": _forward(c["name"], told, now["name"]), "named": _forward(c["s"], told, now["named"])}
+            pause = np.diff(c["s"], prepend=c["s"][0] if now["last"] is None else now["last"]) > self.gap_s
+            cuts = np.flatnonzero(pause | np.concatenate([[False], terminal[:-1]]))
+            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+                if a == b:
+                    continue
+                if pause[a] and now["start"] is not None:
+                    out += self._close(now, now["end"], "data-gap")
+                self._island(now, c, a, b, carried)
+                if terminal[b - 1] and now["start"] is not None:
+                    out += self._close(now, c["s"][b - 1], c["state"][b - 1])
+            now.update(last=c["s"][-1], **{k: _value(carried[k][-1]) for k in ("battery", "lat", "lng", "at", "name", "named")})
+        self._keep(now)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = self._load()
+        out = self._close(now, now["end"], "data-gap") if now["start"] is not None else []
+        self._keep(now)
+        yield self._rows(key, out)
+
+    def _keep(self, now: dict) -> None:
+        plain = lambda x: None if x is None else x if isinstance(x, str) else int(x) if isinstance(x, (int, np.integer)) else float(x)
+        self.value.update(tuple(plain(now[k]) for k in _NAMES))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if now["start"] is not None:
+            self.handle.registerTimer(int((now["last"] + self.gap_s) * 1000) + 1)
+
+    def _rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *row) for row in out], columns=["vehicle_id", *(f.strip().split()[0] for f in SESSION.split(", curve")[0].split(",")), "curve"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_charging(samples: DataFrame, costs: DataFrame | None = None, tags: DataFrame | None = None, gap_s: float = 1800.0, sustained_s: float = 60.0, fallback_s: float = 900.0, delay: str = "1 hour") -> DataFrame:
+    """Charging sessions as they end, with all columns of charging_sessions, their curve, and costs and tags from tables.
+
+    Expects t (timestamp), s, pos, state, energy_kwh, power_kw, rate_mph, battery_pct, lat, lng, name, raw_ts. The state of a
+    vehicle is a row and the curve of its open session; a timer ends a session after the pause. Samples
+    count in order of time; older ones than were seen are dropped. Needs the RocksDB state store.
+    """
+    kind = samples.schema["vehicle_id"].dataType.simpleString()
+    processor = ChargingProcessor(gap_s, sustained_s, fallback_s)
+    out = samples.withWatermark("t", delay).groupBy("vehicle_id").transformWithStateInPandas(processor, f"vehicle_id {kind}, {SESSION}", "Append", "EventTime")
+    out = out.select(
+        "vehicle_id", "session_no", F.concat(F.lit("charge-"), number_text(F.col("start_s")), F.lit("-"), F.col("session_no").cast("string")).alias("session_id"), "start_s", "end_s", F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.0)).alias("duration_s"),
+        "start_battery", "end_battery", "energy_kwh", "peak_kw", "lat", "lng", "location_name", "end_reason", "cost_key", "curve")
+    return out if costs is None else session_costs_tags(out, costs, tags)
 
 
-def merge_totals(path: str):
-    """A foreachBatch function that keeps running totals of drives per vehicle in Parquet.
+def merge_drives(path: str, every: int = 10):
+    """A foreachBatch function that keeps drives (vehicle_id, start_ms, duration_ms) by their key in Parquet.
 
-    Each batch writes its own increment under its number, so a repeated batch
-    overwrites itself; readers sum the increments.
+    A batch writes its drives under its number, so a repeated batch overwrites itself. Every
+    tenth one also writes all valid drives as a new base and takes the files before it away, so
+    readers list few files. Of a drive that is sent again the last batch's value counts.
     """
 
     def of(batch: DataFrame, number: int) -> None:
-        inc = batch.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("drives"), F.sum("duration_ms").alias("duration_ms"))
-        inc.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        rows = batch.groupBy("vehicle_id", "start_ms").agg(F.max("duration_ms").alias("duration_ms"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % every == every - 1:
+            _valid(spark, path).write.mode("overwrite").parquet(f"{path}/base={number}")
+            fs, at = _folder(spark, path)
+            for name, n in _parts(fs, at):
+                if n < number or name == "batch" and n == number:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}"), True)
 
     return of
 
 
-def read_totals(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("vehicle_id").agg(F.sum("drives").alias("drives"), F.sum("duration_ms").alias("duration_ms"))
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _parts(fs, at) -> list[tuple[str, int]]:
+    """(kind, number) of the finished folders of a store of drives."""
+    done = [f.getPath().getName() for f in fs.listStatus(at) if "=" in f.getPath().getName() and any(x.getPath().getName() == "_SUCCESS" for x in fs.listStatus(f.getPath()))]
+    return sorted((name.split("=")[0], int(name.split("=")[1])) for name in done)
+
+
+def _valid(spark: SparkSession, path: str) -> DataFrame:
+    """The drives of the last base and of the batches after it, each with its last value."""
+    parts = _parts(*_folder(spark, path))
+    base = max((n for name, n in parts if name == "base"), default=-1)
+    used = ([("base", base)] if base >= 0 else []) + [x for x in parts if x[0] == "batch" and x[1] > base]
+    rows = None
+    for name, n in used:
+        part = spark.read.parquet(f"{path}/{name}={n}").select("vehicle_id", "start_ms", "duration_ms", F.lit(n).alias("number"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("vehicle_id", "start_ms").agg(F.max_by("duration_ms", "number").alias("duration_ms"))
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """vehicle_id, drives, duration_ms: sums over the valid drives."""
+    return _valid(spark, path).groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("drives"), F.sum("duration_ms").alias("duration_ms"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tripspark.llm import bpe, exact_dedup, language_id, mixing, ngram_join
-from tripspark.llm.common import checkpoint_folder, documents
+from tripspark.llm.common import checkpoint_folder, documents, remove_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what each returns is written to the shared folder and read again. What a stage no longer reads is deleted; the last one's input stays."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
@@ -57,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

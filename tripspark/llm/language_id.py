@@ -220,13 +220,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``, or a score under min_score: a third is hardly more than a guess).
+def keep_identified(docs: DataFrame, min_share: float = 4 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language cannot be told (``und``, or a score under ``min_share`` times the score of a mere guess, which is one part of as many as there are languages; of one language no score is under it).
 
     All columns stay as they are, whatever their names. Null texts and texts without
     letters go; repeated rows are judged alike; an empty table gives no rows.
     """
     model = train(docs, id_col, text_col, lang_col)
+    min_score = min(1.0, min_share / max(1, len(model.langs)))
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

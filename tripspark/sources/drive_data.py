@@ -164,7 +164,7 @@ def write_drive_data(sections: dict[str, DataFrame], path: str) -> None:
 def write_clips(new: DataFrame, path: str, buckets: int = 64) -> None:
     """Append clips whose path the store does not have: Parquet by batch, date and bucket of the vehicle.
 
-    Of the clips of one path the first (lowest seq) is kept. A batch is written to a staging folder,
+    Of the clips of one path the first (lowest seq) is kept; without seq any one. A batch is written to a staging folder,
     which readers pass over, and comes in by one rename, so a job that fails leaves the
     store as it was. Other sections live elsewhere.
     """
@@ -172,7 +172,8 @@ def write_clips(new: DataFrame, path: str, buckets: int = 64) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
-    rows = dedup_clips(new).withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).cast("int"))
+    once = dedup_clips(new) if "seq" in new.columns else new.dropDuplicates(["vehicle_id", "path"])
+    rows = once.withColumn("bucket", F.pmod(F.xxhash64("vehicle_id"), F.lit(buckets)).cast("int"))
     if fs.exists(at(path)):
         rows = rows.join(spark.read.parquet(path).select("vehicle_id", "path"), ["vehicle_id", "path"], "left_anti")
     name = uuid.uuid4().hex

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import round1, round2
-from tripspark.operators import assist, clips as C, holes, points as P, sessions, stats
+from tripspark.operators import assist, clips as C, holes, measure, points as P, sessions, stats
 from tripspark.plans.registry import query
 from tripspark.plans.sqltext import DRIVES, gaps, geo, jr, pct, r1, r2
 from tripspark.plans.testviews import cte, view
@@ -106,9 +106,11 @@ def accel_push_events(spark, sf):
 def drives(spark: SparkSession, sf: str) -> DataFrame:
     """One row per test drive with statistics, assist figures, counts of events, source and summon."""
     pts = pedal_points(spark, sf)
-    src = pts.where("idx = 0").select("vehicle_id", "drive_id", "source", (F.col("seq") % 17 == 0).alias("summon"))
     keys = ["vehicle_id", "drive_id"]
-    return stats.drive_stats(pts).join(stats.assist_distance_time(pts), keys).join(assist.event_counts(pts), keys).join(src, keys)
+    first = F.min_by(F.struct("source", (F.col("seq") % 17 == 0).alias("summon")), "idx").alias("f")
+    src = pts.groupBy(*keys).agg(F.min("t_ms").alias("start_ms"), F.max("end_t_ms").cast("bigint").alias("end_ms"), first)
+    src = src.select(*keys, "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).cast("bigint").alias("duration_ms"), "f.source", "f.summon")
+    return measure.drive_measures(measure.measured_points(pts)).drop("from_ms", "to_ms").join(src, keys)
 
 
 FULL = f"""{STATS}, {_assist_sql()}, {DISENGAGE}, {PUSH},

@@ -94,3 +94,13 @@ def test_documents_come_back_with_all_sections(spark, tmp_path):
     drive_data.write_drive_data({**sections, "other": drive_data.read_other_sections(spark, path)}, f"{tmp_path}/out")
     text = spark.read.text(f"{tmp_path}/out").first().value
     assert {**json.loads(text), "routes": []} == doc, text
+
+
+def test_steps_lag_once_and_measure_in_windows_of_one_order(spark):
+    from tripspark.operators import measure, points
+
+    rows = spark.createDataFrame([("v", 1, 0, 1, 48.0, 11.0, 0.0, 1, 1, 5.0, 0.0)], "vehicle_id string, drive_id bigint, idx bigint, seq bigint, lat double, lng double, t_ms double, gear int, ap int, speed double, accel double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(points.with_steps(rows)).count("lag(") == 3
+    physical = measure.drive_measures(measure.measured_points(rows))._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Window [") == 3

@@ -104,3 +104,14 @@ def test_steps_lag_once_and_measure_in_windows_of_one_order(spark):
     assert plan(points.with_steps(rows)).count("lag(") == 3
     physical = measure.drive_measures(measure.measured_points(rows))._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1 and physical.count("Window [") == 3
+
+
+def test_circles_of_all_sizes(spark):
+    rng = np.random.default_rng(5)
+    points = [("v", k, float(a), float(b)) for k, (a, b) in enumerate(np.column_stack([48 + rng.random(400), 11 + rng.random(400)]))]
+    zones = [(k, points[k][2] + 1e-5, points[k][3], float(r)) for k, r in enumerate([5, 25, 249, 250, 251, 1000, 4000, 4001, 20_000, 50_000, 64_000, 90_000])]
+    got = spatial.drives_in_zones(spark.createDataFrame(points, "vehicle_id string, drive_id int, lat double, lng double"), spark.createDataFrame(zones, "zone_id int, lat double, lng double, radius_m double")).collect()
+    from tripspark.operators.points import geodesic_np
+
+    want = {(p[1], z[0]) for p in points for z in zones if geodesic_np(p[2], p[3], z[1], z[2]) <= z[3]}
+    assert {(r.drive_id, r.zone_id) for r in got} == want and len(want) > 800

@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import charging_state_key
-from tripspark.operators import charging
+from tripspark.operators import charging, holes, sessions
+from tripspark.streaming import holes as hole_streams
 from tripspark.streaming import jobs
 
 
@@ -68,3 +70,62 @@ def test_totals_after_changes_and_compaction(spark, tmp_path):
         got = {r.vehicle_id: (r.drives, r.duration_ms) for r in jobs.read_totals(spark, f"{tmp_path}/t").collect()}
         assert got == {c: (sum(k[0] == c for k in last), sum(v for k, v in last.items() if k[0] == c)) for c in {k[0] for k in last}}
     assert len([p for p in (tmp_path / "t").iterdir() if "=" in p.name]) <= 5
+
+
+CLIP = "vehicle_id bigint, seq bigint, t_ms bigint, path string, is_event boolean, driving boolean"
+
+
+def hole_clips():
+    """Stretches of ordinary clips, of event clips alone (long chains), and of both, with all the limits' borders; ties in time."""
+    rnd, rows, seq = random.Random(4), [], 0
+    for car in range(11):
+        t = 1_700_000_000_000
+        for _ in range(45):
+            events = rnd.choice([0.0, 0.0, 0.5, 1.0, 1.0])
+            for _ in range(rnd.randrange(1, 14)):
+                t += rnd.choice([0, 10_000, 30_000, 30_001, 60_000, 90_000, 90_001, 150_000, 180_000, 180_001])
+                event = rnd.random() < events
+                rows.append((car, seq, t, f"p{rnd.randrange(50)}", event, rnd.random() < 0.9))
+                seq += 1
+            t += rnd.choice([180_000, 300_000, 300_001, 900_000, 1_799_000, 1_800_000, 1_800_001, 2_500_000])
+    return rows
+
+
+@pytest.mark.parametrize("files", [1, 12])
+def test_drives_with_late_event_clips(rocks, tmp_path, files):
+    spark, rnd, rows = rocks, random.Random(files), hole_clips()
+    # event clips come up to 50 minutes late
+    order = sorted(rows, key=lambda r: r[2] + (rnd.randrange(3_000_000) if r[4] else 0))
+    order.append((-1, -1, rows[-1][2] + 40_000_000_000, "end", False, True))  # moves the watermark on
+    for k in range(files):
+        part = order[len(order) * k // files : len(order) * (k + 1) // files]
+        spark.createDataFrame(part, CLIP).coalesce(1).write.parquet(f"{tmp_path}/in/part{k:02}")
+    feed = spark.readStream.schema(CLIP).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("t", F.timestamp_millis("t_ms"))
+    got = []
+    q = hole_streams.stream_filled_drives(feed).writeStream.foreachBatch(lambda b, n: got.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    filled = sessions.sessionize_drives(holes.fill_holes(spark.createDataFrame(rows, CLIP)))
+    want = filled.groupBy("vehicle_id", "drive_id").agg(F.min("t_ms").alias("a"), F.max("t_ms").alias("z"), F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("f")).drop("drive_id").collect()
+    assert sorted(got) == sorted(map(tuple, want)) and len(want) > 100 and sum(r.f for r in want) > 200
+
+
+def test_held_clips_are_settled_step_by_step():
+    """Whatever steps the watermark takes, the drives are the same, and nothing is held longer than needed."""
+    make = lambda: hole_streams.HoleDrivesProcessor(90_000, 1_800_000, 180_000, 30_000, 300_000)
+    rows = pd.DataFrame([(r[2], r[1], r[3], r[4]) for r in hole_clips() if r[0] < 4 and (not r[4] or r[5])], columns=["t", "seq", "path", "event"]).drop_duplicates()
+
+    def run(steps):
+        now, held, out, seen = dict.fromkeys(hole_streams._NAMES), [], [], -1
+        for until in steps:
+            held += make().thinned(now, rows[(rows["t"] > seen) & (rows["t"] <= until)])
+            ended, held = make().settle(now, held, until)
+            out, seen = out + ended, until
+            at = make().next_time(now, rows[:0], held, until)
+            assert (at is None) == (not held and now["start"] is None)
+        assert not held and now["start"] is None
+        return out
+
+    end = int(rows["t"].max()) + 10_000_000
+    whole = run([end])
+    for step in (7_000, 61_000, 500_000, 4_000_000):
+        assert run([*range(int(rows["t"].min()), end, step), end]) == whole

@@ -336,13 +336,16 @@ def thin_30s(spark, sf):
     return holes.thin_30s(rows.where("is_event AND driving"), rows.where("NOT is_event"))
 
 
-@query("fill_holes", "WITH RECURSIVE " + cte("clips")[5:] + f""", {THIN}, k AS (SELECT vehicle_id, t_ms, seq FROM th WHERE keep),
+FILL = f"""{THIN}, k AS (SELECT vehicle_id, t_ms, seq FROM th WHERE keep),
  b AS (SELECT k.*, (SELECT max(t_ms) FROM rc WHERE rc.vehicle_id = k.vehicle_id AND rc.t_ms <= k.t_ms) AS p, (SELECT min(t_ms) FROM rc WHERE rc.vehicle_id = k.vehicle_id AND rc.t_ms >= k.t_ms) AS n FROM k),
  al AS (SELECT vehicle_id, t_ms, seq, 0 AS c FROM rc UNION ALL SELECT vehicle_id, t_ms, seq, 1 FROM k),
  isl AS (SELECT *, sum(x) OVER (PARTITION BY vehicle_id ORDER BY t_ms, seq) AS i FROM (SELECT *, CASE WHEN coalesce(t_ms - lag(t_ms) OVER (PARTITION BY vehicle_id ORDER BY t_ms, seq) > 180000, true) THEN 1 ELSE 0 END AS x FROM al)),
- hs AS (SELECT vehicle_id, seq, c, min(c) OVER (PARTITION BY vehicle_id, i) AS m FROM isl)
- SELECT vehicle_id, seq, false AS filled FROM rc UNION ALL SELECT b.vehicle_id, b.seq, true FROM b JOIN hs ON hs.vehicle_id = b.vehicle_id AND hs.seq = b.seq AND hs.c = 1
- WHERE (p < t_ms AND t_ms < n AND n - p > 90000 AND n - p <= 1800000) OR (m = 0 AND least(coalesce(t_ms - p, 1e18), coalesce(n - t_ms, 1e18)) <= 1800000)""")
+ hs AS (SELECT vehicle_id, seq, c, min(c) OVER (PARTITION BY vehicle_id, i) AS m FROM isl),
+ fl AS (SELECT vehicle_id, t_ms, seq, false AS filled FROM rc UNION ALL SELECT b.vehicle_id, b.t_ms, b.seq, true FROM b JOIN hs ON hs.vehicle_id = b.vehicle_id AND hs.seq = b.seq AND hs.c = 1
+ WHERE (p < t_ms AND t_ms < n AND n - p > 90000 AND n - p <= 1800000) OR (m = 0 AND least(coalesce(t_ms - p, 1e18), coalesce(n - t_ms, 1e18)) <= 1800000))"""
+
+
+@query("fill_holes", "WITH RECURSIVE " + cte("clips")[5:] + f", {FILL} SELECT vehicle_id, seq, filled FROM fl")
 def fill_holes(spark, sf):
     return holes.fill_holes(event_clips(spark, sf)).select("vehicle_id", "seq", "filled")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,11 @@ from tripspark.functions.scalars import charging_state_key, round2
 from tripspark.operators import stats
 from tripspark.operators.regions import shared_folder
 from tripspark.plans.charging_queries import COSTS, SESSIONS, TAG_SQL, TAGS, samples
-from tripspark.plans.core import DRIVES, trip_points
+from tripspark.plans.core import DRIVES, FILL, trip_points
 from tripspark.plans.registry import query
-from tripspark.plans.sqltext import r2
-from tripspark.plans.testviews import CLIPS, SAMPLES, SPARK, cte
-from tripspark.streaming import jobs
+from tripspark.plans.sqltext import gaps, r2
+from tripspark.plans.testviews import CLIPS, SAMPLES, SPARK, cte, view
+from tripspark.streaming import holes, jobs
 
 WITH = cte("clips") + ", " + DRIVES
 
@@ -42,6 +43,18 @@ def run(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(*stream.columns)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that keeps lists and timers, for the time of a job."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 @query("stream_new_clips", cte("clips") + " SELECT vehicle_id, concat('x/', seq // 40) AS path FROM clips GROUP BY ALL")
 def stream_new_clips(spark, sf):
     c = events_stream(spark, sf, CLIPS).withColumn("path", F.expr("concat('x/', seq div 40)"))
@@ -53,6 +66,17 @@ def stream_drives(spark, sf):
     return run(jobs.stream_drives(events_stream(spark, sf, CLIPS)), "complete")
 
 
+@query("stream_filled_drives", "WITH RECURSIVE " + cte("clips")[5:] + f", {FILL} SELECT vehicle_id, min(t_ms) AS start_ms, max(t_ms) AS end_ms, count(*) AS n, count(*) FILTER (WHERE filled) AS filled FROM {gaps('fl', 300000, 'drive_id')} GROUP BY vehicle_id, drive_id")
+def stream_filled_drives(spark, sf):
+    """All clips of the feed, then a last row that moves the watermark past them, so that all drives end."""
+    folder = f"{shared_folder(spark)}/last-{uuid.uuid4().hex}"
+    c = events_stream(spark, sf, CLIPS).select("vehicle_id", "t", "t_ms", "seq", F.concat(F.lit("e"), F.lpad((F.col("seq") % 50).cast("string"), 3, "0")).alias("path"), "is_event", (F.col("gear") != 0).alias("driving"))
+    newest = view(spark, sf, "clips").agg(F.max("t_ms").alias("t_ms"))
+    newest.select(F.lit(-1).cast("bigint").alias("vehicle_id"), F.timestamp_millis(F.col("t_ms") + 100 * 86_400_000).alias("t"), "t_ms", F.lit(-1).cast("bigint").alias("seq"), F.lit("").alias("path"), F.lit(True).alias("is_event"), F.lit(True).alias("driving")).select(*c.columns).write.parquet(folder)
+    with rocksdb(spark):
+        return run(holes.stream_filled_drives(c.unionByName(spark.readStream.schema(c.schema).parquet(folder))), "append")
+
+
 @query("stream_minute_clips", cte("clips") + f" SELECT vehicle_id, t_ms // 60000 * 60000 AS minute_ms, count(*) AS n, {r2('max(speed)')} AS max_speed FROM clips GROUP BY 1, 2")
 def stream_minute_clips(spark, sf):
     return run(jobs.stream_minute_clips(events_stream(spark, sf, CLIPS)), "complete").withColumn("max_speed", F.floor(F.col("max_speed") * 100 + 0.5) / 100)
@@ -69,16 +93,11 @@ CURVES = f"cv AS (SELECT vehicle_id, session_no, count(*) AS n_curve, {r2('sum(c
  FROM tagged LEFT JOIN cv USING (vehicle_id, session_no) WHERE end_reason <> 'end-of-file'""")
 def stream_charging(spark, sf):
     """Sessions with costs, tags and curve; the store of costs is the batch table."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         batch = samples(spark, sf)
         s = events_stream(spark, sf, SAMPLES).withColumns({"s": F.col("ts"), "state": charging_state_key(F.col("charging_state")), "rate_mph": F.lit(None).cast("double"), "name": F.nullif(F.trim("location_name"), F.lit(""))})
         rows = s.select("vehicle_id", "t", "s", "pos", "state", "energy_kwh", "power_kw", "rate_mph", "battery_pct", "lat", "lng", "name", "raw_ts")
         out = run(jobs.stream_charging(rows, spark.sql(COSTS, samples=batch), spark.sql(TAGS, samples=batch)), "append")
-    finally:
-        spark.conf.set(provider, before)
     kw = F.aggregate("curve", F.lit(0.0), lambda a, x: a + F.coalesce(x["power_kw"], F.lit(0.0)))
     out = out.withColumns({"n_curve": F.size("curve").cast("bigint"), "curve_kw": round2(kw), "tags": F.array_join("tags", "|"), "lat": round2(F.col("lat") * 1e3), "lng": round2(F.col("lng") * 1e3)})
     return out.withColumns({c: round2(F.col(c)) for c in FIGURES}).drop("curve")

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripspark.functions import paths, runs, scalars
+from tripspark.functions import paths, provider, runs, scalars
 from tripspark.functions.fixed import to_fixed
-from tripspark.operators import assist, charging, clips, endpoints, holes, imports, labels, listing, points, sessions, spatial, stats, summon
+from tripspark.operators import assist, charging, clips, endpoints, holes, imports, labels, listing, points, repair, sessions, spatial, stats, summon
 from tripspark.sources.csv_imports import zone_offset_ms
 
 T0 = 1_735_734_000_000
@@ -56,6 +56,29 @@ def test_clip_timestamp_daylight_saving(spark):
     assert at("2025-03-09_02-30-00-front.mp4") == 1_741_505_400_000  # does not occur: offset before the gap
 
 
+def test_repair_timestamp(spark):
+    """Days run on into the next month, folders count, and only the first match does."""
+    want = {
+        "a/2024-02-30_10-00-00-front.mp4": "2024-03-01 10:00:00", "2024-02-31_24-00-00/2024-01-01_00-00-00": "2024-03-03 00:00:00", "x2024-04-31_23-59-59": "2024-05-01 23:59:59", "2023-12-31_24-00-00": "2024-01-01 00:00:00",
+        "2023-13-01_00-00-00/2024-01-01_00-00-00": None, "2024-01-01_24-00-01": None, "2024-00-10_00-00-00": None, "2024-01-32_00-00-00": None, "2024-01-01_10-60-00": None, "none": None, "": None, None: None,
+    }
+    rows = repair.repair_times(spark.createDataFrame([(f,) for f in want], "file string"))
+    assert {r.file: r.t for r in rows.select("file", F.timestamp_millis("t_ms").cast("string").alias("t")).collect()} == want
+    # summer time begins: the offset before the gap
+    assert one(spark, F.timestamp_millis(paths.repair_timestamp_ms(F.lit("2024-03-31_02-30-00"), "Europe/Berlin")).cast("string")) == "2024-03-31 01:30:00"
+
+
+def test_response_bodies(spark):
+    bodies = [
+        '{"results":[[{"latitude":1,"x":1.5}],{"path":[1,2]},{"points":[[3,4]],"path":"[9]"},{"path":null,"points":[5]},7,null,{"q":1}]}',
+        '{"results":[{"latitude":1.25},{"latitude":2}]}', '{"results":[{"latitude":null},{"latitude":2}]}', '{"results":[{"latitude":1,"path":[]},{"latitude":3}]}', '{"results":{}}', '{"results":[]}', "[]", "bad", "", None,
+    ]
+    r = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    got = sorted(map(tuple, provider.response_paths(r).collect()))
+    assert got == [(0, 0, '[{"latitude":1,"x":1.5}]'), (0, 1, "[1,2]"), (0, 2, "[[3,4]]"), (0, 3, "[5]"), (1, 0, '[{"latitude":1.25},{"latitude":2}]'), (3, 0, "[]")]
+    assert [(x.n, x.record_no) for x in provider.response_records(r).orderBy("n", "record_no").collect()] == [(0, k) for k in range(7)] + [(n, k) for n in (1, 2, 3) for k in range(2)]
+
+
 @pytest.mark.parametrize("path, want", [("RecentClips\\a.mp4", "a.mp4"), ("RecentClips/", "RecentClips/"), ("RecentClips/RecentClips/a", "RecentClips/a"), ("SavedClips/a", "SavedClips/a")])
 def test_normalize(spark, path, want):
     assert one(spark, paths.normalize_clip_path(F.lit(path))) == want

@@ -36,6 +36,21 @@ def clip_timestamp_ms(path: Column, tz: str = "UTC") -> Column:
     return F.when(F.regexp_like(name, F.lit(pattern)), F.unix_millis(F.to_utc_timestamp(local, tz)))
 
 
+def repair_timestamp_ms(file: Column, tz: str = "UTC") -> Column:
+    """Epoch milliseconds of the first ``YYYY-MM-DD_HH-MM-SS`` anywhere in a path, local in ``tz``, as the repair of clips reads it; null if none or invalid.
+
+    Unlike clip_timestamp_ms it takes folders in, and days up to 31 of any month: those past
+    its end run on into the next. 24:00:00 is the next midnight. Only the first match counts.
+    """
+    found = F.regexp_extract(file, r"\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}", 0)
+    part = lambda a, n: F.substring(found, a, n).try_cast("int")
+    year, month, day, hour, minute, second = part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2)
+    good = month.between(1, 12) & day.between(1, 31) & ((hour < 24) & (minute < 60) & (second < 60) | (hour == 24) & (minute == 0) & (second == 0))
+    first = F.when(good, F.concat(F.substring(found, 1, 8), F.lit("01"))).try_cast("timestamp_ntz")
+    local = first + F.make_dt_interval(day - 1, hour, minute, second.cast("decimal(18,6)"))
+    return F.unix_millis(F.to_utc_timestamp(local.cast("timestamp"), tz))
+
+
 def external_signature(source: Column, start_ms: Column, odometer_text: Column) -> Column:
     """``source:minute:odometer`` with the odometer at two decimals as text, or ``x``."""
     return F.concat_ws(":", source, F.floor(start_ms / 60000).cast("string"), F.coalesce(odometer_text, F.lit("x")))

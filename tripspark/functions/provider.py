@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys in order of preference.
+# Keys in order of preference, for drives and for points, and the states that count as assisted.
 KEYS = {
     "start": ("started_at", "start_date", "start_time", "starting_time", "start", "startedAt", "created_at"),
     "end": ("ended_at", "end_date", "end_time", "finishing_time", "finished_at", "end", "endedAt"),
@@ -50,6 +50,27 @@ def is_engaged(state: Column) -> Column:
     return F.coalesce(F.when(n.isNotNull(), n > 0).otherwise(F.regexp_like(F.trim(state), F.lit(ENGAGED))), F.lit(False))
 
 
+def response_records(responses: DataFrame, body: str = "body") -> DataFrame:
+    """One row per record of a response's ``results``: ``record_no`` from 0 and ``json``; other columns stay. A body that cannot be read, or whose results are no list, has none."""
+    found = F.try_variant_get(F.try_parse_json(body), "$.results", "array<variant>")
+    return responses.select(*(c for c in responses.columns if c != body), F.posexplode(found).alias("record_no", "_v")).withColumn("json", F.to_json("_v")).drop("_v")
+
+
+def response_paths(responses: DataFrame, body: str = "body") -> DataFrame:
+    """One row per drive of a path response: ``path_no`` from 0 and ``points_json`` as provider_points takes it; other columns stay.
+
+    A result is a list of points, or an object that holds one as ``path`` or else as ``points``; others
+    are passed over. If no result is of these, and the first one is a point (has a latitude), all results are the points of one drive.
+    """
+    found = F.try_variant_get(F.try_parse_json(body), "$.results", "array<variant>")
+    points = lambda v: F.coalesce(*(F.try_variant_get(v, at, "array<variant>") for at in ("$", "$.path", "$.points")))
+    listed = F.filter(F.transform(found, points), lambda p: p.isNotNull())
+    first = F.try_variant_get(F.get(found, F.lit(0)), "$.latitude", "variant")
+    flat = (F.size(listed) == 0) & first.isNotNull() & ~F.is_variant_null(first)
+    rows = responses.withColumns({"_p": F.when(flat, F.array(found)).otherwise(listed)})
+    return rows.select(*(c for c in responses.columns if c != body), F.posexplode("_p").alias("path_no", "_p")).withColumn("points_json", F.to_json("_p")).drop("_p")
+
+
 def provider_drives_normalized(records: DataFrame, json: str = "json") -> DataFrame:
     """start_ms, end_ms, distance_mi, assisted_mi, odometer, four coordinates and the points' JSON from any of the spellings.
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripspark.functions.paths import repair_timestamp_ms
 from tripspark.functions.scalars import geodesic_m, js_round
 
 
+def repair_times(clips: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Clips with ``t_ms`` as the repair reads it from ``file`` (repair_timestamp_ms); those without stay, with null."""
+    return clips.withColumn("t_ms", repair_timestamp_ms(F.col("file"), tz))
+
+
 def find_recording_gaps(clips: DataFrame, clip_ms: int = 60_000, most_ms: int = 300_000) -> DataFrame:
     """Neighbours in time with more than a minute and up to five after the clip's end: cur_end, gap_ms, both points, gear, date.
 

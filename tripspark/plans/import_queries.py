@@ -16,7 +16,7 @@ from tripspark.plans.core import DRIVES, clips, run_clips, trip_points
 from tripspark.plans.join_queries import IMPORTS, import_drives
 from tripspark.plans.registry import query
 from tripspark.plans.sqltext import geo, jr, r2
-from tripspark.plans.testviews import cte
+from tripspark.plans.testviews import DUCK, SPARK, cte
 
 WITH = cte("clips") + ", " + DRIVES
 K = "vehicle_id, drive_id"
@@ -192,3 +192,40 @@ def provider_drives_normalized(spark, sf):
 def provider_points(spark, sf):
     out = PR.provider_points(PR.provider_drives_normalized(records(spark, sf)), ("vehicle_id", "seq"))
     return out.select("vehicle_id", "seq", F.col("i").cast("bigint").alias("i"), "lat", "t", "speed_mph", F.col("ap").cast("bigint").alias("ap"))
+
+
+#: Path responses: by seq a list of points, an object with one of two names, or a flat list of points.
+POINT_TEXT = "concat('{\"latitude\":', CAST(seq % 90 AS STRING), '.5,\"lon\":', CAST(seq % 7 + {0} AS STRING), ',\"time\":', CAST(t_ms div 1000 + {0} AS STRING), ',\"autopilot\":\"', CASE WHEN seq % 2 = {0} THEN 'Active' ELSE 'Standby' END, '\"}')"
+BODIES = f"""SELECT vehicle_id, seq, concat('{{"results":[', CASE seq % 5 WHEN 0 THEN concat('[', a, ',', b, '],{{"path":[', b, ']}}') WHEN 1 THEN concat('{{"points":[', a, ']}},{{"path":null,"points":[', b, ']}}') WHEN 2 THEN concat(a, ',', b) WHEN 3 THEN '{{"latitude":null}}' ELSE concat('7,null,[', a, ']') END, ']}}') AS body
+ FROM (SELECT vehicle_id, seq, {POINT_TEXT.replace('{0}', '0')} AS a, {POINT_TEXT.replace('{0}', '1')} AS b FROM clips_)"""
+
+
+def bodies(spark, sf):
+    return spark.sql(BODIES.replace("{", "{{").replace("}", "}}").replace("FROM clips_", "FROM {c}"), c=clips(spark, sf))
+
+
+@query("response_paths", cte("clips") + """, w AS (SELECT vehicle_id, seq, t_ms, unnest(CASE seq % 5 WHEN 0 THEN [[0, 0, 0], [0, 1, 1], [1, 0, 1]] WHEN 1 THEN [[0, 0, 0], [1, 0, 1]] WHEN 2 THEN [[0, 0, 0], [0, 1, 1]] WHEN 4 THEN [[0, 0, 0]] END) AS x FROM clips)
+ SELECT vehicle_id, seq, CAST(x[1] AS BIGINT) AS path_no, CAST(x[2] AS BIGINT) AS i, seq % 90 + 5e-1 AS lat, CAST(seq % 7 + x[3] AS DOUBLE) AS lng, CAST((t_ms // 1000 + x[3]) * 1000 AS DOUBLE) AS t, CAST(CASE WHEN seq % 2 = x[3] THEN 1 ELSE 0 END AS BIGINT) AS ap FROM w""")
+def response_paths(spark, sf):
+    """Responses to drives' paths, and the points of each."""
+    out = PR.provider_points(PR.response_paths(bodies(spark, sf)), ("vehicle_id", "seq", "path_no"))
+    return out.select("vehicle_id", "seq", F.col("path_no").cast("bigint").alias("path_no"), F.col("i").cast("bigint").alias("i"), "lat", "lng", "t", F.col("ap").cast("bigint").alias("ap"))
+
+
+@query("response_records", cte("clips") + f""" SELECT vehicle_id, seq, r AS record_no, CAST(t_ms // 1000 * 1000 AS DOUBLE) AS start_ms, seq % 50 + 5e-1 AS distance_mi FROM clips, (SELECT unnest(range(2)) AS r) WHERE seq % 3 <> 0 OR r = 0""")
+def response_records(spark, sf):
+    """Lists of drive records, and their drives."""
+    both = F.concat(F.lit('{"results":['), "json", F.when(F.col("seq") % 3 != 0, F.concat(F.lit(","), "json")).otherwise(F.lit("")), F.lit("]}"))
+    out = PR.provider_drives_normalized(PR.response_records(records(spark, sf).select("vehicle_id", "seq", both.alias("body"))))
+    return out.select("vehicle_id", "seq", F.col("record_no").cast("bigint").alias("record_no"), "start_ms", "distance_mi")
+
+
+DATES = "concat('d/', substr({F}, 1, 8), lpad(CAST(1 + seq % 33 AS {S}), 2, '0'), substr({F}, 11, 9), '/x.mp4')"
+
+
+@query("repair_times", cte("clips") + f""", f AS (SELECT seq, {DATES.replace('{F}', DUCK['FMT'].format('t_ms')).replace('{S}', 'VARCHAR')} AS file FROM clips)
+ SELECT seq, CASE WHEN seq % 33 < 31 THEN epoch_ms(CAST(concat(substr(file, 3, 8), '01') AS TIMESTAMP) + to_days(CAST(seq % 33 AS INTEGER)) + CAST(replace(substr(file, 14, 8), '-', ':') AS INTERVAL)) END AS t_ms FROM f""")
+def repair_times(spark, sf):
+    """Times of folders in which the day is any number up to 33."""
+    file = DATES.replace("{F}", SPARK["FMT"].format("t_ms")).replace("{S}", "STRING")
+    return RE.repair_times(clips(spark, sf).select("seq", F.expr(file).alias("file"))).select("seq", "t_ms")

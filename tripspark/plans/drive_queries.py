@@ -85,7 +85,7 @@ SQL = "WITH RECURSIVE " + cte("clips", "runs")[5:] + f""",
  nx AS (SELECT l.vehicle_id, l.drive_id, l.idx, min(CASE WHEN p.gear = 0 AND p.t - l.t <= 2000 THEN p.idx END) AS pk, min(CASE WHEN p.t - l.t > 2000 OR p.ap = 1 THEN p.idx END) AS ov FROM lf l LEFT JOIN pt p ON p.vehicle_id = l.vehicle_id AND p.drive_id = l.drive_id AND p.idx > l.idx GROUP BY ALL),
  lastg AS (SELECT {KEYS}, arg_max(gear, idx) AS lg FROM pt GROUP BY ALL),
  di AS (SELECT {KEYS}, count(*) AS disengagements FROM nx JOIN lastg USING ({KEYS}) WHERE CASE WHEN pk IS NULL AND ov IS NULL THEN lg <> 0 ELSE NOT (pk IS NOT NULL AND (ov IS NULL OR pk <= ov)) END GROUP BY ALL),
- ru AS (SELECT *, sum(e) OVER w AS rr, coalesce(max(CASE WHEN e = 1 THEN t END) OVER w, 0) AS since FROM (SELECT *, CASE WHEN ap = 1 AND coalesce(pap, 1) <> 1 THEN 1 ELSE 0 END AS e FROM sp2) WINDOW w AS (PARTITION BY {KEYS} ORDER BY idx)),
+ ru AS (SELECT *, sum(e) OVER w AS rr, coalesce(last_value(CASE WHEN e = 1 THEN t END IGNORE NULLS) OVER w, 0) AS since FROM (SELECT *, CASE WHEN ap = 1 AND coalesce(pap, 1) <> 1 THEN 1 ELSE 0 END AS e FROM sp2) WINDOW w AS (PARTITION BY {KEYS} ORDER BY idx)),
  mk AS (SELECT *, CASE WHEN pc > 1 AND t - since >= 3000 THEN 1 WHEN pc <= 0 THEN 0 END AS mm FROM ru WHERE ap = 1 AND pap IS NOT NULL),
  pu AS (SELECT {KEYS}, count(*) AS accel_pushes FROM (SELECT *, lag(mm) OVER (PARTITION BY {KEYS}, rr ORDER BY idx) AS pm FROM mk WHERE mm IS NOT NULL) WHERE mm = 0 AND pm = 1 GROUP BY ALL),
  tg AS ({TAGS.format(LOCAL.format('t_ms'), 'clips')}),

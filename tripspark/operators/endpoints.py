@@ -9,71 +9,106 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripspark.operators.helpers import sorted_groups
+from tripspark.operators.helpers import by_length, whole_groups
 from tripspark.operators.points import DRIVE, geodesic_np
 
 
+def _near_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
+    """The points up to ``most`` and within 30 s of either end of their drive, with ``_k`` and ``_n`` of the drive, and whether they belong to the ``_start`` and to the ``_end``.
+
+    The first point beyond 30 s and the last one bound the windows of both ends, so one order of the points does for both.
+    """
+    drive = Window.partitionBy(*DRIVE)
+    order = drive.orderBy("idx")
+    rows = points.withColumns({
+        "_k": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(drive),
+        "_first": F.first("t_ms").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_last": F.last("t_ms").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    beyond = lambda t: F.when(F.abs(F.col("t_ms") - F.col(t)) > window_ms, F.col("_k"))
+    rows = rows.withColumns({"_until": F.min(beyond("_first")).over(drive), "_from": F.max(beyond("_last")).over(drive)})
+    start = (F.col("_k") < most) & F.coalesce(F.col("_k") < F.col("_until"), F.lit(True))
+    end = (F.col("_n") - 1 - F.col("_k") < most) & F.coalesce(F.col("_k") > F.col("_from"), F.lit(True))
+    return rows.withColumns({"_start": start, "_end": end}).where("_start OR _end").select(*points.columns, "_k", "_n", "_start", "_end")
+
+
 def endpoint_window(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
     """For both ends (``which``) the points up to ``most`` and within 30 s of the end, ``k`` counting from it."""
-    out = []
-    for which, order in (("start", F.col("idx").asc()), ("end", F.col("idx").desc())):
-        w = Window.partitionBy(*DRIVE).orderBy(order)
-        near = points.withColumns({"which": F.lit(which), "k": F.row_number().over(w) - 1, "_t": F.first("t_ms").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-        near = near.withColumn("_far", F.max((F.abs(F.col("t_ms") - F.col("_t")) > window_ms).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        out.append(near.where((F.col("k") < most) & (F.col("_far") == 0)).drop("_t", "_far"))
-    return out[0].unionByName(out[1])
+    ends = F.array_compact(F.array(*(F.when(F.col(on), F.struct(F.lit(on[1:]).alias("which"), k.cast("int").alias("k"))) for on, k in (("_start", F.col("_k")), ("_end", F.col("_n") - 1 - F.col("_k"))))))
+    return _near_ends(points, window_ms, most).withColumn("_e", F.explode(ends)).select(*points.columns, "_e.which", "_e.k")
 
 
-def _snap(rows: dict[str, np.ndarray], radius_m: float = 15.0, seeds: int = 3) -> tuple:
-    """(lat, lng, accuracy, samples, stationary) of one end; rows in order of k."""
+def _snap(rows: dict[str, np.ndarray], radius_m: float = 15.0, seeds: int = 3) -> list[np.ndarray]:
+    """lat, lng, accuracy, samples, stationary of ends with one number of points, an end a row; points in order of k."""
     lat, lng, t = (rows[c].astype(float) for c in ("lat", "lng", "t_ms"))
     gear, speed = rows["gear"].astype(float), np.abs(rows["speed"].astype(float))
     still = np.where((gear == 0), 1.0, np.where(np.isnan(speed), np.nan, (speed <= 0.75).astype(float)))
-    raw = (lat[0], lng[0], 35.0, 1, False)
-    evidence = ~np.isnan(still).all()
-    use = still == 1 if evidence else np.ones(len(lat), bool)
-    if use.sum() < 3:
-        return raw
-    best = None
-    for i in range(min(seeds, len(lat))):
-        if evidence and still[i] != 1:
-            continue
-        near = use & (geodesic_np(lat[i], lng[i], lat, lng) <= radius_m)
-        if near.sum() >= 3 and np.ptp(t[near]) >= 2000 and (best is None or near.sum() > best.sum()):
-            best = near
-    if best is None:
-        return raw
-    a, b = lat[best], lng[best]
-    d = geodesic_np(a[:, None], b[:, None], a[None, :], b[None, :])
-    m = int(d.sum(axis=1).argmin())
-    reach = np.sort(d[m])
-    p90 = max(reach[min(len(reach) - 1, max(0, int(np.ceil(len(reach) * 0.9)) - 1))], 5.0)
-    return (a[m], b[m], np.floor(p90 * 10 + 0.5) / 10, int(best.sum()), True)
+    evidence = ~np.isnan(still).all(axis=1)
+    use = (still == 1) | ~evidence[:, None]
+    best, most = np.zeros(lat.shape, bool), np.zeros(len(lat), np.int64)
+    for i in range(min(seeds, lat.shape[1])):
+        near = use & (geodesic_np(lat[:, i, None], lng[:, i, None], lat, lng) <= radius_m)
+        many = near.sum(axis=1)
+        held = np.where(near, t, -np.inf).max(axis=1) - np.where(near, t, np.inf).min(axis=1)
+        better = (~evidence | (still[:, i] == 1)) & (many >= 3) & (held >= 2000) & (many > most)
+        best[better], most[better] = near[better], many[better]
+    out = [lat[:, 0].copy(), lng[:, 0].copy(), np.full(len(lat), 35.0), np.maximum(most, 1), most > 0]
+    for n in np.unique(most[most > 0]):  # clusters of one size at once
+        own = np.flatnonzero(most == n)
+        for part in np.array_split(own, 1 + len(own) * n * n // 1_000_000):  # distances in bounded pieces
+            a, b = (c[part][best[part]].reshape(-1, n) for c in (lat, lng))
+            d = geodesic_np(a[:, :, None], b[:, :, None], a[:, None, :], b[:, None, :])
+            m, k = d.sum(axis=2).argmin(axis=1), np.arange(len(part))
+            reach = np.sort(d[k, m], axis=1)[:, min(n - 1, max(0, int(np.ceil(n * 0.9)) - 1))]
+            out[0][part], out[1][part], out[2][part] = a[k, m], b[k, m], np.floor(np.maximum(reach, 5.0) * 10 + 0.5) / 10
+    return out
 
 
 def endpoint_snap(points: DataFrame) -> DataFrame:
     """Per drive and end: lat, lng, accuracy_m, samples, stationary.
 
     The medoid of the largest cluster of standing points near the end, else the end
-    itself with 35 m. The window is cut by Spark (600 rows at most), distances are a
-    small numpy matrix per end. gear and speed are null where they are no evidence.
+    itself with 35 m. The window is cut by Spark (600 rows at most), distances are small
+    numpy matrices, of many ends at once. gear and speed are null where they are no evidence.
     """
-    return snap_ends(endpoint_window(points))
+    values = ("lat", "lng", "t_ms", "gear", "speed")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cols, starts in whole_groups(batches, list(DRIVE)):
+            drive = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(cols["lat"])))
+            for which, step in (("start", 1), ("end", -1)):
+                own = np.flatnonzero(cols[f"_{which}"])[::step]
+                begins = np.flatnonzero(np.diff(drive[own], prepend=-1))
+                yield from _snapped(cols, ((own[at], which) for at in by_length(begins, len(own))), values)
+
+    near = _near_ends(points.select(*DRIVE, "idx", *values))
+    # the window has put a drive's points together in order, so no further shuffle
+    ordered = near.sortWithinPartitions(*DRIVE, "idx").select(*DRIVE, "_start", "_end", *values)
+    return ordered.mapInPandas(of, _snap_schema(points))
+
+
+def _snap_schema(points: DataFrame) -> str:
+    kind = points.schema["vehicle_id"].dataType.simpleString()
+    return f"vehicle_id {kind}, drive_id bigint, which string, lat double, lng double, accuracy_m double, samples bigint, stationary boolean"
+
+
+def _snapped(cols: dict[str, np.ndarray], ends: Iterator[tuple[np.ndarray, str | np.ndarray]], values: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Rows of ends, given as the places of their points and their names."""
+    for at, which in ends:
+        found = _snap({c: cols[c][at] for c in values})
+        yield pd.DataFrame({**{c: cols[c][at[:, 0]] for c in DRIVE}, "which": which, **dict(zip(("lat", "lng", "accuracy_m", "samples", "stationary"), found))})
 
 
 def snap_ends(ends: DataFrame) -> DataFrame:
     """endpoint_snap over the rows of endpoint_window."""
-    kind = ends.schema["vehicle_id"].dataType.simpleString()
-    keys = ["vehicle_id", "drive_id", "which"]
+    keys, values = [*DRIVE, "which"], ("lat", "lng", "t_ms", "gear", "speed")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = [(*(g[k][0] for k in keys), *_snap(g)) for g in sorted_groups(batches, keys)]
-        yield pd.DataFrame(out, columns=[*keys, "lat", "lng", "accuracy_m", "samples", "stationary"])
+        for cols, starts in whole_groups(batches, keys):
+            yield from _snapped(cols, ((at, cols["which"][at[:, 0]]) for at in by_length(starts, len(cols["k"]))), values)
 
-    slim = ends.select(*DRIVE, "which", "k", "lat", "lng", "t_ms", "gear", "speed")
-    # ends are many and small: one pass over sorted partitions instead of a call per end
+    slim = ends.select(*keys, "k", *values)
+    # ends are many and small: passes over sorted partitions, many ends at once, instead of a call per end
     ordered = slim.repartition(*DRIVE).sortWithinPartitions(*DRIVE, "which", "k")
-    return ordered.mapInPandas(of, f"vehicle_id {kind}, drive_id bigint, which string, lat double, lng double, accuracy_m double, samples bigint, stationary boolean")
+    return ordered.mapInPandas(of, _snap_schema(ends))
 
 
 # ---- headings
@@ -83,9 +118,9 @@ CLEAR_M, MOVING_MPS, REACH = 1.5, 0.5, 32
 REVERSE = 2
 
 
-def _up_to(x: np.ndarray) -> np.ndarray:
-    """Sums before each place, so that the sum of a to b - 1 is one difference."""
-    return np.concatenate([[0], np.cumsum(x)])
+def _up_to(x: np.ndarray, drives: int) -> np.ndarray:
+    """Sums before each place of its own drive, so that the sum of a to b - 1 is one difference; a drive has one more than its points."""
+    return np.cumsum(np.pad(x.reshape(drives, -1), ((0, 0), (1, 0))), axis=1).ravel()
 
 
 def _bearing(lat1, lng1, lat2, lng2) -> np.ndarray:
@@ -97,25 +132,29 @@ def _bearing(lat1, lng1, lat2, lng2) -> np.ndarray:
 def local_headings(lat: np.ndarray, lng: np.ndarray, speed: np.ndarray, gear: np.ndarray | None, window: int) -> np.ndarray:
     """The heading in degrees that the points round each point tell, as the car points; NaN where motion cannot be told from noise.
 
-    All points at once. A window stays in a point's stretch of one gear. Round a
+    All points of drives of one length at once: arrays of a drive, or of a drive a row; gear null all along a drive is no evidence. A window stays in a point's stretch of one gear. Round a
     moving point it doubles until its ends are CLEAR_M apart; round one without speed it is
     taken as it is, and must be straight and long enough. The heading is the mean of
     the clear steps' bearings by their lengths: of those driven at speed if there are any.
     """
-    n, at = len(lat), np.arange(len(lat))
-    first, last = np.zeros(n, np.int64), np.full(n, n - 1)
+    shape, n, drives = lat.shape, lat.shape[-1], lat.size // lat.shape[-1]
+    lat, lng, speed = lat.ravel(), lng.ravel(), speed.ravel()
+    at = np.arange(lat.size)
+    own = at // n
+    begins = at % n == 0
     if gear is not None:
-        change = np.flatnonzero(gear[1:] != gear[:-1]) + 1
-        edges = np.concatenate([[0], change, [n]])
-        first, last = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:] - 1, np.diff(edges))
+        gear = gear.ravel()
+        begins[1:] |= (gear[1:] != gear[:-1]) & ~np.isnan(gear.reshape(drives, n)).all(axis=1)[own[1:]]
+    edges = np.append(np.flatnonzero(begins), lat.size)
+    first, last = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:] - 1, np.diff(edges))
     first, last = np.maximum(first, at - REACH), np.minimum(last, at + REACH)
     apart = lambda a, b: geodesic_np(lat[a], lng[a], lat[b], lng[b])
 
     a, b = np.maximum(first, at - window // 2), np.minimum(last, at + (window + 1) // 2)
     moved = np.where(b > a, apart(a, b), 0.0)
     pace = np.abs(speed)
-    moving = _up_to(np.nan_to_num(pace) >= MOVING_MPS)
-    fast = moving[b + 1] > moving[a]
+    moving = _up_to((np.nan_to_num(pace) >= MOVING_MPS).astype(np.int64), drives)
+    fast = moving[b + 1 + own] > moving[a + own]
     half = (window + 1) // 2
     wider = np.flatnonzero(fast & (b > a) & (moved < CLEAR_M) & ((a > first) | (b < last)))
     while len(wider):
@@ -124,59 +163,58 @@ def local_headings(lat: np.ndarray, lng: np.ndarray, speed: np.ndarray, gear: np
         moved[wider] = apart(a[wider], b[wider])
         wider = wider[(moved[wider] < CLEAR_M) & ((a[wider] > first[wider]) | (b[wider] < last[wider]))]
 
-    step, course = apart(at[:-1], at[1:]), _bearing(lat[:-1], lng[:-1], lat[1:], lng[1:])
-    driven = _up_to(step)
-    driven = driven[b] - driven[a]
+    # to the next point of the drive; its last one has none
+    to = np.where(at % n < n - 1, at + 1, at)
+    step, course = apart(at, to), _bearing(lat, lng, lat[to], lng[to])
+    between = lambda x: (lambda sums: sums[b + own] - sums[a + own])(_up_to(x, drives))
+    driven = between(step)
     steady = (moved >= np.maximum(CLEAR_M, 0.4 * (b - a))) & ~((driven > 0) & (moved < 0.5 * driven))
     told = (b > a) & np.where(fast, moved >= CLEAR_M, steady)
 
     clear = step >= CLEAR_M
-    at_speed = clear & (np.isfinite(pace[1:]) & np.isfinite(pace[:-1])) & (np.fmax(pace[1:], pace[:-1]) >= MOVING_MPS)
+    at_speed = clear & np.isfinite(pace) & np.isfinite(pace[to]) & (np.fmax(pace[to], pace) >= MOVING_MPS)
     heading = np.degrees(_bearing(lat[a], lng[a], lat[b], lng[b]))  # where no step is clear, from end to end
     for steps in (clear, at_speed):  # the later one has the last word
-        many, weight = _up_to(steps), np.where(steps, step, 0.0)
-        north, east = _up_to(weight * np.cos(course)), _up_to(weight * np.sin(course))
-        mean = np.degrees(np.arctan2(east[b] - east[a], north[b] - north[a]))
-        heading = np.where(many[b] > many[a], mean, heading)
+        many, weight = between(steps.astype(np.int64)), np.where(steps, step, 0.0)
+        mean = np.degrees(np.arctan2(between(weight * np.sin(course)), between(weight * np.cos(course))))
+        heading = np.where(many > 0, mean, heading)
     if gear is not None:
         heading = heading + np.where(gear == REVERSE, 180.0, 0.0)
-    return np.where(told, np.mod(heading, 360.0), np.nan)
+    return np.where(told, np.mod(heading, 360.0), np.nan).reshape(shape)
 
 
 def carried_headings(told: np.ndarray, window: int) -> np.ndarray:
     """Where nothing is told, the heading of the last point before that tells one, in steps of half a window; else of the first point; else of the next one after."""
-    stride = max(1, window // 2)
-    out = told.copy()
-    for lane in range(min(stride, len(told))):
-        own = np.arange(lane, len(told), stride)
-        clear = np.isfinite(told[own])
-        k = np.arange(len(own))
-        before = np.maximum.accumulate(np.where(clear, k, -1))
-        after = np.minimum.accumulate(np.where(clear, k, len(own))[::-1])[::-1]
-        fill = np.where(after < len(own), told[own[np.minimum(after, len(own) - 1)]], np.nan)
-        if np.isfinite(told[0]):
-            fill = np.full(len(own), told[0])
-        out[own] = np.where(before >= 0, told[own[np.maximum(before, 0)]], fill)
-    return out
+    shape, stride, n = told.shape, max(1, window // 2), told.shape[-1]
+    told, out = np.atleast_2d(told), np.atleast_2d(told.copy())
+    drive = np.arange(len(told))[:, None]
+    for lane in range(min(stride, n)):
+        own = told[:, lane::stride]
+        clear, k = np.isfinite(own), np.arange(own.shape[1])
+        before = np.maximum.accumulate(np.where(clear, k, -1), axis=1)
+        after = np.minimum.accumulate(np.where(clear, k, len(k))[:, ::-1], axis=1)[:, ::-1]
+        fill = np.where(after < len(k), own[drive, np.minimum(after, len(k) - 1)], np.nan)
+        fill = np.where(np.isfinite(told[:, :1]), told[:, :1], fill)
+        out[:, lane::stride] = np.where(before >= 0, own[drive, np.maximum(before, 0)], fill)
+    return out.reshape(shape)
 
 
 def smooth_heading(points: DataFrame, window: int = 6) -> DataFrame:
     """vehicle_id, drive_id, idx, heading (degrees, null if none can be told).
 
     What a standing car points at depends on what was told before, so a numpy helper works
-    on each drive, linear in its points; Spark partitions and sorts the drives.
+    on drives, those of one length at once, linear in their points; Spark partitions and sorts the drives.
     """
     kind = points.schema["vehicle_id"].dataType.simpleString()
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, list(DRIVE)):
-            out = pd.DataFrame({c: g[c] for c in (*DRIVE, "idx")})
-            heading = np.full(len(out), np.nan)
-            if len(out) > 1:
-                lat, lng, speed, gear = (g[c].astype(float) for c in ("lat", "lng", "speed", "gear"))
-                heading = carried_headings(local_headings(lat, lng, speed, None if np.isnan(gear).all() else gear, window), window)
-            out["heading"] = [None if np.isnan(h) else float(h) for h in heading]
-            yield out
+        for cols, starts in whole_groups(batches, list(DRIVE)):
+            heading = np.full(len(cols["idx"]), np.nan)
+            for at in by_length(starts, len(heading)):
+                if at.shape[1] > 1:
+                    lat, lng, speed, gear = (cols[c][at].astype(float) for c in ("lat", "lng", "speed", "gear"))
+                    heading[at] = carried_headings(local_headings(lat, lng, speed, gear, window), window)
+            yield pd.DataFrame({**{c: cols[c] for c in (*DRIVE, "idx")}, "heading": pd.array(heading, dtype="Float64")})
 
     slim = points.select(*DRIVE, "idx", "lat", "lng", "speed", "gear")
     ordered = slim.repartition(*DRIVE).sortWithinPartitions(*DRIVE, "idx")

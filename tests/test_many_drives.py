@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tripspark.operators import endpoints, helpers
+from tripspark.operators import points as P
 from tripspark.plans.import_queries import fine_points
 from helpers import SF
 
@@ -51,3 +52,26 @@ def test_windows_of_ends(spark):
     points = spark.createDataFrame(rows, "vehicle_id bigint, drive_id bigint, idx bigint, lat double, lng double, t_ms bigint, gear int, speed double")
     got = endpoints.endpoint_window(points).groupBy("drive_id", "which").agg(F.sort_array(F.collect_list(F.struct("k", "idx"))).alias("p")).collect()
     assert {(r.drive_id, r.which): [x.idx for x in r.p] for r in got} == {(0, "start"): [0, 1, 2], (0, "end"): [5], (1, "start"): [0], (1, "end"): [0]}
+
+
+def test_jumps_of_many_drives_equal_those_of_each(spark):
+    """Against the pass point by point."""
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for d in range(120):
+        n = int(rng.integers(1, 9))
+        lat = 50 + np.where(rng.random(n) < 0.4, rng.integers(1, 4, n) * 0.1, 0.0)
+        keep, after = [], None
+        for i in range(n - 1, -1, -1):
+            before = abs(lat[i] - lat[i - 1]) > 0.05 if i else None
+            ahead = abs(lat[i] - lat[after]) > 0.05 if after is not None else None
+            if not ((before and ahead) or (i == 0 and ahead) or (after is None and before)):
+                keep.append(i)
+                after = i
+        want |= {(d % 7, d, i) for i in keep}
+        rows += [(d % 7, d, i, float(x), 8.0, f"p{i}") for i, x in enumerate(lat)]
+    points = spark.createDataFrame(rows, "vehicle_id bigint, drive_id bigint, idx bigint, lat double, lng double, name string")
+    kept = P.jump_filter(points)
+    got = [(r.vehicle_id, r.drive_id, r.idx) for r in kept.collect()]
+    assert set(got) == want and len(got) == len(want) < len(rows) and all(r.name == f"p{r.idx}" for r in kept.collect())
+    assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().executedPlan().toString()  # a call for each drive

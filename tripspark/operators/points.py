@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import geodesic_m, heading, js_round, surely_within
+from tripspark.operators.helpers import by_length, whole_groups
 
 DRIVE = ("vehicle_id", "drive_id")
 
@@ -66,33 +68,44 @@ def geodesic_np(lat1, lng1, lat2, lng2):
     return np.where(s == 0, 0.0, 6378137.0 * (s - f / 2 * (x + y)))
 
 
-def _keep_no_jumps(pdf: pd.DataFrame, max_m: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("idx")
-    lat, lng, n = pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), len(pdf)
-    step = geodesic_np(lat[:-1], lng[:-1], lat[1:], lng[1:]) > max_m
-    keep, after = np.ones(n, bool), -1
-    for i in range(n - 1, -1, -1):
-        before = bool(step[i - 1]) if i else None
-        ahead = bool(geodesic_np(lat[i], lng[i], lat[after], lng[after]) > max_m) if after >= 0 else None
-        if (before and ahead) or (i == 0 and ahead) or (after < 0 and before):
-            keep[i] = False
-        else:
-            after = i
-    return pdf[keep]
+def _keep_no_jumps(lat: np.ndarray, lng: np.ndarray, max_m: float) -> np.ndarray:
+    """Which points stay, of drives of one length, a drive a row: one pass backward over all of them."""
+    far = geodesic_np(lat[:, :-1], lng[:, :-1], lat[:, 1:], lng[:, 1:]) > max_m
+    none = np.zeros((len(lat), 1), bool)
+    before, step = np.hstack([none, far]), np.hstack([far, none])
+    keep, after = np.ones(lat.shape, bool), np.full(len(lat), -1)
+    for i in range(lat.shape[1] - 1, -1, -1):
+        ahead = step[:, i] & (after >= 0)
+        other = np.flatnonzero(after > i + 1)  # the next point that stays is not the next one
+        if len(other):
+            ahead[other] = geodesic_np(lat[other, i], lng[other, i], lat[other, after[other]], lng[other, after[other]]) > max_m
+        drop = (ahead & (before[:, i] | (i == 0))) | ((after < 0) & before[:, i])
+        keep[:, i] = ~drop
+        after = np.where(drop, after, i)
+    return keep
 
 
 def jump_filter(points: DataFrame, max_m: float = 5000.0) -> DataFrame:
     """Drops points more than 5 km from both the point before and the next one that stays (one side at the ends).
 
-    The pass runs backward and carries the last survivor, so it is a helper per
-    drive; drives without a long step are passed by untouched.
+    The pass runs backward and carries the last survivor, so it is a helper, for drives of
+    one length at once; drives without a long step are passed by untouched.
     """
     place = (F.col("_plat"), F.col("_plng"), F.col("lat"), F.col("lng"))
     far = ~surely_within(*place, max_m) & (geodesic_m(*place) > max_m)
     flagged = with_previous(points, "lat", "lng").withColumn("_any", F.max(F.coalesce(far, F.lit(False))).over(Window.partitionBy(*DRIVE)))
     plain = flagged.where("NOT _any").select(*points.columns)
     bad = flagged.where("_any").select(*points.columns)
-    return plain.unionByName(bad.groupBy(*DRIVE).applyInPandas(lambda pdf: _keep_no_jumps(pdf, max_m), points.schema))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cols, starts in whole_groups(batches, list(DRIVE)):
+            keep = np.ones(len(cols["idx"]), bool)
+            for at in by_length(starts, len(keep)):
+                keep[at] = _keep_no_jumps(cols["lat"][at], cols["lng"][at], max_m)
+            yield pd.DataFrame({c: v[keep] for c, v in cols.items()})
+
+    # the windows have put a drive's points together
+    return plain.unionByName(bad.sortWithinPartitions(*DRIVE, "idx").mapInPandas(of, points.schema))
 
 
 def with_previous(points: DataFrame, *columns: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tripspark.operators import endpoints, helpers
+from tripspark.operators import charging, endpoints, helpers
 from tripspark.operators import points as P
 from tripspark.plans.import_queries import fine_points
 from helpers import SF
@@ -75,3 +75,11 @@ def test_jumps_of_many_drives_equal_those_of_each(spark):
     got = [(r.vehicle_id, r.drive_id, r.idx) for r in kept.collect()]
     assert set(got) == want and len(got) == len(want) < len(rows) and all(r.name == f"p{r.idx}" for r in kept.collect())
     assert "FlatMapGroupsInPandas" not in kept._jdf.queryExecution().executedPlan().toString()  # a call for each drive
+
+
+def test_sites_take_no_call_for_each_vehicle(spark):
+    rows = [(v, k, f"v{v}s{k}", float(k), None if k == 2 else 50.0 + (k % 2) * 0.01, 8.0) for v in range(30) for k in range(5)]
+    sessions = spark.createDataFrame(rows, "vehicle_id bigint, session_no bigint, session_id string, start_s double, lat double, lng double")
+    out = charging.charging_sites(sessions)
+    assert {(r.vehicle_id, r.session_no): r.site_id for r in out.collect()} == {(v, k): "unknown" if k == 2 else f"site-v{v}s{k % 2}" for v in range(30) for k in range(5)}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()

@@ -8,17 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 VEHICLE = "seen bigint, ordinary bigint, kept bigint, before bigint, last bigint, has boolean, start bigint, end bigint, n bigint, filled bigint"
-WAITING = "t bigint, seq bigint, path string, event boolean"
-HELD = "t bigint, event boolean"
+#: Times and kinds (event clip or not) of the clips that are waiting and of those that are held.
+CLIPS = "waiting array<bigint>, waiting_event array<boolean>, held array<bigint>, held_event array<boolean>"
 DRIVE = "start_ms bigint, end_ms bigint, n bigint, filled bigint"
 _NAMES = [f.split()[0] for f in VEHICLE.split(", ")]
 _NONE = 1 << 60
 
 
-class HoleDrivesProcessor(StatefulProcessor):
+class HoleDrivesProcessor:
     """Per vehicle: clips after the watermark (waiting), clips up to it that are not settled yet (held), and the open drive.
 
     Rows up to the watermark are complete, so they are thinned for good. An event clip is
@@ -31,14 +31,14 @@ class HoleDrivesProcessor(StatefulProcessor):
     def __init__(self, min_ms: int, max_ms: int, hop_ms: int, thin_ms: int, gap_ms: int) -> None:
         self.min_ms, self.max_ms, self.hop_ms, self.thin_ms, self.gap_ms = min_ms, max_ms, hop_ms, thin_ms, gap_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value, self.waiting, self.held = handle.getValueState("vehicle", VEHICLE), handle.getListState("waiting", WAITING), handle.getListState("held", HELD)
-
     def thinned(self, now: dict, rows: pd.DataFrame) -> list[tuple[int, bool]]:
         """(t, event) of rows that are complete: ordinary clips, and event clips that neither one of those nor the event clip kept before covers."""
-        rows = rows.sort_values(["t", "event", "path", "seq"])
-        t, event = rows["t"].to_numpy(np.int64), rows["event"].to_numpy(bool)
+        return self._thin(now, rows["t"].to_numpy(np.int64), rows["event"].to_numpy(bool))
+
+    def _thin(self, now: dict, t: np.ndarray, event: np.ndarray) -> list[tuple[int, bool]]:
+        # of event clips of one time any one is kept, as only its time goes on
+        order = np.lexsort((event, t))
+        t, event = t[order], event[order]
         upto = np.maximum.accumulate(np.concatenate([[-_NONE if now["ordinary"] is None else now["ordinary"]], np.where(event, -_NONE, t)]))
         now["ordinary"] = None if upto[-1] == -_NONE else int(upto[-1])
         free = t[event & (t - upto[1:] > self.thin_ms)]
@@ -95,67 +95,51 @@ class HoleDrivesProcessor(StatefulProcessor):
         now.update(start=None, end=None, n=None, filled=None)
         return [out]
 
-    def next_time(self, now: dict, waiting: pd.DataFrame, held: list[tuple[int, bool]], until: int) -> int | None:
+    def next_time(self, now: dict, waiting: pd.DataFrame | dict[str, np.ndarray], held: list[tuple[int, bool]], until: int) -> int | None:
         """The least watermark that can change something."""
-        times = [int(waiting["t"].min())] if len(waiting) else []
+        times = [int(waiting["t"].min())] if len(waiting["t"]) else []
         if held:
             times += [held[0][0] + self.max_ms, held[-1][0] + self.hop_ms]
         elif now["start"] is not None:
             times.append(now["end"] + self.gap_ms)
         return min((x for x in times if x > until), default=None)
 
-    def _step(self, key, new: list[pd.DataFrame], until: int) -> Iterator[pd.DataFrame]:
-        state = self.value.get() if self.value.exists() else None
-        now = dict(zip(_NAMES, (None if x is None or x != x else x for x in state))) if state is not None else dict.fromkeys(_NAMES)
-        columns = ["t", "seq", "path", "event"]
-        old = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=columns)
-        rows = pd.concat([x for x in (old, *(p[columns] for p in new)) if len(x)] or [old])
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A step of one vehicle: its new clips, or none at its time-out."""
+        until = state.getCurrentWatermarkMs()
+        old = state.get if state.exists else (*[None] * len(_NAMES), [], [], [], [])
+        now, (waiting, kinds, held, held_kinds) = dict(zip(_NAMES, old)), old[len(_NAMES):]
+        new = [] if state.hasTimedOut else list(parts)
+        t = np.concatenate([np.array(waiting, np.int64), *(p["t_ms"].to_numpy(np.int64) for p in new)])
+        event = np.concatenate([np.array(kinds, bool), *(p["event"].to_numpy(bool) for p in new)])
         if now["seen"] is not None:
-            rows = rows[rows["t"] > now["seen"]]  # later than the watermark allows
-        ready = (rows["t"] <= until).to_numpy(bool)
-        held = [(int(t), bool(e)) for t, e in self.held.get()] if self.held.exists() else []
+            t, event = t[t > now["seen"]], event[t > now["seen"]]  # later than the watermark allows
+        ready = t <= until
+        rows = list(zip(held, held_kinds))
         if ready.any():
-            held += self.thinned(now, rows[ready])
-        waiting = rows[~ready]
-        out, held = self.settle(now, held, until)
+            rows += self._thin(now, t[ready], event[ready])
+        out, rows = self.settle(now, rows, until)
         now["seen"] = until if now["seen"] is None else max(now["seen"], until)
-        self._keep(now, waiting, held, until)
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["vehicle_id", "start_ms", "end_ms", "n", "filled"])
-
-    def _keep(self, now: dict, waiting: pd.DataFrame, held: list[tuple[int, bool]], until: int) -> None:
-        self.value.update(tuple(None if now[k] is None else bool(now[k]) if k == "has" else int(now[k]) for k in _NAMES))
-        rows = [(int(t), None if s is None or s != s else int(s), p, bool(e)) for t, s, p, e in waiting.itertuples(index=False)]
-        for state, values in ((self.waiting, rows), (self.held, held)):
-            if values:
-                state.put(values)
-            else:
-                state.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        at = self.next_time(now, waiting, held, until)
+        t, event = t[~ready], event[~ready]
+        plain = tuple(None if now[k] is None else bool(now[k]) if k == "has" else int(now[k]) for k in _NAMES)
+        state.update((*plain, t.tolist(), event.tolist(), [int(r[0]) for r in rows], [bool(r[1]) for r in rows]))
+        at = self.next_time(now, {"t": t}, rows, until)
         if at is not None:
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        return self._step(key, [p.drop(columns="t").rename(columns={"t_ms": "t"}) for p in rows], timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._step(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+            state.setTimeoutTimestamp(max(1, at - 1))  # comes once the watermark has passed it
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["vehicle_id", "start_ms", "end_ms", "n", "filled"])
 
 
 def stream_filled_drives(clips: DataFrame, min_ms: int = 90_000, max_ms: int = 1_800_000, hop_ms: int = 180_000, thin_ms: int = 30_000, gap_ms: int = 300_000, delay: str = "1 hour") -> DataFrame:
     """Drives as they end: vehicle_id, start_ms, end_ms, n clips and how many of them filled holes; the rows of fill_holes followed by sessionize_drives.
 
-    Expects t (timestamp), t_ms, seq, path, is_event, driving. Event clips, which are often copied later than
+    Expects t (timestamp), t_ms, is_event, driving. Event clips, which are often copied later than
     others, count as long as they come within ``delay``; a clip is settled once the watermark has
-    passed it by ``max_ms`` at most, or its chain of event clips has ended. Needs the RocksDB state store.
+    passed it by ``max_ms`` at most, or its chain of event clips has ended. A vehicle's state is one row; the RocksDB state store keeps it off the heap.
     """
     kind = clips.schema["vehicle_id"].dataType.simpleString()
     rows = clips.where("t_ms IS NOT NULL AND (NOT is_event OR driving)").withWatermark("t", delay)
-    rows = rows.select("vehicle_id", "t", F.col("seq").cast("bigint").alias("seq"), "path", F.col("is_event").alias("event"), F.col("t_ms").cast("bigint").alias("t_ms"))
+    rows = rows.select("vehicle_id", "t", F.col("is_event").alias("event"), F.col("t_ms").cast("bigint").alias("t_ms"))
     processor = HoleDrivesProcessor(min_ms, max_ms, hop_ms, thin_ms, gap_ms)
-    return rows.groupBy("vehicle_id").transformWithStateInPandas(processor, f"vehicle_id {kind}, {DRIVE}", "Append", "EventTime")
+    return rows.groupBy("vehicle_id").applyInPandasWithState(processor, f"vehicle_id {kind}, {DRIVE}", f"{VEHICLE}, {CLIPS}", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tripspark.operators.charging import ACTIVE, TERMINAL, number_text, session_costs_tags
 
@@ -40,6 +40,10 @@ SESSION = (
     f" curve array<struct<{CURVE.replace(' double', ':double')}>>"
 )
 _NAMES = [f.strip().split()[0] for f in STATE.split(",")]
+_CURVE = CURVE.replace(" double", "").split(", ")
+_COLUMNS = ["vehicle_id", *(f.strip().split()[0] for f in SESSION.split(", curve")[0].split(",")), "curve"]
+#: Numbers of a sample that go to the processor as one array.
+NUMBERS = ("s", "energy_kwh", "power_kw", "rate_mph", "battery_pct", "lat", "lng")
 
 
 def _value(x):
@@ -58,8 +62,8 @@ def _forward(values: np.ndarray, known: np.ndarray, before) -> np.ndarray:
     return np.where(at >= 0, values[np.maximum(at, 0)], np.nan if before is None else before)
 
 
-class ChargingProcessor(StatefulProcessor):
-    """Per vehicle: what is carried from sample to sample and the figures of the open session in a value, its curve in a list, and a timer for the pause that ends it.
+class ChargingProcessor:
+    """Per vehicle: what is carried from sample to sample, the figures of the open session and its curve in one state, and a time-out for the pause that ends it.
 
     The samples of a batch are cut where a pause or a terminal state ends an island, and an
     island is added to the open session as a whole.
@@ -68,20 +72,11 @@ class ChargingProcessor(StatefulProcessor):
     def __init__(self, gap_s: float, sustained_s: float, fallback_s: float) -> None:
         self.gap_s, self.sustained_s, self.fallback_s = gap_s, sustained_s, fallback_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value, self.curve = handle.getValueState("vehicle", STATE), handle.getListState("curve", CURVE)
-
-    def _load(self) -> dict:
-        held = self.value.get() if self.value.exists() else None
-        return dict(zip(_NAMES, map(_value, held))) if held is not None else dict.fromkeys(_NAMES) | {"seq": 0}
-
     def _close(self, now: dict, end: float, reason: str) -> list[tuple]:
         kept = (now["energy"] or 0) > 0 or (now["held"] or 0) >= self.sustained_s
-        points = [dict(zip(CURVE.replace(" double", "").split(", "), map(_value, p))) for p in self.curve.get()] if kept and self.curve.exists() else []
+        points = [dict(zip(_CURVE, map(_value, p))) for p in zip(*[iter(now["curve"])] * len(_CURVE))] if kept else []
         out = (now["seq"], now["start"], end, now["start_battery"], now["end_battery"], now["energy"], now["peak"], now["here_lat"], now["here_lng"], now["here_name"], reason, now["cost_key"], points)
-        now.update(dict.fromkeys(_NAMES[_NAMES.index("start"):]))
-        self.curve.clear()
+        now.update(dict.fromkeys(_NAMES[_NAMES.index("start"):]), curve=[])
         return [out] if kept else []
 
     def _island(self, now: dict, c: dict[str, np.ndarray], a: int, b: int, carried: dict[str, np.ndarray]) -> None:
@@ -113,65 +108,70 @@ class ChargingProcessor(StatefulProcessor):
         some = has["energy_kwh"] | has["power_kw"] | has["rate_mph"]
         if some.any():
             columns = [own[k][some] for k in ("s", "power_kw", "energy_kwh", "rate_mph")] + [carried["battery"][a:b][some]]
-            self.curve.appendList([tuple(map(_value, row)) for row in zip(*(x.tolist() for x in columns))])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, out = self._load(), []
-        pdf = pd.concat(list(rows)).sort_values(["s", "pos"])
-        if now["last"] is not None:
-            pdf = pdf[pdf["s"] >= now["last"]]  # older than what has been seen
-        if len(pdf):
-            c = {k: pdf[k].to_numpy(float) for k in ("s", "energy_kwh", "power_kw", "rate_mph", "battery_pct", "lat", "lng")} | {k: pdf[k].to_numpy(object) for k in ("state", "raw_ts", "name")}
-            c["active"], terminal, c["told"] = np.isin(c["state"].astype(str), ACTIVE), np.isin(c["state"].astype(str), TERMINAL), pdf["name"].notna().to_numpy()
-            c["place"] = c["lat"] + c["lng"]
-            place, told = ~np.isnan(c["place"]), c["told"]
-            carried = {"battery": _forward(c["battery_pct"], ~np.isnan(c["battery_pct"]), now["battery"]), "lat": _forward(c["lat"], place, now["lat"]), "lng": _forward(c["lng"], place, now["lng"]), "at": _forward(c["s"], place, now["at"]),
-                       "name": _forward(c["name"], told, now["name"]), "named": _forward(c["s"], told, now["named"])}
-            pause = np.diff(c["s"], prepend=c["s"][0] if now["last"] is None else now["last"]) > self.gap_s
-            cuts = np.flatnonzero(pause | np.concatenate([[False], terminal[:-1]]))
-            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-                if a == b:
-                    continue
-                if pause[a] and now["start"] is not None:
-                    out += self._close(now, now["end"], "data-gap")
-                self._island(now, c, a, b, carried)
-                if terminal[b - 1] and now["start"] is not None:
-                    out += self._close(now, c["s"][b - 1], c["state"][b - 1])
-            now.update(last=c["s"][-1], **{k: _value(carried[k][-1]) for k in ("battery", "lat", "lng", "at", "name", "named")})
-        self._keep(now)
-        yield self._rows(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = self._load()
-        out = self._close(now, now["end"], "data-gap") if now["start"] is not None else []
-        self._keep(now)
-        yield self._rows(key, out)
-
-    def _keep(self, now: dict) -> None:
+            now["curve"] += np.column_stack(columns).ravel().tolist()
+
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A step of one vehicle: its new samples, or none at its time-out."""
+        held = state.get if state.exists else (*[None] * len(_NAMES), [])
+        now, out = dict(zip(_NAMES, map(_value, held))) | {"curve": list(held[-1])}, []
+        now["seq"] = now["seq"] or 0
+        if state.hasTimedOut:
+            out += self._close(now, now["end"], "data-gap") if now["start"] is not None else []
+        else:
+            out += self._add(now, list(parts))
+        over = None if now["start"] is None else int((now["last"] + self.gap_s) * 1000)
+        if over is not None and state.getCurrentWatermarkMs() > over:  # the pause has passed already
+            out += self._close(now, now["end"], "data-gap")
+            over = None
         plain = lambda x: None if x is None else x if isinstance(x, str) else int(x) if isinstance(x, (int, np.integer)) else float(x)
-        self.value.update(tuple(plain(now[k]) for k in _NAMES))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if now["start"] is not None:
-            self.handle.registerTimer(int((now["last"] + self.gap_s) * 1000) + 1)
-
-    def _rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *row) for row in out], columns=["vehicle_id", *(f.strip().split()[0] for f in SESSION.split(", curve")[0].split(",")), "curve"])
-
-    def close(self) -> None:
-        pass
+        state.update((*(plain(now[k]) for k in _NAMES), now["curve"]))
+        if over is not None:
+            state.setTimeoutTimestamp(max(1, over))
+        if out:
+            yield pd.DataFrame([(key[0], *row) for row in out], columns=_COLUMNS)
+
+    def _add(self, now: dict, parts: list[pd.DataFrame]) -> list[tuple]:
+        """The sessions that end with the samples."""
+        numbers = np.concatenate([np.stack(p["x"].to_numpy()).astype(float) for p in parts])
+        pos = np.concatenate([p["pos"].to_numpy(float) for p in parts])
+        order = np.lexsort((pos, numbers[:, 0]))
+        if now["last"] is not None:
+            order = order[numbers[order, 0] >= now["last"]]  # older than what has been seen
+        if not len(order):
+            return []
+        c = dict(zip(NUMBERS, numbers[order].T)) | {k: np.concatenate([p[k].to_numpy(object) for p in parts])[order] for k in ("state", "raw_ts", "name")}
+        c["active"], terminal = (np.array([x in kinds for x in c["state"]], bool) for kinds in (ACTIVE, TERMINAL))
+        c["told"] = ~pd.isna(c["name"])
+        c["place"] = c["lat"] + c["lng"]
+        place, told = ~np.isnan(c["place"]), c["told"]
+        carried = {"battery": _forward(c["battery_pct"], ~np.isnan(c["battery_pct"]), now["battery"]), "lat": _forward(c["lat"], place, now["lat"]), "lng": _forward(c["lng"], place, now["lng"]), "at": _forward(c["s"], place, now["at"]),
+                   "name": _forward(c["name"], told, now["name"]), "named": _forward(c["s"], told, now["named"])}
+        pause = np.diff(c["s"], prepend=c["s"][0] if now["last"] is None else now["last"]) > self.gap_s
+        cuts = np.flatnonzero(pause | np.concatenate([[False], terminal[:-1]]))
+        out: list[tuple] = []
+        for a, b in zip([0, *cuts], [*cuts, len(order)]):
+            if a == b:
+                continue
+            if pause[a] and now["start"] is not None:
+                out += self._close(now, now["end"], "data-gap")
+            self._island(now, c, a, b, carried)
+            if terminal[b - 1] and now["start"] is not None:
+                out += self._close(now, c["s"][b - 1], c["state"][b - 1])
+        now.update(last=c["s"][-1], **{k: _value(carried[k][-1]) for k in ("battery", "lat", "lng", "at", "name", "named")})
+        return out
 
 
 def stream_charging(samples: DataFrame, costs: DataFrame | None = None, tags: DataFrame | None = None, gap_s: float = 1800.0, sustained_s: float = 60.0, fallback_s: float = 900.0, delay: str = "1 hour") -> DataFrame:
     """Charging sessions as they end, with all columns of charging_sessions, their curve, and costs and tags from tables.
 
     Expects t (timestamp), s, pos, state, energy_kwh, power_kw, rate_mph, battery_pct, lat, lng, name, raw_ts. The state of a
-    vehicle is a row and the curve of its open session; a timer ends a session after the pause. Samples
-    count in order of time; older ones than were seen are dropped. Needs the RocksDB state store.
+    vehicle is a row with the curve of its open session; a time-out ends a session after the pause. Samples
+    count in order of time; older ones than were seen are dropped. The RocksDB state store keeps states off the heap.
     """
     kind = samples.schema["vehicle_id"].dataType.simpleString()
     processor = ChargingProcessor(gap_s, sustained_s, fallback_s)
-    out = samples.withWatermark("t", delay).groupBy("vehicle_id").transformWithStateInPandas(processor, f"vehicle_id {kind}, {SESSION}", "Append", "EventTime")
+    rows = samples.withWatermark("t", delay).select("vehicle_id", "t", "pos", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in NUMBERS)).alias("x"), "state", "raw_ts", "name")
+    out = rows.groupBy("vehicle_id").applyInPandasWithState(processor, f"vehicle_id {kind}, {SESSION}", f"{STATE}, curve array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     out = out.select(
         "vehicle_id", "session_no", F.concat(F.lit("charge-"), number_text(F.col("start_s")), F.lit("-"), F.col("session_no").cast("string")).alias("session_id"), "start_s", "end_s", F.greatest(F.col("end_s") - F.col("start_s"), F.lit(0.0)).alias("duration_s"),
         "start_battery", "end_battery", "energy_kwh", "peak_kw", "lat", "lng", "location_name", "end_reason", "cost_key", "curve")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import js_round
@@ -45,25 +45,37 @@ def park_segments(clips: DataFrame, park_s: float = 2.0, clip_ms: int = 60_000)
     part. Points are sliced by the rounded share of frames; a part without points
     vanishes. Expects vehicle_id, seq, t_ms, n_points, gear_runs array<struct<gear,frames>>; drive_id is passed on if there.
     """
+    return _parts(clips, park_s, clip_ms).drop("plain")
+
+
+def _parts(clips: DataFrame, park_s: float, clip_ms: int = 60_000, plain: bool = False) -> DataFrame:
+    """The rows of park_segments; with ``plain`` also each clip without gear runs as one part."""
     total = F.aggregate("gear_runs", F.lit(0.0), lambda a, r: a + r["frames"])
-    runs = clips.withColumn("total_frames", total).where("total_frames > 0")
+    whole_clip = F.lit(False) if not plain else F.col("gear_runs").isNull() | (F.size("gear_runs") == 0)
     also = [c for c in ("drive_id",) if c in clips.columns]
-    runs = runs.select("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", F.posexplode("gear_runs").alias("k", "run"))
-    clip = Window.partitionBy("vehicle_id", "seq").orderBy("k")
-    runs = runs.withColumns({
-        "end_frame": F.sum("run.frames").over(clip),
-        "parked": (F.coalesce(F.col("run.gear") == 0, F.lit(False))) & (F.col("run.frames") * 60.0 / F.col("total_frames") >= park_s),
-    }).withColumn("start_frame", F.col("end_frame") - F.col("run.frames"))
-    cut = F.col("parked") | F.coalesce(F.lag("parked").over(clip), F.lit(True))
-    runs = runs.withColumn("seg_no", F.sum(cut.cast("bigint")).over(clip))
-    segs = runs.groupBy("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", "seg_no").agg(
-        F.max("parked").alias("parked"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
+    none = F.array().cast("array<struct<parked:boolean,start_frame:double,end_frame:double>>")
+
+    def add(acc: Column, r: Column) -> Column:
+        """A run begins a part if it is a gap or follows one, else it lengthens the last part."""
+        parts, end = acc["parts"], acc["end"] + r["frames"]
+        parked = F.coalesce(r["gear"] == 0, F.lit(False)) & (r["frames"] * 60.0 / F.col("total_frames") >= park_s)
+        last = F.element_at(parts, -1)
+        new = F.struct(parked.alias("parked"), acc["end"].alias("start_frame"), end.alias("end_frame"))
+        longer = F.struct(last["parked"].alias("parked"), F.least(last["start_frame"], acc["end"]).alias("start_frame"), F.greatest(last["end_frame"], end).alias("end_frame"))
+        begins = (F.size(parts) == 0) | parked | F.coalesce(F.get(parts, F.size(parts) - 1)["parked"], F.lit(False))
+        return F.struct(end.alias("end"), F.when(begins, F.array_append(parts, new)).otherwise(F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(longer))).alias("parts"))
+
+    parts = F.aggregate("gear_runs", F.struct(F.lit(0.0).alias("end"), none.alias("parts")), add)["parts"]
+    one = F.array(F.struct(F.lit(False).alias("parked"), F.lit(0.0).alias("start_frame"), F.lit(1.0).alias("end_frame")))
+    runs = clips.withColumns({"plain": whole_clip, "total_frames": F.when(whole_clip, 1.0).otherwise(total)}).where("total_frames > 0")
+    segs = runs.select("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", "plain", F.posexplode(F.when(F.col("plain"), one).otherwise(parts)).alias("k", "part"))
+    segs = segs.select("vehicle_id", "seq", *also, "t_ms", "n_points", "total_frames", "plain", (F.col("k") + 1).cast("bigint").alias("seg_no"), "part.*")
     n = F.col("n_points").cast("double")
     whole = (F.col("start_frame") == 0) & (F.col("end_frame") == F.col("total_frames"))
     start = F.greatest(F.least(js_round(F.col("start_frame") / F.col("total_frames") * n), n - 1), F.lit(0.0))
     end = F.greatest(F.least(js_round(F.col("end_frame") / F.col("total_frames") * n), n), start + 1)
     segs = segs.withColumn("start_idx", F.when(whole, 0.0).otherwise(start)).withColumn("end_idx", F.when(whole, n).otherwise(end))
-    segs = segs.where(F.col("parked") | ((F.col("end_idx") <= n) & (n > 0)))
+    segs = segs.where(F.col("plain") | F.col("parked") | ((F.col("end_idx") <= n) & (n > 0)))
     shift = F.floor(F.col("start_frame") / F.col("total_frames") * clip_ms)
     return segs.withColumns({"start_idx": F.col("start_idx").cast("bigint"), "end_idx": F.col("end_idx").cast("bigint"), "seg_t_ms": (F.col("t_ms") + shift).cast("bigint")})
 
@@ -74,14 +86,15 @@ def park_splits(clips: DataFrame, park_s: float = 2.0, with_share: bool = False)
     Clips without gear runs pass whole. Expects the columns of park_segments and drive_id.
     ``with_share`` adds ``share``, the part's share of its clip's frames.
     """
-    plain = clips.where("gear_runs IS NULL OR size(gear_runs) = 0").select(
-        "vehicle_id", "seq", "drive_id", "t_ms", "n_points", F.lit(1).cast("bigint").alias("seg_no"), F.lit(False).alias("parked"),
-        F.lit(0).cast("bigint").alias("start_idx"), F.col("n_points").cast("bigint").alias("end_idx"), F.col("t_ms").alias("seg_t_ms"), F.lit(1.0).alias("share"))
-    segs = park_segments(clips, park_s).withColumn("share", (F.col("end_frame") - F.col("start_frame")) / F.col("total_frames")).select(*plain.columns).unionByName(plain)
+    segs = _parts(clips, park_s, plain=True).select(
+        "vehicle_id", "seq", "drive_id", "t_ms", "seg_no", "parked", "start_idx", "end_idx", "seg_t_ms", *([((F.col("end_frame") - F.col("start_frame")) / F.col("total_frames")).alias("share")] if with_share else []))
     order = Window.partitionBy("vehicle_id", "drive_id").orderBy("t_ms", "seq", "seg_no")
     segs = segs.withColumn("gaps", F.sum(F.col("parked").cast("bigint")).over(order)).where("NOT parked")
-    cut = F.dense_rank().over(Window.partitionBy("vehicle_id", "drive_id").orderBy("gaps"))
-    return segs.select("vehicle_id", "drive_id", cut.cast("bigint").alias("cut_drive"), "seq", "seg_no", "start_idx", "end_idx", "seg_t_ms", *(["share"] if with_share else []))
+    # the rank of the gaps, counted in the order that the rows have already
+    fresh = F.coalesce(F.col("gaps") != F.lag("gaps").over(order), F.lit(True))
+    segs = segs.withColumn("_new", fresh.cast("bigint"))
+    cut = F.sum("_new").over(order)
+    return segs.select("vehicle_id", "drive_id", cut.alias("cut_drive"), "seq", "seg_no", "start_idx", "end_idx", "seg_t_ms", *(["share"] if with_share else []))
 
 
 def legacy_park_split(clips: DataFrame) -> DataFrame:

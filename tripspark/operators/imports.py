@@ -120,19 +120,27 @@ def autopilot_percent(distance_mi: Column, assisted_mi: Column) -> Column:
 
 def api_points(points: DataFrame, drives: DataFrame) -> DataFrame:
     """Provider points (seconds or ms; mph) of each drive; a drive with fewer than two gets its summary ends, one with neither none."""
+    return _api_points(points, drives).drop("signature")
+
+
+def _api_points(points: DataFrame, drives: DataFrame, signature: Column | None = None) -> DataFrame:
+    """The rows of api_points with the drive's signature: one pass over a drive's points, so that they are shuffled once."""
     t = F.when(F.col("t") > 1e12, F.col("t")).otherwise(F.col("t") * 1000.0)
-    p = points.where("lat IS NOT NULL AND lng IS NOT NULL").select("vehicle_id", "drive_id", t.alias("t_ms"), "lat", "lng", (F.coalesce("speed_mph", F.lit(0.0)) * MPH_TO_MPS).alias("speed"))
-    enough = p.groupBy("vehicle_id", "drive_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
-    few = drives.join(enough, ["vehicle_id", "drive_id"], "left_anti").where("start_lat IS NOT NULL AND start_lng IS NOT NULL AND end_lat IS NOT NULL AND end_lng IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
-    end = lambda w: few.select("vehicle_id", "drive_id", F.col(f"{w}_ms").cast("double").alias("t_ms"), F.col(f"{w}_lat").alias("lat"), F.col(f"{w}_lng").alias("lng"), F.lit(0.0).alias("speed"))
-    usable = enough.unionByName(few.select("vehicle_id", "drive_id"))
-    return p.unionByName(end("start")).unionByName(end("end")).join(usable, ["vehicle_id", "drive_id"], "left_semi")
+    point = F.struct(t.cast("double").alias("t_ms"), "lat", "lng", (F.coalesce("speed_mph", F.lit(0.0)) * MPH_TO_MPS).alias("speed"))
+    p = points.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("vehicle_id", "drive_id").agg(F.collect_list(point).alias("_p"))
+    end = lambda w: F.struct(F.col(f"{w}_ms").cast("double").alias("t_ms"), F.col(f"{w}_lat").alias("lat"), F.col(f"{w}_lng").alias("lng"), F.lit(0.0).alias("speed"))
+    ends = "start_lat IS NOT NULL AND start_lng IS NOT NULL AND end_lat IS NOT NULL AND end_lng IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL"
+    d = drives.select("vehicle_id", "drive_id", F.when(F.expr(ends), F.array(end("start"), end("end"))).alias("_e"), (F.lit(None).cast("string") if signature is None else signature).alias("signature"))
+    few = F.concat(F.coalesce("_p", F.array().cast("array<struct<t_ms:double,lat:double,lng:double,speed:double>>")), F.col("_e"))
+    # a drive that is not listed has its points, but no signature
+    rows = d.join(p, ["vehicle_id", "drive_id"], "full" if signature is None else "left")
+    return rows.select("vehicle_id", "drive_id", "signature", F.explode(F.when(F.size("_p") >= 2, F.col("_p")).otherwise(few)).alias("x")).select("vehicle_id", "drive_id", "signature", "x.*")
 
 
 def api_drive_clips(points: DataFrame, drives: DataFrame, source: str) -> DataFrame:
     """Clips from provider drives. Expects drives with odometer_text (two decimals) for the signature."""
-    sig = drives.select("vehicle_id", "drive_id", external_signature(F.lit(source), F.coalesce("start_ms", F.lit(0)), F.col("odometer_text")).alias("signature"))
-    return minute_clips(api_points(points, drives).join(sig, ["vehicle_id", "drive_id"]), source)
+    signature = external_signature(F.lit(source), F.coalesce("start_ms", F.lit(0)), F.col("odometer_text"))
+    return minute_clips(_api_points(points, drives, signature), source)
 
 
 def skip_reasons(imports: DataFrame, states: DataFrame) -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import geodesic_m, heading, js_round, surely_within
-from tripspark.operators.helpers import by_length, whole_groups
+from tripspark.operators.helpers import by_length, changes, whole_groups, whole_tables
 
 DRIVE = ("vehicle_id", "drive_id")
 
@@ -157,6 +157,39 @@ def frame_flags(left: Column, right: Column, brake: Column, accel: Column) -> Co
     return (bit(left, 1) + bit(right, 2) + bit(brake, 4) + bit(accel > 0, 8)).cast("bigint")
 
 
+#: The columns that frames_to_clips gives to each clip beside its key.
+CLIP_COLUMNS = (
+    "frame_count bigint, park_count bigint, points array<array<double>>, gear_states array<{gear}>, ap_states array<{ap}>, speeds array<double>, accel_positions array<double>,"
+    " gear_runs array<struct<gear:{gear},frames:double>>, ap_runs array<struct<ap:{ap},frames:double>>, flag_runs array<struct<flags:{flags},frames:double,max_mps:double>>")
+
+
+def _clips_of(frames: pa.Table, starts: np.ndarray) -> pa.Table:
+    """The clips of ordered frames; ``starts``: where each of them begins."""
+    col = {c: pa.concat_arrays(frames[c].chunks) for c in frames.column_names}
+    first = np.zeros(len(frames), bool)
+    first[starts] = True
+    ends = np.append(starts, len(frames))
+    listed = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends), pa.int32()), values)
+    at = np.flatnonzero(first | changes(col["lat"]) | changes(col["lng"]))
+    place = np.stack([col[c].to_numpy(zero_copy_only=False)[at] for c in ("lat", "lng")], axis=1)
+    out = {c: col[c].take(pa.array(starts)) for c in ("vehicle_id", "seq")}
+    park = pc.fill_null(pc.equal(col["gear"], pa.scalar(0, col["gear"].type)), False).to_numpy(zero_copy_only=False)
+    out |= {"frame_count": np.diff(ends), "park_count": np.add.reduceat(park.astype(np.int64), starts)}
+    out["points"] = listed(at, pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(at) + 1, 2), pa.int32()), pa.array(place.ravel())))
+    out |= {name: listed(at, col[c].take(pa.array(at))) for name, c in (("gear_states", "gear"), ("ap_states", "ap"), ("speeds", "speed"), ("accel_positions", "accel"))}
+    for name, c in (("gear_runs", "gear"), ("ap_runs", "ap"), ("flag_runs", "flags")):
+        # a run lasts until the next one starts, the last one to the end of the clip
+        at = np.flatnonzero(first | changes(col[c]))
+        parts = {c: col[c].take(pa.array(at)), "frames": pa.array(np.diff(at, append=len(first)).astype(float))}
+        if c == "flags":
+            speed = np.where(col["speed"].is_null().to_numpy(zero_copy_only=False), -np.inf, np.abs(col["speed"].to_numpy(zero_copy_only=False)))
+            top = np.maximum.reduceat(speed, at) * 10.0
+            with np.errstate(invalid="ignore"):
+                parts["max_mps"] = pa.array((np.floor(top) + (top - np.floor(top) >= 0.5)) / 10.0, mask=top == -np.inf)
+        out[name] = listed(at, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+    return pa.table(out)
+
+
 def frames_to_clips(frames: DataFrame) -> DataFrame:
     """One row per clip from raw frames: counts, points, state arrays, runs of gear, mode and flags.
 
@@ -164,29 +197,22 @@ def frames_to_clips(frames: DataFrame) -> DataFrame:
     1e-6 degrees, speed to 0.1, pedal to 0.01; runs and counts are of all frames left,
     points of those that differ from the one before. Expects vehicle_id, seq, i, lat,
     lng, gear, ap, speed, accel, flags (see frame_flags).
+
+    Frames are shuffled and sorted once; their runs are found by a pass over the sorted
+    frames, those of many clips at once.
     """
     valid = "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND NOT (lat = 0 AND lng = 0) AND abs(lat) <= 90 AND abs(lng) <= 180"
-    r = lambda c, k: js_round(F.col(c) * k) / k
-    key, w = ["vehicle_id", "seq"], Window.partitionBy("vehicle_id", "seq").orderBy("i")
-    rows = frames.where(valid).withColumns({"lat": r("lat", 1e6), "lng": r("lng", 1e6), "speed": r("speed", 10.0), "accel": r("accel", 100.0), "_n": F.row_number().over(w)})
-    moved = lambda *cs: (F.col("_n") == 1) | ~reduce(and_, (F.col(c).eqNullSafe(F.lag(c).over(w)) for c in cs))
-    rows = rows.withColumns({"_point": moved("lat", "lng"), "_gear": moved("gear"), "_ap": moved("ap"), "_flags": moved("flags")})
-    rows = rows.withColumn("_run", F.sum(F.col("_flags").cast("int")).over(w))
-    rows = rows.withColumn("max_mps", js_round(F.max(F.abs("speed")).over(Window.partitionBy(*key, "_run")) * 10.0) / 10.0)
-    listed = lambda on, *cs: F.sort_array(F.collect_list(F.when(F.col(on), F.struct("_n", *cs))))
-    out = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("frame_count"), F.count_if(F.col("gear") == 0).alias("park_count"), listed("_point", "lat", "lng", "gear", "ap", "speed", "accel").alias("p"),
-        listed("_gear", "gear").alias("g"), listed("_ap", "ap").alias("a"), listed("_flags", "flags", "max_mps").alias("f"))
-
-    def runs(starts: str, value: str, *extra: str) -> Column:
-        """A run lasts until the next one starts, the last one to the end of the clip."""
-        until = lambda k: F.coalesce(F.get(starts, k + 1)["_n"], F.col("frame_count") + 1)
-        return F.transform(starts, lambda x, k: F.struct(x[value].alias(value), (until(k) - x["_n"]).cast("double").alias("frames"), *(x[c].alias(c) for c in extra)))
-
-    pick = lambda c: F.transform("p", lambda x: x[c])
-    return out.select(
-        *key, "frame_count", "park_count", F.transform("p", lambda x: F.array(x["lat"], x["lng"])).alias("points"), pick("gear").alias("gear_states"), pick("ap").alias("ap_states"),
-        pick("speed").alias("speeds"), pick("accel").alias("accel_positions"), runs("g", "gear").alias("gear_runs"), runs("a", "ap").alias("ap_runs"), runs("f", "flags", "max_mps").alias("flag_runs"))
+    r = lambda c, k: (js_round(F.col(c) * k) / k).cast("double").alias(c)
+    key = ["vehicle_id", "seq"]
+    rows = frames.where(valid).select(*key, "i", r("lat", 1e6), r("lng", 1e6), "gear", "ap", r("speed", 10.0), r("accel", 100.0), "flags")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_tables(batches, *key):
+            yield from _clips_of(table, starts).to_batches()
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "i").drop("i")
+    return ordered.mapInArrow(of, f"vehicle_id {kind['vehicle_id']}, seq {kind['seq']}, {CLIP_COLUMNS.format(**kind)}")
 
 
 def mode_segments(points: DataFrame) -> DataFrame:

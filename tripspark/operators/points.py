@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripspark.functions.scalars import geodesic_m, heading, js_round, surely_within
-from tripspark.operators.helpers import by_length, changes, whole_groups, whole_tables
+from tripspark.operators.helpers import by_length, changes, whole_groups
 
 DRIVE = ("vehicle_id", "drive_id")
 
@@ -163,18 +163,23 @@ CLIP_COLUMNS = (
     " gear_runs array<struct<gear:{gear},frames:double>>, ap_runs array<struct<ap:{ap},frames:double>>, flag_runs array<struct<flags:{flags},frames:double,max_mps:double>>")
 
 
-def _clips_of(frames: pa.Table, starts: np.ndarray) -> pa.Table:
-    """The clips of ordered frames; ``starts``: where each of them begins."""
-    col = {c: pa.concat_arrays(frames[c].chunks) for c in frames.column_names}
-    first = np.zeros(len(frames), bool)
+def _clips_of(clips: pa.RecordBatch) -> pa.RecordBatch:
+    """The clips of lists of frames, from any order."""
+    frames = pa.Table.from_struct_array(clips["frames"].flatten())
+    ends = np.append(0, np.cumsum(clips["frames"].value_lengths().to_numpy()))
+    starts, first = ends[:-1], np.zeros(len(frames), bool)
     first[starts] = True
-    ends = np.append(starts, len(frames))
+    i = frames["i"].to_numpy()
+    if frames["i"].null_count or ((i[1:] < i[:-1]) & ~first[1:]).any():
+        clip = pa.array(np.repeat(np.arange(len(starts)), np.diff(ends)))
+        frames = frames.take(pc.sort_indices(pa.table({"clip": clip, "i": frames["i"]}), sort_keys=[("clip", "ascending"), ("i", "ascending")], null_placement="at_start"))
+    col = {c: pa.concat_arrays(frames[c].chunks) for c in frames.column_names}
     listed = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends), pa.int32()), values)
     at = np.flatnonzero(first | changes(col["lat"]) | changes(col["lng"]))
     place = np.stack([col[c].to_numpy(zero_copy_only=False)[at] for c in ("lat", "lng")], axis=1)
-    out = {c: col[c].take(pa.array(starts)) for c in ("vehicle_id", "seq")}
+    out = {c: clips[c] for c in ("vehicle_id", "seq")}
     park = pc.fill_null(pc.equal(col["gear"], pa.scalar(0, col["gear"].type)), False).to_numpy(zero_copy_only=False)
-    out |= {"frame_count": np.diff(ends), "park_count": np.add.reduceat(park.astype(np.int64), starts)}
+    out |= {"frame_count": pa.array(np.diff(ends)), "park_count": pa.array(np.add.reduceat(park.astype(np.int64), starts))}
     out["points"] = listed(at, pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(at) + 1, 2), pa.int32()), pa.array(place.ravel())))
     out |= {name: listed(at, col[c].take(pa.array(at))) for name, c in (("gear_states", "gear"), ("ap_states", "ap"), ("speeds", "speed"), ("accel_positions", "accel"))}
     for name, c in (("gear_runs", "gear"), ("ap_runs", "ap"), ("flag_runs", "flags")):
@@ -187,7 +192,7 @@ def _clips_of(frames: pa.Table, starts: np.ndarray) -> pa.Table:
             with np.errstate(invalid="ignore"):
                 parts["max_mps"] = pa.array((np.floor(top) + (top - np.floor(top) >= 0.5)) / 10.0, mask=top == -np.inf)
         out[name] = listed(at, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
-    return pa.table(out)
+    return pa.RecordBatch.from_pydict(out)
 
 
 def frames_to_clips(frames: DataFrame) -> DataFrame:
@@ -198,21 +203,20 @@ def frames_to_clips(frames: DataFrame) -> DataFrame:
     points of those that differ from the one before. Expects vehicle_id, seq, i, lat,
     lng, gear, ap, speed, accel, flags (see frame_flags).
 
-    Frames are shuffled and sorted once; their runs are found by a pass over the sorted
-    frames, those of many clips at once.
+    Frames are gathered to a list per clip before they are shuffled, as far as they lie
+    together; runs are found in the lists of many clips at once.
     """
     valid = "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng) AND NOT (lat = 0 AND lng = 0) AND abs(lat) <= 90 AND abs(lng) <= 180"
     r = lambda c, k: (js_round(F.col(c) * k) / k).cast("double").alias(c)
     key = ["vehicle_id", "seq"]
-    rows = frames.where(valid).select(*key, "i", r("lat", 1e6), r("lng", 1e6), "gear", "ap", r("speed", 10.0), r("accel", 100.0), "flags")
+    rows = frames.where(valid).select(*key, F.struct("i", r("lat", 1e6), r("lng", 1e6), "gear", "ap", r("speed", 10.0), r("accel", 100.0), "flags").alias("f"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_tables(batches, *key):
-            yield from _clips_of(table, starts).to_batches()
+        yield from (_clips_of(clips) for clips in batches if clips.num_rows)
 
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    ordered = rows.repartition(*key).sortWithinPartitions(*key, "i").drop("i")
-    return ordered.mapInArrow(of, f"vehicle_id {kind['vehicle_id']}, seq {kind['seq']}, {CLIP_COLUMNS.format(**kind)}")
+    kind = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *rows.schema["f"].dataType.fields]}
+    lists = rows.groupBy(*key).agg(F.collect_list("f").alias("frames"))
+    return lists.mapInArrow(of, f"vehicle_id {kind['vehicle_id']}, seq {kind['seq']}, {CLIP_COLUMNS.format(**kind)}")
 
 
 def mode_segments(points: DataFrame) -> DataFrame:

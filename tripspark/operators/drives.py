@@ -2,9 +2,9 @@
 
 What makes a drive is settled on slim rows of clips that lie by vehicle: one
 shuffle, then windows and filters only. The arrays of points are shuffled
-to the parts that the drives are made of and on to their drives, as arrays, and
-taken apart there; every measure of a drive's points is then taken where the
-points lie.
+to the parts that the drives are made of, once, as arrays, and taken apart there;
+every measure of a drive's points is then taken where the points lie, in one
+pass, and the points are written nowhere.
 """
 
 from __future__ import annotations
@@ -64,10 +64,12 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000,
     """
     key = ("vehicle_id", "window_id") if spread else ("vehicle_id",)
     slim = clips.where("path IS NOT NULL AND t_ms IS NOT NULL").select(
-        "vehicle_id", "seq", "path", "is_event", "t_ms", "source", "external_signature", F.col("path").contains(BRIDGE).alias("is_bridge"), F.size("points").cast("double").alias("n"), "gear_runs",
+        "vehicle_id", "seq", "path", "t_ms", "source", "external_signature", F.col("path").contains(BRIDGE).alias("is_bridge"), F.size("points").cast("double").alias("n"), "gear_runs",
         (F.size(F.filter("gear_states", lambda g: g == 0)) > F.size("gear_states") / 2.0).alias("by_states"), _some("gear_states").alias("has_states"), F.col("raw_park_count").alias("park_count"), F.col("raw_frame_count").alias("frame_count"),
-        C.clip_has_driving(F.col("gear_runs"), F.col("gear_states"), F.col("raw_park_count"), F.col("raw_frame_count"), F.col("speeds")).alias("driving"))
+        # ordinary clips, event clips with driving and those without, which fill no hole: one column, so that both of the next step's readers share the shuffle
+        F.when(~F.col("is_event"), 0).when(F.col("is_event") & C.clip_has_driving(F.col("gear_runs"), F.col("gear_states"), F.col("raw_park_count"), F.col("raw_frame_count"), F.col("speeds")), 1).alias("_kind"))
     once = sessions.time_windows(C.dedup_clips(slim), spread=True).repartition(*key) if spread else C.dedup_clips(slim.repartition(*key))
+    once = once.where("_kind IS NOT NULL").withColumns({"is_event": F.col("_kind") == 1, "driving": F.lit(True)}).drop("_kind")
     rows = C.clip_spans(holes.fill_holes(once, key=key), key=key)
     vehicle, drive = Window.partitionBy(*key), Window.partitionBy(*key, "drive_id")
     pause = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(vehicle.orderBy("t_ms", "seq")) > gap_ms, F.lit(True))
@@ -96,54 +98,90 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000,
                        F.col("s").alias("start_frame"), F.col("e").alias("end_frame"), F.when(F.col("s").isNotNull(), F.col("total_frames")).alias("total_frames"))
 
 
+def _with_clips(parts: DataFrame, clips: DataFrame, spread: bool = False) -> DataFrame:
+    """``parts`` with the other columns of their clips; the parts of a drive lie together.
+
+    Clips and parts are shuffled once, by vehicle, and lie so for all that is worked out per drive: a
+    clip comes before its parts and hands its columns on to them. ``spread``: they are joined by clip
+    and shuffled again by drive, so that a heavy vehicle is no single task's.
+    """
+    if spread:
+        return parts.join(clips, ["vehicle_id", "seq"]).repartition(*DRIVE)
+    own = [c for c in parts.columns if c not in ("vehicle_id", "seq")]
+    rows = clips.select("vehicle_id", "seq", F.struct(*(c for c in clips.columns if c not in ("vehicle_id", "seq"))).alias("_c"))
+    rows = parts.unionByName(rows, allowMissingColumns=True).repartition("vehicle_id")
+    clip = Window.partitionBy("vehicle_id", "seq").orderBy(F.asc_nulls_first("part")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_c", F.first("_c", ignorenulls=True).over(clip)).where("part IS NOT NULL AND _c IS NOT NULL")
+    return rows.select("vehicle_id", "seq", *own, "_c.*")
+
+
 def _odd_parts(parts: DataFrame, jump_m: float = 5000.0, far_m: float = 900_000.0) -> DataFrame:
     """``odd``: a drive in which some point may be junk, told from the boxes of its parts: only those need the filters of points."""
-    lat, lng = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
-    parts = parts.withColumns({"_s": F.array_min(lat), "_n": F.array_max(lat), "_w": F.array_min(lng), "_e": F.array_max(lng), "_a": F.get("points", F.lit(0)), "_z": F.try_element_at("points", F.lit(-1))})
+    ends = {k: F.struct(*(x.alias(n) for n, x in (("lat", of("lats")), ("lng", of("lngs"))))) for k, of in (("_a", lambda c: F.get(c, F.lit(0))), ("_z", lambda c: F.try_element_at(c, F.lit(-1))))}
+    parts = parts.withColumns({"_s": F.array_min("lats"), "_n": F.array_max("lats"), "_w": F.array_min("lngs"), "_e": F.array_max("lngs"), **{k: F.when(F.size("lats") > 0, v) for k, v in ends.items()}})
     drive = Window.partitionBy(*DRIVE)
     wide = lambda a, b, c, d, m: (F.abs(F.col(b) - F.col(a)) + F.abs(F.col(d) - F.col(c))) * 112_000.0 > m
     before = F.last("_z", ignorenulls=True).over(drive.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("_b", before)
-    step = (F.abs(F.col("_a")[0] - F.col("_b")[0]) + F.abs(F.col("_a")[1] - F.col("_b")[1])) * 112_000.0 > jump_m
-    junk = wide("_s", "_n", "_w", "_e", jump_m) | F.coalesce(step, F.lit(False)) | ((F.col("_s") < 1) & (F.col("_n") > -1) & (F.col("_w") < 1) & (F.col("_e") > -1)) | F.exists("points", lambda p: (p[0] + p[1]).isNull())
-    known = F.coalesce(junk, F.size("points") > 0)
+    step = (F.abs(F.col("_a.lat") - F.col("_b.lat")) + F.abs(F.col("_a.lng") - F.col("_b.lng"))) * 112_000.0 > jump_m
+    absent = F.exists("lats", lambda x: x.isNull()) | F.exists("lngs", lambda x: x.isNull())
+    junk = wide("_s", "_n", "_w", "_e", jump_m) | F.coalesce(step, F.lit(False)) | ((F.col("_s") < 1) & (F.col("_n") > -1) & (F.col("_w") < 1) & (F.col("_e") > -1)) | absent
+    known = F.coalesce(junk, F.size("lats") > 0)
     parts = parts.withColumns({"_s": F.min("_s").over(drive), "_n": F.max("_n").over(drive), "_w": F.min("_w").over(drive), "_e": F.max("_e").over(drive), "odd": F.max(known).over(drive)})
     return parts.withColumn("odd", F.col("odd") | F.coalesce(wide("_s", "_n", "_w", "_e", far_m), F.lit(False))).drop("_s", "_n", "_w", "_e", "_a", "_z", "_b")
 
 
-def drive_points(clips: DataFrame, parts: DataFrame) -> DataFrame:
-    """The points of the drives, numbered (idx) in order: vehicle_id, drive_id, idx, seq, lat, lng, t_ms, gear, ap, speed, accel, evidence, and the columns of measured_points. Junk and outliers are gone.
+def drive_points(clips: DataFrame, parts: DataFrame, spread: bool = False) -> DataFrame:
+    """The points of the drives, numbered (idx) in order: vehicle_id, drive_id, idx, seq, lat, lng, t_ms, gear, ap, speed, accel, evidence, and the columns of measured_points. Junk and outliers are gone."""
+    even, odd = _points(clips, parts, spread)
+    return even.unionByName(odd)
+
 
-    The arrays of clips are shuffled to the parts cut from them, and the parts' arrays to their
-    drives; nothing is shuffled point by point. evidence: 1 if the clip has gears, plus 2 if it has speeds.
+def _points(clips: DataFrame, parts: DataFrame, spread: bool) -> tuple[DataFrame, DataFrame]:
+    """drive_points in two: of drives that need no filter of points, and of the others.
+
+    The arrays of clips are shuffled to the parts cut from them and taken apart where they lie
+    (``_with_clips``); nothing is shuffled point by point. evidence: 1 if the clip has gears, plus 2 if it has speeds.
     """
-    of = parts.join(clips.select("vehicle_id", "seq", *ARRAYS), ["vehicle_id", "seq"])
+    # two arrays of numbers are fewer bytes than one of pairs
+    slim = clips.select("vehicle_id", "seq", F.transform("points", lambda p: F.get(p, F.lit(0))).alias("lats"), F.transform("points", lambda p: F.get(p, F.lit(1))).alias("lngs"), *ARRAYS[1:])
+    arrays = slim.columns[2:]
     n = F.greatest(F.col("end_idx") - F.col("start_idx"), F.lit(0))
-    of = of.select(*DRIVE, "part", "seq", F.col("seg_t_ms").alias("t_ms"), "part_ms", *(F.slice(c, F.col("start_idx") + 1, n).alias(c) for c in ARRAYS)).repartition(*DRIVE)
-    first = F.coalesce(F.sum(F.size("points")).over(Window.partitionBy(*DRIVE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of = _with_clips(parts.select(*DRIVE, "seq", "part", "seg_t_ms", "part_ms", "start_idx", "end_idx"), slim, spread)
+    of = of.select(*DRIVE, "part", "seq", F.col("seg_t_ms").alias("t_ms"), "part_ms", *(F.slice(c, F.col("start_idx") + 1, n).alias(c) for c in arrays))
+    first = F.coalesce(F.sum(F.size("lats")).over(Window.partitionBy(*DRIVE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     of = _odd_parts(of.withColumn("first", first))
 
     def apart(rows: DataFrame) -> DataFrame:
-        rows = P.interpolate_point_times(rows.drop("odd"), span="part_ms")
-        evidence = F.when(F.col("gear").isNotNull(), 1).otherwise(0) + F.when(F.col("speed").isNotNull(), 2).otherwise(0)
-        zero = {c: F.coalesce(c, F.lit(0)) for c in ("gear", "ap")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("speed", "accel")}
-        return rows.select(*DRIVE, (F.col("first") + F.col("i")).cast("bigint").alias("idx"), "seq", "lat", "lng", F.col("time_ms").alias("t_ms"), *(v.alias(k) for k, v in zero.items()), evidence.alias("evidence"))
+        # states count only if they are as many as the points
+        rows = rows.withColumns({c: F.when(F.size(c) == F.size("lats"), F.col(c)) for c in arrays[2:]}).withColumn("n", F.size("lats"))
+        rows = rows.select("*", F.posexplode("lats").alias("i", "lat"))
+        time = F.col("t_ms") + F.when(F.col("n") > 1, F.col("part_ms") * F.col("i") / (F.col("n") - 1)).otherwise(0.0)
+        own = {k: F.get(c, F.col("i")) for k, c in zip(("gear", "ap", "speed", "accel"), arrays[2:])}
+        evidence = F.when(own["gear"].isNotNull(), 1).otherwise(0) + F.when(own["speed"].isNotNull(), 2).otherwise(0)
+        zero = {c: F.coalesce(own[c], F.lit(0)) for c in ("gear", "ap")} | {c: F.coalesce(own[c], F.lit(0.0)) for c in ("speed", "accel")}
+        return rows.select(*DRIVE, (F.col("first") + F.col("i")).cast("bigint").alias("idx"), "seq", "lat", F.get("lngs", F.col("i")).alias("lng"), time.alias("t_ms"), *(v.alias(k) for k, v in zero.items()), evidence.alias("evidence"))
 
     even, odd = apart(of.where("NOT odd")), apart(of.where("odd"))
     odd = P.jump_filter(P.median_cluster_filter(P.drop_null_island(odd)))
-    return measure.measured_points(even).unionByName(measure.measured_points(odd))
+    return measure.measured_points(even), measure.measured_points(odd)
+
+
+def drive_figures(clips: DataFrame, parts: DataFrame, spread: bool = False) -> DataFrame:
+    """drive_measures and, as ``start_place`` and ``end_place``, both ends of each drive, in one pass over its points.
+
+    The points near the ends are gathered with the measures and go no further than the places found among them.
+    Both kinds of drives are measured before they are put together, as a union keeps no partitioning.
+    """
+    even, odd = (_figures(p) for p in _points(clips, parts, spread))
+    return even.unionByName(odd)
 
 
-def drive_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
-    """The rows of endpoint_window: those within 30 s of a drive's first or last point, up to the first that is not."""
-    drive, order = Window.partitionBy(*DRIVE), P.by_point()
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = points.select(*DRIVE, "idx", "lat", "lng", "t_ms", F.when(F.col("evidence").bitwiseAND(F.lit(1)) != 0, F.col("gear")).alias("gear"), F.when(F.col("evidence").bitwiseAND(F.lit(2)) != 0, F.col("speed")).alias("speed"))
-    rows = rows.withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(drive), "_a": F.first("t_ms").over(whole), "_z": F.last("t_ms").over(whole)})
-    near = lambda which, t, k: F.when((F.abs(F.col("t_ms") - F.col(t)) <= window_ms) & (k < most), F.struct(F.lit(which).alias("which"), k.cast("bigint").alias("k")))
-    ends = rows.select(*DRIVE, "lat", "lng", "t_ms", "gear", "speed", F.explode(F.array_compact(F.array(near("start", "_a", F.col("k")), near("end", "_z", F.col("n") - 1 - F.col("k"))))).alias("w")).select("*", "w.*").drop("w")
-    # one outside the window ends it: from there on the numbers run ahead of the rows
-    return ends.withColumn("_r", F.row_number().over(Window.partitionBy(*DRIVE, "which").orderBy("k")) - 1).where("_r = k").drop("_r")
+def _figures(points: DataFrame) -> DataFrame:
+    rows = endpoints.marked_ends(points)
+    known = lambda bit, c: F.when(F.col("evidence").bitwiseAND(F.lit(bit)) != 0, F.col(c)).cast("double").alias(c)
+    near = F.struct("_k", "_start", "_end", "lat", "lng", F.col("t_ms").cast("double").alias("t_ms"), known(1, "gear"), known(2, "speed"))
+    return endpoints.places_of_ends(measure.drive_measures(rows, gather=F.when(F.col("_start") | F.col("_end"), near)), "gathered")
 
 
 def _clip_rows(clips: DataFrame) -> DataFrame:
@@ -153,9 +191,9 @@ def _clip_rows(clips: DataFrame) -> DataFrame:
     return c.select("vehicle_id", F.col("seq"), "path", "date", "source", "external_signature", "imported_ap_pct", "raw_frame_count", "flag_runs", "ap_runs", "gear_runs", *(F.col(f"telemetry.{v}").alias(k) for k, v in TELEMETRY.items()))
 
 
-def clip_measures(clips: DataFrame, parts: DataFrame) -> DataFrame:
+def clip_measures(clips: DataFrame, parts: DataFrame, spread: bool = False) -> DataFrame:
     """Per drive what comes from its clips: times, files, source, signature, date, telemetry, evidence of summon."""
-    rows = parts.join(_clip_rows(clips), ["vehicle_id", "seq"])
+    rows = _with_clips(parts, _clip_rows(clips), spread)
     flagged = F.aggregate("flag_runs", F.lit(0.0), lambda a, r: a + r["frames"])
     total = F.coalesce("total_frames", F.when(F.col("raw_frame_count") > 0, F.col("raw_frame_count")), flagged, F.lit(0.0))
     rows = rows.withColumns({"total_frames": total, "start_frame": F.coalesce("start_frame", F.lit(0.0)), "start_ms": F.col("seg_t_ms"), "end_ms": F.col("seg_t_ms") + F.col("part_ms")})
@@ -182,24 +220,22 @@ def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "
     without assist figures), telemetry, files, source, import signature, both ends with
     their accuracy, tags (of ``tags``: vehicle_id, start_time, tags) and whether a gap was bridged.
     Imported drives that overlap a recorded one are in ``hidden`` instead. A drive without
-    points left has its clips' figures and no others (0). Parts and points feed all measures,
-    so each is worked out once and cut off in the shared checkpoint folder.
+    points left has its clips' figures and no others (0). Parts and drives feed all that follows, so they are
+    worked out once and cut off in the shared checkpoint folder. Points are many times as large and are not
+    written: one pass takes all of a drive's figures from them. Who reads points or events has them worked out again.
 
     events: disengagement and accel_push with their places, none of summon drives.
     ``spread`` as in drive_parts.
     """
     shared_folder(clips.sparkSession)
     parts = drive_parts(clips, spread=spread).checkpoint()
-    points = drive_points(clips, parts).checkpoint()
-    out = clip_measures(clips, parts).join(measure.drive_measures(points), list(DRIVE), "left").withColumn("has_speeds", F.coalesce("has_speeds", F.lit(False)))
+    points = drive_points(clips, parts, spread)
+    out = clip_measures(clips, parts, spread).join(drive_figures(clips, parts, spread), list(DRIVE), "left").withColumn("has_speeds", F.coalesce("has_speeds", F.lit(False)))
     out = out.withColumn("summon", summon.is_summoned()).drop(*EVIDENCE)
     figures = [c for c in out.columns if c.startswith(("fsd_", "autosteer_", "tacc_", "assisted_", "avg_", "max_", "distance_", "point_")) or c in ("disengagements", "accel_pushes")]
     out = summon.without_summon_metrics(out.na.fill(0, figures))
     local = lambda c: F.date_format(F.from_utc_timestamp(F.timestamp_millis(F.col(c)), tz), "yyyy-MM-dd'T'HH:mm:ss")
     out = out.withColumns({"start_time": local("start_ms"), "end_time": local("end_ms")})
-    snapped = endpoints.snap_ends(drive_ends(points))
-    end = {w: F.max(F.when(F.col("which") == w, F.struct("lat", "lng", "accuracy_m", "samples", "stationary"))).alias(f"{w}_place") for w in ("start", "end")}
-    out = out.join(snapped.groupBy(*DRIVE).agg(*end.values()), list(DRIVE), "left")
     out = merge.attach_drive_tags(out, tags) if tags is not None else out.withColumn("tags", F.array().cast("array<string>"))
     out = out.checkpoint()  # a row per drive, for three readers
     hidden = imports.hidden_imports(out)

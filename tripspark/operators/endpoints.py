@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tripspark.operators.helpers import by_length, whole_groups
 from tripspark.operators.points import DRIVE, geodesic_np
 
 
-def _near_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
-    """The points up to ``most`` and within 30 s of either end of their drive, with ``_k`` and ``_n`` of the drive, and whether they belong to the ``_start`` and to the ``_end``.
+def marked_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
+    """``points`` with ``_k`` and ``_n`` of the drive, and whether they belong to the ``_start`` and to the ``_end``: up to ``most`` points within 30 s.
 
     The first point beyond 30 s and the last one bound the windows of both ends, so one order of the points does for both.
     """
@@ -27,7 +31,12 @@ def _near_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> D
     rows = rows.withColumns({"_until": F.min(beyond("_first")).over(drive), "_from": F.max(beyond("_last")).over(drive)})
     start = (F.col("_k") < most) & F.coalesce(F.col("_k") < F.col("_until"), F.lit(True))
     end = (F.col("_n") - 1 - F.col("_k") < most) & F.coalesce(F.col("_k") > F.col("_from"), F.lit(True))
-    return rows.withColumns({"_start": start, "_end": end}).where("_start OR _end").select(*points.columns, "_k", "_n", "_start", "_end")
+    return rows.withColumns({"_start": start, "_end": end}).select(*points.columns, "_k", "_n", "_start", "_end")
+
+
+def _near_ends(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
+    """Of ``marked_ends`` the points of either end."""
+    return marked_ends(points, window_ms, most).where("_start OR _end")
 
 
 def endpoint_window(points: DataFrame, window_ms: int = 30_000, most: int = 600) -> DataFrame:
@@ -111,6 +120,43 @@ def snap_ends(ends: DataFrame) -> DataFrame:
     return ordered.mapInPandas(of, _snap_schema(ends))
 
 
+PLACE = "struct<lat:double,lng:double,accuracy_m:double,samples:bigint,stationary:boolean>"
+
+
+def places_of_ends(drives: DataFrame, gathered: str) -> DataFrame:
+    """Rows of drives with ``start_place`` and ``end_place`` (as of endpoint_snap) instead of ``gathered``, the array of a drive's points near its ends.
+
+    Its elements are _k, _start, _end (of marked_ends), lat, lng, t_ms, gear, speed (doubles), in any order. Arrow data of many drives at once.
+    """
+    rest = [f for f in drives.schema.fields if f.name != gathered]
+    kept = [f.name for f in rest]
+    schema = T.StructType([*rest, *(T.StructField(c, T.StructType.fromDDL(PLACE)) for c in ("start_place", "end_place"))])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(schema["start_place"].dataType)
+        for batch in batches:
+            lists = batch.column(gathered)
+            points = lists.flatten()
+            drive = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            cols = {f.name: points.field(f.name).to_numpy(zero_copy_only=False) for f in points.type}
+            order = np.lexsort((cols["_k"], drive))
+            drive, cols = drive[order], {c: v[order] for c, v in cols.items()}
+            places = []
+            for which, step in (("_start", 1), ("_end", -1)):
+                own = np.flatnonzero(cols[which])[::step]
+                values, known = [np.zeros(batch.num_rows, t) for t in (float, float, float, np.int64, bool)], np.zeros(batch.num_rows, bool)
+                for at in by_length(np.flatnonzero(np.diff(drive[own], prepend=-1)), len(own)):
+                    at = own[at]
+                    row = drive[at[:, 0]]
+                    for v, found in zip(values, _snap({c: cols[c][at] for c in ("lat", "lng", "t_ms", "gear", "speed")})):
+                        v[row] = found
+                    known[row] = True
+                places.append(pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, kind)], fields=list(kind), mask=pa.array(~known)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *places], names=schema.names)
+
+    return drives.mapInArrow(of, schema)
+
+
 # ---- headings
 
 #: Metres between two places that tell a direction, m/s of a moving car, points that a window may reach to either side.

@@ -45,10 +45,11 @@ def measured_points(points: DataFrame, wait_ms: int = 3000) -> DataFrame:
     return rows.select(*points.columns, "d_m", "dt_ms", "left", "stretch", "pending_ms", F.coalesce(push, F.lit(False)).alias("push"))
 
 
-def drive_measures(measured: DataFrame, park_ms: int = 2000, recorded_max: float = 100.0, derived_max: float = 70.0) -> DataFrame:
+def drive_measures(measured: DataFrame, park_ms: int = 2000, recorded_max: float = 100.0, derived_max: float = 70.0, gather: Column | None = None) -> DataFrame:
     """Per drive: first and last point time, points, distances, speeds, assist by mode, disengagements, accel_pushes, has_speeds, max_speed_mps.
 
     The rules are those of drive_stats, assist_distance_time, disengagement_events and accel_push_events.
+    ``gather``: what of a row comes along in an array ``gathered``, in no order; null for most rows.
     """
     inner, recorded = F.col("d_m").isNotNull(), F.abs("speed")
     step = F.col("d_m") / (F.col("dt_ms") / 1000.0)
@@ -60,7 +61,9 @@ def drive_measures(measured: DataFrame, park_ms: int = 2000, recorded_max: float
     for name, here in own.items():
         sums |= {f"{name}_t": F.when(here, F.col("dt_ms")), f"{name}_m": F.when(here, F.col("d_m"))}
     tops = {"rec_x": F.col("_rec"), "der_x": F.col("_der"), "any": (F.coalesce(F.col("speed"), F.lit(0.0)) != 0).cast("int"), "last": F.struct("idx", "gear"), "to_ms": F.col("t_ms")}
+    lists = [] if gather is None else [F.collect_list(gather).alias("gathered")]
     part = measured.withColumns({"_rec": rec, "_der": der}).groupBy(*DRIVE, "stretch").agg(
+        *lists,
         F.min("t_ms").alias("from_ms"), F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(k) for k, v in sums.items()), *(F.max(v).alias(k) for k, v in tops.items()),
         F.min(F.when(after & (F.col("gear") == PARK) & (since <= park_ms), F.col("idx"))).alias("parked"),
         F.min(F.when(after & ((since > park_ms) | (F.col("ap") == FSD)), F.col("idx"))).alias("over"))
@@ -68,6 +71,7 @@ def drive_measures(measured: DataFrame, park_ms: int = 2000, recorded_max: float
     cancelled = F.col("parked").isNotNull() & (F.col("over").isNull() | (F.col("parked") <= F.col("over")))
     pending = F.col("stretch") > 0
     g = part.groupBy(*DRIVE).agg(
+        *(F.flatten(F.collect_list("gathered")).alias("gathered") for _ in lists),
         F.min("from_ms").alias("from_ms"), F.sum("n").alias("point_count"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums), *(F.max(k).alias(k) for k in tops),
         F.count_if(pending & ~open_ & ~cancelled).alias("settled"), F.count_if(pending & open_).alias("open"))
     pick = lambda a, b: F.coalesce(F.when(F.col("any") == 1, a).otherwise(b), F.lit(0.0))
@@ -82,4 +86,4 @@ def drive_measures(measured: DataFrame, park_ms: int = 2000, recorded_max: float
                 round2(F.col(f"{name}_m") / M_PER_MILE).alias(f"{name}_distance_mi"), percent_of(F.col(f"{name}_m"), F.col("m")).alias(f"{name}_percent")]
     # the last disengagement may be open at the end of the drive
     disengaged = F.col("settled") + F.when(F.col("last.gear") != PARK, F.col("open")).otherwise(F.lit(0))
-    return g.select(*DRIVE, *out, percent_of(F.col("am"), F.col("m")).alias("assisted_percent"), disengaged.alias("disengagements"), F.col("accel_pushes"))
+    return g.select(*DRIVE, *out, percent_of(F.col("am"), F.col("m")).alias("assisted_percent"), disengaged.alias("disengagements"), F.col("accel_pushes"), *("gathered" for _ in lists))

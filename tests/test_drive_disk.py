@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripspark.operators import drives, endpoints
+from tripspark.operators import drives, endpoints, incremental
 from tripspark.operators.points import DRIVE
 from tripspark.plans import drive_queries
 from helpers import SF
@@ -42,3 +42,18 @@ def test_a_spread_run_has_the_same_figures(spark, clips):
     listed = [drives.clips_to_drives(clips, spread=s)["drives"].drop("drive_id") for s in (False, True)]
     rows = [sorted(map(repr, df.collect())) for df in listed]
     assert rows[0] == rows[1] and len(rows[0]) > 300
+
+
+def test_batches_join_slim_rows_and_take_a_clip_once(spark, clips, tmp_path, monkeypatch):
+    met, plain = [], incremental.points_in_spans
+    monkeypatch.setattr(incremental, "points_in_spans", lambda points, *a: met.append(points.columns) or plain(points, *a))
+    monkeypatch.setattr(incremental.clips_of, "__defaults__", (0,))  # the way of many clips
+    own = clips.where("vehicle_id < 4 AND seq < 1000000000").localCheckpoint()
+    # some clips come twice, under their numbers, then clips beside them
+    for batch in (own.where("seq % 5 <> 2"), own.where("seq % 4 = 1 AND seq % 5 <> 2"), own.where("seq % 5 = 2")):
+        incremental.add_clips(f"{tmp_path}/store", batch)
+    now = incremental.current_drives(spark, f"{tmp_path}/store").drop("window_ms", "batch")
+    want = drives.clips_to_drives(own)["drives"].drop("drive_id")
+    rows = [sorted(map(repr, df.select(*sorted(want.columns)).collect())) for df in (now, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 20
+    assert met and not any({"points", "gear_runs", "speeds"} & set(c) for c in met)

@@ -49,7 +49,7 @@ def gear_segments(park_s: float = 2.0) -> Column:
     return F.aggregate("gear_runs", F.struct(F.lit(0.0).alias("p"), empty.alias("o")), step)["o"]
 
 
-def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000, spread: bool = False) -> DataFrame:
+def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000, spread: bool = False, only: DataFrame | None = None) -> DataFrame:
     """The parts of clips that make up the drives, in the order of time: vehicle_id, drive_id, part, seq, start_idx, end_idx, seg_t_ms, part_ms, start_frame, end_frame, total_frames.
 
     Clips without path or time are dropped; of one file the first clip stays; event
@@ -60,7 +60,7 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000,
 
     ``spread``: rows lie by vehicle and work window instead, windows being told by a scan that
     spreads a heavy vehicle over tasks. Drives are the same; their numbers rise in time but
-    leave room (window times 2^20) instead of being dense.
+    leave room (window times 2^20) instead of being dense. ``only`` as in clips_to_drives.
     """
     key = ("vehicle_id", "window_id") if spread else ("vehicle_id",)
     slim = clips.where("path IS NOT NULL AND t_ms IS NOT NULL").select(
@@ -68,6 +68,7 @@ def drive_parts(clips: DataFrame, clip_ms: int = 60_000, gap_ms: int = 300_000,
         (F.size(F.filter("gear_states", lambda g: g == 0)) > F.size("gear_states") / 2.0).alias("by_states"), _some("gear_states").alias("has_states"), F.col("raw_park_count").alias("park_count"), F.col("raw_frame_count").alias("frame_count"),
         # ordinary clips, event clips with driving and those without, which fill no hole: one column, so that both of the next step's readers share the shuffle
         F.when(~F.col("is_event"), 0).when(F.col("is_event") & C.clip_has_driving(F.col("gear_runs"), F.col("gear_states"), F.col("raw_park_count"), F.col("raw_frame_count"), F.col("speeds")), 1).alias("_kind"))
+    slim = slim if only is None else slim.join(only.distinct(), ["vehicle_id", "seq"])
     once = sessions.time_windows(C.dedup_clips(slim), spread=True).repartition(*key) if spread else C.dedup_clips(slim.repartition(*key))
     once = once.where("_kind IS NOT NULL").withColumns({"is_event": F.col("_kind") == 1, "driving": F.lit(True)}).drop("_kind")
     rows = C.clip_spans(holes.fill_holes(once, key=key), key=key)
@@ -212,7 +213,7 @@ def clip_measures(clips: DataFrame, parts: DataFrame, spread: bool = False) -> D
 EVIDENCE = ("shape_ok", "timed", "nominal", "sp", "top", "exact", "pedal", "h0", "h1", "p0", "p1", "modes_ok", "has_modes", "fsd", "other", "total", "has_speeds", "max_speed_mps", "from_ms", "to_ms")
 
 
-def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "UTC", spread: bool = False) -> dict[str, DataFrame]:
+def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "UTC", spread: bool = False, only: DataFrame | None = None) -> dict[str, DataFrame]:
     """drives, hidden, points, parts and events of the clips that read_drive_data or read_routes give.
 
     drives: a row per drive: times (ms and local text), distances, speeds, assisted distance
@@ -225,10 +226,10 @@ def clips_to_drives(clips: DataFrame, tags: DataFrame | None = None, tz: str = "
     written: one pass takes all of a drive's figures from them. Who reads points or events has them worked out again.
 
     events: disengagement and accel_push with their places, none of summon drives.
-    ``spread`` as in drive_parts.
+    ``spread`` as in drive_parts. ``only``: (vehicle_id, seq) of the clips that count; the others need not be taken out of ``clips`` before.
     """
     shared_folder(clips.sparkSession)
-    parts = drive_parts(clips, spread=spread).checkpoint()
+    parts = drive_parts(clips, spread=spread, only=only).checkpoint()
     points = drive_points(clips, parts, spread)
     out = clip_measures(clips, parts, spread).join(drive_figures(clips, parts, spread), list(DRIVE), "left").withColumn("has_speeds", F.coalesce("has_speeds", F.lit(False)))
     out = out.withColumn("summon", summon.is_summoned()).drop(*EVIDENCE)

@@ -21,6 +21,8 @@ from tripspark.operators.intervals import points_in_spans, touching
 from tripspark.operators.points import DRIVE
 
 PAUSE_MS = 1_800_000
+#: What tells which stored clips are worked out again.
+TAKEN = ("vehicle_id", "seq", "path", "t_ms", "batch")
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
@@ -61,24 +63,21 @@ def add_clips(path: str, fresh: DataFrame, tags: DataFrame | None = None, tz: st
     """
     spark = fresh.sparkSession
     number = latest_version(spark, path) + 1
-    fresh = C.dedup_clips(fresh.where("path IS NOT NULL AND t_ms IS NOT NULL"))
-    fresh.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "t_ms").write.mode("overwrite").parquet(f"{path}/clips/batch={number}")
-    fresh = spark.read.parquet(f"{path}/clips/batch={number}")
-    kept = again = None
+    # one shuffle of whole clips, by vehicle, for what finds copies and for the files
+    fresh = C.dedup_clips(fresh.where("path IS NOT NULL AND t_ms IS NOT NULL").repartition("vehicle_id"))
+    fresh.sortWithinPartitions("vehicle_id", "t_ms").write.mode("overwrite").parquet(f"{path}/clips/batch={number}")
+    clips, only, kept = spark.read.parquet(f"{path}/clips/batch={number}"), None, None
+    slim = clips.select("vehicle_id", "seq", "t_ms")
     if number > 1:
         stored = windows(spark, path, number - 1)
-        touched = touched_windows(stored, fresh).checkpoint()
-        before = spark.read.parquet(f"{path}/clips").where(F.col("batch") < number).drop("batch")
-        # only the clips of touched windows are read on
-        inside = points_in_spans(before, "t_ms", touched.select("vehicle_id", "from_ms", "to_ms"), ("from_ms", "to_ms"))
-        again = inside.where("t_ms BETWEEN from_ms AND to_ms").select(*before.columns)
-        again = again.join(fresh.select("vehicle_id", "path"), ["vehicle_id", "path"], "left_anti")
-        again = newest(again, spark.read.parquet(f"{path}/clips").where(F.col("batch") < number).select("vehicle_id", "path", "seq", "batch"))
+        touched = touched_windows(stored, slim).checkpoint()
+        clips = spark.read.parquet(f"{path}/clips").where(F.col("batch") <= number)
+        slim = taken_clips(clips.select(*TAKEN), touched, number).checkpoint()
+        clips, only = clips_of(clips, slim)
         kept = stored.join(touched.select("vehicle_id", "from_ms"), ["vehicle_id", "from_ms"], "left_anti")
-    all_clips = fresh if again is None else fresh.select(*fresh.columns).unionByName(again.select(*fresh.columns))
-    out = clips_to_drives(all_clips, tags, tz, **options)
+    out = clips_to_drives(clips.drop("batch"), tags, tz, only=only, **options)
     # every clip that was read tells its window, also those that make no drive
-    spans = sessions.time_windows(all_clips.select("vehicle_id", "seq", "t_ms"), PAUSE_MS)
+    spans = sessions.time_windows(slim.select("vehicle_id", "seq", "t_ms"), PAUSE_MS)
     spans = spans.groupBy("vehicle_id", "window_id").agg(F.min("t_ms").alias("from_ms"), F.max("t_ms").alias("to_ms")).drop("window_id").checkpoint()
     # a drive may begin up to a minute into the last clip of its window
     reach = spans.withColumn("end_ms", F.col("to_ms") + 60_000)
@@ -90,7 +89,36 @@ def add_clips(path: str, fresh: DataFrame, tags: DataFrame | None = None, tz: st
     return number
 
 
+def taken_clips(clips: DataFrame, touched: DataFrame, number: int) -> DataFrame:
+    """Of the store's clips (TAKEN) those of batch ``number`` and, of the touched windows, the last of each path that it has not.
+
+    Slim rows only: what is joined and copied here are no arrays.
+    """
+    fresh, before = clips.where(F.col("batch") == number), clips.where(F.col("batch") < number)
+    inside = points_in_spans(before, "t_ms", touched.select("vehicle_id", "from_ms", "to_ms"), ("from_ms", "to_ms"))
+    again = inside.where("t_ms BETWEEN from_ms AND to_ms").select(*TAKEN)
+    again = newest(again.join(fresh.select("vehicle_id", "path"), ["vehicle_id", "path"], "left_anti"), before)
+    return fresh.select(*TAKEN).unionByName(again.select(*TAKEN)).drop("path")
+
+
+def clips_of(clips: DataFrame, taken: DataFrame, few: int = 100_000) -> tuple[DataFrame, DataFrame | None]:
+    """(clips, only) for clips_to_drives: up to ``few`` taken clips are picked from the store by a broadcast.
+
+    More are not: the store's clips would be shuffled for it and then again to their drives. All pass on,
+    and ``only`` tells which count; clips of a number that another batch has taken go before.
+    """
+    key = ["vehicle_id", "seq", "batch"]
+    if taken.count() <= few:
+        return clips.join(F.broadcast(taken.select(*key)), key, "left_semi"), None
+    named = taken.select("vehicle_id", "seq", F.col("batch").alias("_b"))
+    stale = clips.select(*key).join(named, ["vehicle_id", "seq"]).where("batch <> _b").select(*key).checkpoint()
+    n = stale.count()
+    if n:
+        clips = clips.join(F.broadcast(stale) if n <= few else stale, key, "left_anti")
+    return clips, taken.select("vehicle_id", "seq")
+
+
 def newest(clips: DataFrame, known: DataFrame) -> DataFrame:
     """Of the clips of a path those of the last batch that had it."""
-    last = known.groupBy("vehicle_id", "path").agg(F.max_by("seq", "batch").alias("seq"))
-    return clips.join(last, ["vehicle_id", "path", "seq"], "left_semi")
+    last = known.groupBy("vehicle_id", "path").agg(F.max_by(F.struct("seq", "batch"), "batch").alias("_l"))
+    return clips.join(last.select("vehicle_id", "path", "_l.*"), ["vehicle_id", "path", "seq", "batch"], "left_semi")
